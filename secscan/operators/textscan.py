@@ -31,63 +31,56 @@ def _java(rule: K.Rule) -> str:
     return RX.py_to_java(rule.pattern, rule.ignore_case)
 
 
-def _hit(rule: K.Rule, text: Column, n: Column) -> Column:
-    """struct(rule_id, line_no, cap) when ``text`` matches, else null."""
-    p = _java(rule)
-    cap = F.regexp_extract(text, p, 1) if "{1}" in rule.message else F.lit("")
-    return F.when(text.rlike(p), F.struct(F.lit(rule.id).alias("rule_id"), n.alias("line_no"),
-                                          F.lit(0).alias("col"), cap.alias("cap")))
+def _snippet_t(lines: Column, n: Column) -> Column:
+    """Engine T context: lines n-1 .. n+2 (1-based), clipped."""
+    start = F.greatest(n - 1, F.lit(1))
+    end = F.least(n + 2, F.size(lines))
+    return F.array_join(F.slice(lines, start, end - start + 1), "\n")
 
 
-def _line_hits(items: Column, rules: list[K.Rule]) -> Column:
-    """items: array<struct<n:int, l:string>> -> array of hit structs."""
-    if not rules:
-        return F.array().cast("array<struct<rule_id:string,line_no:int,col:int,cap:string>>")
-    return F.flatten(F.transform(
-        items, lambda z: F.filter(F.array(*[_hit(r, z["l"], z["n"]) for r in rules]), lambda h: h.isNotNull())))
+def _snippet_p(lines: Column, n: Column) -> Column:
+    """Engine P context: lines n-3 .. n+3 (1-based), clipped."""
+    start = F.greatest(n - 3, F.lit(1))
+    end = F.least(n + 3, F.size(lines))
+    return F.when(end >= start, F.array_join(F.slice(lines, start, F.greatest(end - start + 1, F.lit(0))), "\n")) \
+        .otherwise(F.lit(""))
 
 
-def _numbered(lines: Column) -> Column:
-    return F.arrays_zip(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))).alias("n"), lines.alias("l"))
+# ---------------------------------------------------------------- line projection
+def _rule_hits(rules_gates, text: Column) -> Column:
+    """ONE codegen'd projection: array of rule ids whose gate holds and whose
+    literal pattern matches ``text``; nulls filtered."""
+    arr = F.array(*[F.when(gate & text.rlike(_java(r)), F.lit(r.id)) for r, gate in rules_gates])
+    return F.filter(arr, lambda x: x.isNotNull())
 
 
-def _empty_hits() -> Column:
-    return F.array().cast("array<struct<rule_id:string,line_no:int,col:int,cap:string>>")
+def _captures(rules, text: Column) -> Column:
+    """{1} of the message, evaluated only on finding rows."""
+    expr = F.lit("")
+    for r in rules:
+        if "{1}" in r.message:
+            expr = F.when(F.col("rule_id") == r.id, F.regexp_extract(text, _java(r), 1)).otherwise(expr)
+    return expr
 
 
-def _finish(files_hits: DataFrame, engine: str, spark: SparkSession, snippet: Column | None = None) -> DataFrame:
-    """Explode per-file hits and attach catalogue columns (broadcast: the
-    catalogue has a fixed, small number of rows)."""
-    extra = [c for c in ("pass",) if c in files_hits.columns]
-    rows = files_hits.select("repo", "path", "_lines", *extra, F.explode("_hits").alias("h"))
-    rows = rows.select("repo", "path", "_lines", *extra, "h.*")
-    cat = F.broadcast(B.rules_all(spark).select(
+def _catalogue(spark: SparkSession) -> DataFrame:
+    return F.broadcast(B.rules_all(spark).select(
         F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "severity", "cwe",
         F.col("message").alias("_tmpl")))
-    out = rows.join(cat, "rule_id", "left")
+
+
+def _finish_rows(spark: SparkSession, rows: DataFrame, engine: str) -> DataFrame:
+    """Attach catalogue columns (broadcast: fixed, small number of rows)."""
+    out = rows.join(_catalogue(spark), "rule_id", "left")
     msg = F.replace(F.replace(F.col("_tmpl"), F.lit("{line}"), F.col("line_no").cast("string")),
                     F.lit("{1}"), F.coalesce(F.col("cap"), F.lit("")))
-    sev = F.coalesce(F.col("sev_override"), F.col("severity")) if "sev_override" in out.columns else F.col("severity")
+    sev = C.known_severity(F.col("severity")) if engine == "P" else F.col("severity")
+    cwe = F.when(F.col("pass") == 1, F.col("cwe")) if engine == "P" else F.col("cwe")
     return out.select(
         F.lit(engine).alias("engine"), "repo", "path", F.col("line_no").cast("int").alias("line_no"),
-        F.col("col").cast("int").alias("col"), "rule_id", "rule_name", sev.alias("severity"), msg.alias("message"),
-        "cwe", F.col("pass").cast("int").alias("pass"),
-        (snippet if snippet is not None else F.lit(None).cast("string")).alias("snippet"))
-
-
-def _snippet_t(lines: Column, n: Column) -> Column:
-    """Engine T context: lines n-1 .. n+2 (1-based), clipped."""
-    start = F.greatest(n - 1, F.lit(1))
-    end = F.least(n + 2, F.size(lines))
-    return F.array_join(F.slice(lines, start, end - start + 1), "\n")
-
-
-def _snippet_p(lines: Column, n: Column) -> Column:
-    """Engine P context: lines n-3 .. n+3 (1-based), clipped."""
-    start = F.greatest(n - 3, F.lit(1))
-    end = F.least(n + 3, F.size(lines))
-    return F.when(end >= start, F.array_join(F.slice(lines, start, F.greatest(end - start + 1, F.lit(0))), "\n")) \
-        .otherwise(F.lit(""))
+        F.col("col").cast("int").alias("col"), "rule_id", "rule_name", sev.alias("severity"),
+        F.when(F.lit(engine == "P"), F.col("_tmpl")).otherwise(msg).alias("message"),
+        cwe.alias("cwe"), F.col("pass").cast("int").alias("pass"))
 
 
 # ---------------------------------------------------------------- engine T
@@ -100,92 +93,92 @@ def t_family_flags(path: Column) -> dict[str, Column]:
 
 def t_prepare(files: DataFrame, ignore=()) -> DataFrame:
     """A2 + A3 + A4 for engine T."""
-    return A.size_gate(A.drop_ignored_paths(A.scannable_files(files, "T"), ignore, "T"), "T")
+    f = A.size_gate(A.drop_ignored_paths(A.scannable_files(files, "T"), ignore, "T"), "T")
+    return A.spread(f, "repo", "path")
+
 
+_T_RAW_FAMS = ("java", "cpp", "php", "rb", "go", "dart", "docker", "tf")
 
-def _exec_items(lines: Column) -> Column:
-    """A8 inside the file row: executable (n, stripped text) pairs, hash style."""
-    toggles = A.docstring_toggles(lines)
-    items = _numbered(lines)
-    kept = F.filter(items, lambda z: ~(((F.size(F.filter(toggles, lambda t: t <= z["n"])) % 2) == 1)
-                                       | F.array_contains(toggles, z["n"])))
-    stripped = F.transform(kept, lambda z: F.struct(z["n"].alias("n"), A.strip_comment(z["l"], "hash").alias("l")))
-    return F.filter(stripped, lambda z: ~C.is_blank_js(z["l"]))
 
+def t_line_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
+    """C1 + C2 + C13 + C15 as rows (repo, path, line_no, col, rule_id, cap, pass).
 
-def t_text_hits(files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
-    """C1 + C2 + C13 (+C15 captures): per-file hit arrays for engine T text rules."""
+    Family flags and the XML-hardening marker are computed once per file,
+    before the explode; every line then runs one projection of literal
+    patterns gated by those flags."""
     rules = [r for r in (rules or K.T_RULES) if r.scope in ("raw", "exec") and r.enabled]
-    path = F.col("path")
-    flags = t_family_flags(path)
-    lines = A.split_lines(F.col("content"), "T")
-    items = _numbered(lines)
+    f = files.filter(~F.col("oversize"))
+    flags = t_family_flags(F.col("path"))
     marker = F.lit(False)
     for m in K.XML_HARDENING_MARKERS:
         marker = marker | F.col("content").contains(m)
-    parts = []
-    for fam in ("py", "java", "cpp", "php", "rb", "go", "dart", "docker", "tf"):
-        fam_rules = [r for r in rules if r.gate == fam]
-        if not fam_rules:
-            continue
-        src = _exec_items(lines) if fam == "py" else items
-        hits = _line_hits(src, fam_rules)
-        if fam == "java":
-            hits = F.when(marker, F.filter(hits, lambda h: h["rule_id"] != "JAVA-004")).otherwise(hits)
-        parts.append(F.when(flags[fam], hits).otherwise(_empty_hits()))
-    all_hits = F.concat(*parts) if parts else _empty_hits()
-    return files.filter(~F.col("oversize")).select("repo", "path", lines.alias("_lines"),
-                                                    all_hits.alias("_hits"))
-
-
-def t_entropy_hits(files: DataFrame) -> DataFrame:
-    """Quoted literal values that pass the entropy test -> VG-SEC-001."""
-    lines = A.split_lines(F.col("content"), "T")
+    base = f.select("repo", "path", "content", *[flags[k].alias(f"_f_{k}") for k in (*_T_RAW_FAMS, "py")],
+                    marker.alias("_marker"))
+    raw_rules = [r for r in rules if r.gate in _T_RAW_FAMS]
+    raw_lines = base.filter(F.greatest(*[F.col(f"_f_{k}") for k in _T_RAW_FAMS])) \
+        .select("repo", "path", *[f"_f_{k}" for k in _T_RAW_FAMS], "_marker",
+                F.posexplode(A.split_lines(F.col("content"), "T")).alias("_pos", "line"))
+    gates = []
+    for r in raw_rules:
+        g = F.col(f"_f_{r.gate}")
+        if r.id == "JAVA-004":
+            g = g & ~F.col("_marker")
+        gates.append((r, g))
+    raw_hits = raw_lines.select("repo", "path", (F.col("_pos") + 1).alias("line_no"), "line",
+                                _rule_hits(gates, F.col("line")).alias("_ids")) \
+        .filter(F.size("_ids") > 0)
+    py_rules = [r for r in rules if r.gate == "py"]
+    py_lines = A.executable_lines(base.filter(F.col("_f_py")), "hash", keep=("repo", "path"))
+    py_hits = py_lines.select("repo", "path", "line_no", "line",
+                              _rule_hits([(r, F.lit(True)) for r in py_rules], F.col("line")).alias("_ids")) \
+        .filter(F.size("_ids") > 0)
+    hits = raw_hits.unionByName(py_hits)
+    rows = hits.select("repo", "path", "line_no", "line", F.explode("_ids").alias("rule_id"))
+    return rows.select("repo", "path", F.col("line_no").cast("int").alias("line_no"), F.lit(0).alias("col"),
+                       "rule_id", _captures(rules, F.col("line")).alias("cap"), F.lit(1).alias("pass"))
+
+
+def t_entropy_findings(files: DataFrame) -> DataFrame:
+    """Quoted literal values passing the entropy test -> VG-SEC-001."""
     lit_re = r"""["']([^"'\s]{12,})["']"""
-
-    def hit(z):
-        vals = F.regexp_extract_all(z["l"], F.lit(lit_re), 1)
-        return F.when(F.exists(vals, lambda v: C.is_high_entropy_secret(v)),
-                      F.struct(F.lit("VG-SEC-001").alias("rule_id"), z["n"].alias("line_no"),
-                               F.lit(0).alias("col"), F.lit("").alias("cap")))
-
-    hits = F.filter(F.transform(F.filter(_numbered(lines), lambda z: z["l"].rlike(lit_re)), hit),
-                    lambda h: h.isNotNull())
-    return files.filter(~F.col("oversize")).select("repo", "path", lines.alias("_lines"), hits.alias("_hits"))
+    lines = A.explode_lines(files.filter(~F.col("oversize")), "T", keep=("repo", "path"))
+    cand = lines.filter(F.col("line").rlike(lit_re))
+    vals = F.regexp_extract_all(F.col("line"), F.lit(lit_re), 1)
+    hit = cand.filter(F.exists(vals, lambda v: C.is_high_entropy_secret(v)))
+    return hit.select("repo", "path", "line_no", F.lit(0).alias("col"), F.lit("VG-SEC-001").alias("rule_id"),
+                      F.lit("").alias("cap"), F.lit(1).alias("pass"))
 
 
-def scan_raw_lines(spark: SparkSession, files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
+def scan_raw_lines(spark: SparkSession, files: DataFrame, rules: list[K.Rule] | None = None,
+                   prepared: bool = False) -> DataFrame:
     """Engine T text rules (C1, C2, C13, C15) as finding rows."""
-    hits = t_text_hits(t_prepare(files), rules).withColumn("pass", F.lit(1))
-    out = _finish(hits.withColumn("_hits", F.col("_hits")), "T", spark,
-                  _snippet_t(F.col("_lines"), F.col("line_no")))
-    return out
+    f = files if prepared else t_prepare(files)
+    return _finish_rows(spark, t_line_findings(f, rules), "T")
 
 
-def entropy_secrets(spark: SparkSession, files: DataFrame) -> DataFrame:
-    hits = t_entropy_hits(t_prepare(files)).withColumn("pass", F.lit(1))
-    return _finish(hits, "T", spark, _snippet_t(F.col("_lines"), F.col("line_no")))
+def entropy_secrets(spark: SparkSession, files: DataFrame, prepared: bool = False) -> DataFrame:
+    f = files if prepared else t_prepare(files)
+    return _finish_rows(spark, t_entropy_findings(f), "T")
 
 
 # ---------------------------------------------------------------- engine P
 def p_prepare(files: DataFrame, cap: bool = True) -> DataFrame:
     """A2 + A3 + A4 (+ A5) for engine P."""
     f = A.size_gate(A.drop_ignored_paths(A.scannable_files(files, "P"), (), "P"), "P")
-    return A.cap_files(f) if cap else f
+    f = A.cap_files(f) if cap else f
+    return A.spread(f, "repo", "path")
 
 
-def p_line_hits(lines: Column, ext: Column, rules: list[K.Rule] | None = None) -> Column:
-    """Pass 1: rules chosen by extension; each (rule, line) at most once."""
+def p_line_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
+    """Pass 1 (C3): rules gated by extension, each (rule, line) once."""
     rules = [r for r in (rules or K.P_RULES) if r.enabled]
-    items = _numbered(lines)
-    by_ext: dict[str, list[K.Rule]] = {}
-    for r in rules:
-        for e in r.languages:
-            by_ext.setdefault(e, []).append(r)
-    expr = _empty_hits()
-    for e, rs in sorted(by_ext.items(), reverse=True):
-        expr = F.when(ext == e, _line_hits(items, rs)).otherwise(expr)
-    return expr
+    lines = files.select("repo", "path", C.suffix_ext(F.col("path")).alias("_ext"),
+                         F.posexplode(A.split_lines(F.col("content"), "P")).alias("_pos", "line"))
+    gates = [(r, F.col("_ext").isin(*r.languages)) for r in rules]
+    hits = lines.select("repo", "path", (F.col("_pos") + 1).cast("int").alias("line_no"),
+                        _rule_hits(gates, F.col("line")).alias("_ids")).filter(F.size("_ids") > 0)
+    return hits.select("repo", "path", "line_no", F.lit(0).alias("col"), F.explode("_ids").alias("rule_id"),
+                       F.lit("").alias("cap"), F.lit(1).alias("pass"))
 
 
 def _newlines(s: Column) -> Column:
@@ -196,6 +189,10 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
 
 
+def _empty_hits() -> Column:
+    return F.array().cast("array<struct<rule_id:string,line_no:int,col:int>>")
+
+
 def content_matches(content: Column, rule: K.Rule) -> Column:
     """All non-overlapping matches of a whole-content pattern with line (from
     the count of '\\n' before the match) and column (characters since the
@@ -214,7 +211,7 @@ def content_matches(content: Column, rule: K.Rule) -> Column:
         line = _sum(F.slice(pnl, 1, k + 1)) + _sum(F.slice(mnl, 1, k)) + 1
         col = start - _sum(F.slice(line_len, 1, line - 1))
         return F.struct(F.lit(rule.id).alias("rule_id"), line.cast("int").alias("line_no"),
-                        col.cast("int").alias("col"), F.lit("").alias("cap"))
+                        col.cast("int").alias("col"))
 
     return F.when(F.size(ms) > 0, F.transform(F.sequence(F.lit(0), F.size(ms) - 1), one)).otherwise(_empty_hits())
 
@@ -232,43 +229,57 @@ def scan_multiline_hits(content: Column, rules: list[K.Rule] | None = None) -> C
     return F.transform(first, lambda x: x["m"])
 
 
-def p_hits(files: DataFrame, line_rules: list[K.Rule] | None = None,
-           content_rules: list[K.Rule] | None = None, passes=(1, 2)) -> DataFrame:
-    ext = C.suffix_ext(F.col("path"))
-    lines = A.split_lines(F.col("content"), "P")
-    h1 = F.transform(p_line_hits(lines, ext, line_rules), lambda h: h.withField("pass", F.lit(1)))
-    h2 = F.when(ext.isin(*K.P_CONTENT_EXTENSIONS),
-                F.transform(scan_multiline_hits(F.col("content"), content_rules),
-                            lambda h: h.withField("pass", F.lit(2)))) \
-        .otherwise(F.array().cast("array<struct<rule_id:string,line_no:int,col:int,cap:string,pass:int>>"))
-    parts = ([h1] if 1 in passes else []) + ([h2] if 2 in passes else [])
-    return files.select("repo", "path", lines.alias("_lines"), F.concat(*parts).alias("_hits"))
-
-
-def _p_snippet() -> Column:
-    n = F.col("line_no")
-    lines = F.col("_lines")
-    one = F.regexp_replace(F.coalesce(F.element_at(lines, F.when((n >= 1) & (n <= F.size(lines)), n)), F.lit("")),
-                           r"(?U)^\s+|\s+$", "")
-    return F.when(F.col("pass") == 2, one).otherwise(_snippet_p(lines, n))
+def p_content_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
+    """Pass 2 (C4) as rows; only js-like files are read."""
+    js = files.filter(C.suffix_ext(F.col("path")).isin(*K.P_CONTENT_EXTENSIONS))
+    return js.select("repo", "path", F.explode(scan_multiline_hits(F.col("content"), rules)).alias("h")) \
+        .select("repo", "path", F.col("h.line_no").alias("line_no"), F.col("h.col").alias("col"),
+                F.col("h.rule_id").alias("rule_id"), F.lit("").alias("cap"), F.lit(2).alias("pass"))
 
 
 def scan_ext_rules(spark: SparkSession, files: DataFrame, passes=(1, 2), prepared: bool = False) -> DataFrame:
-    """Engine P findings (C3 + C4 + C16 + C18 + C19) as rows."""
+    """Engine P findings (C3 + C4 + C16 + C19) as rows, without snippets."""
     f = files if prepared else p_prepare(files)
-    hits = p_hits(f, passes=passes)
-    rows = hits.select("repo", "path", "_lines", F.explode("_hits").alias("h")).select("repo", "path", "_lines",
-                                                                                         "h.*")
-    cat = F.broadcast(B.rules_all(spark).select(
-        F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "severity", "cwe",
-        F.col("message").alias("_tmpl")))
-    out = rows.join(cat, "rule_id", "left")
-    return out.select(
-        F.lit("P").alias("engine"), "repo", "path", F.col("line_no").cast("int").alias("line_no"),
-        F.col("col").cast("int").alias("col"), "rule_id", "rule_name",
-        C.known_severity(F.col("severity")).alias("severity"), F.col("_tmpl").alias("message"),
-        F.when(F.col("pass") == 1, F.col("cwe")).alias("cwe"), F.col("pass").cast("int").alias("pass"),
-        _p_snippet().alias("snippet"))
+    parts = []
+    if 1 in passes:
+        parts.append(p_line_findings(f))
+    if 2 in passes:
+        parts.append(p_content_findings(f))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return _finish_rows(spark, rows, "P")
+
+
+# ---------------------------------------------------------------- C18 snippets
+def snippets(findings: DataFrame, files: DataFrame, engine: str = "P", broadcast_max_rows: int = 2_000_000
+             ) -> DataFrame:
+    """Attach context lines to findings.
+
+    Findings are grouped per file (small) and joined to their file rows; the
+    context is sliced from the file's own lines, so no line table is
+    shuffled.  The per-file finding lists are broadcast only when their row
+    count is checked below ``broadcast_max_rows``; otherwise both sides are
+    shuffled on (repo, path) (co-located when the files table is bucketed
+    by those keys).
+    """
+    keys = findings.select("repo", "path", "line_no", "pass").distinct()
+    per_file = keys.groupBy("repo", "path").agg(F.collect_list(F.struct("line_no", "pass")).alias("_want"))
+    n = per_file.limit(broadcast_max_rows + 1).count()
+    side = F.broadcast(per_file) if n <= broadcast_max_rows else per_file
+    j = files.select("repo", "path", "content").join(side, ["repo", "path"])
+    lines = A.split_lines(F.col("content"), "P" if engine == "P" else "T")
+    ex = j.select("repo", "path", lines.alias("_lines"), F.explode("_want").alias("w"))
+    ln = F.col("w.line_no")
+    if engine == "P":
+        one = F.regexp_replace(F.coalesce(F.element_at(F.col("_lines"), F.when((ln >= 1) & (ln <= F.size("_lines")),
+                                                                              ln)), F.lit("")),
+                               r"(?U)^\s+|\s+$", "")
+        snip = F.when(F.col("w.pass") == 2, one).otherwise(_snippet_p(F.col("_lines"), ln))
+    else:
+        snip = _snippet_t(F.col("_lines"), ln)
+    ctx = ex.select("repo", "path", ln.alias("line_no"), F.col("w.pass").alias("pass"), snip.alias("snippet"))
+    return findings.join(ctx, ["repo", "path", "line_no", "pass"], "left")
 
 
 # ---------------------------------------------------------------- C16 / C17

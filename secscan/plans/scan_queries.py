@@ -180,7 +180,8 @@ SELECT f.repo, f.path, f.line_no, f.rule_id, s.severity, f.pass, f.snippet,
        upper(substr(md5(f.rule_id || ':' || f.path || ':' || CAST(f.line_no AS VARCHAR)), 1, 8)) AS finding_id
 FROM p_findings f JOIN sev s USING (rule_id)""", "code_files"))
 def q_scan_ext_rules(spark, sf_dir):
-    f = S.finding_ids(_p_findings(spark, sf_dir))
+    files = S.p_prepare(code_files(spark, sf_dir))
+    f = S.finding_ids(S.snippets(S.scan_ext_rules(spark, files, prepared=True), files, "P"))
     return f.select("repo", "path", "line_no", "rule_id", "severity", "pass", "snippet", "finding_id")
 
 
@@ -190,10 +191,8 @@ SELECT repo, path, rule_id, CAST(line_no AS INTEGER) AS line_no, CAST(col AS INT
     "code_files"))
 def q_scan_multiline(spark, sf_dir):
     f = S.p_prepare(code_files(spark, sf_dir))
-    hits = S.p_hits(f, passes=(2,))
-    return hits.select("repo", "path", F.explode("_hits").alias("h")).select(
-        "repo", "path", "h.rule_id", F.col("h.line_no").cast("int").alias("line_no"),
-        F.col("h.col").cast("int").alias("col"))
+    return S.p_content_findings(f).select("repo", "path", "rule_id", F.col("line_no").cast("int").alias("line_no"),
+                                          F.col("col").cast("int").alias("col"))
 
 
 def _decay_sql() -> str:
@@ -226,3 +225,226 @@ def q_decay_score(spark, sf_dir):
     findings = S.scan_ext_rules(spark, files, prepared=True)
     return E.decay_score(files, findings).select(
         "repo", "penalty", "critical", "high", "medium", "low", "info", "total", "score", "grade", "passed")
+
+
+# ====================================================================== C: engine T
+T_FAM_SQL = {
+    "py": "regexp_matches(path, '(?i)\\.py$')",
+    "java": "regexp_matches(path, '(?i)\\.java$')",
+    "cpp": "regexp_matches(path, '(?i)\\.(cpp|cc|c|h|hpp)$')",
+    "php": "regexp_matches(path, '(?i)\\.php$')",
+    "rb": "regexp_matches(path, '(?i)\\.rb$')",
+    "go": "regexp_matches(path, '(?i)\\.go$')",
+    "dart": "regexp_matches(path, '(?i)\\.dart$')",
+    "js": "regexp_matches(path, '(?i)\\.(js|ts|jsx|tsx|mjs|cjs)$')",
+    "docker": "contains(lower(path), 'dockerfile')",
+    "tf": "ends_with(lower(path), '.tf')",
+}
+_MARKER_SQL = " OR ".join(f"contains(content, {G.q(m)})" for m in K.XML_HARDENING_MARKERS)
+
+
+def _t_prelude() -> str:
+    fams = ", ".join(f"{v} AS f_{k}" for k, v in T_FAM_SQL.items())
+    return f"""
+t_files AS ({G.t_files_cte()}),
+t_ok AS (SELECT repo, path, content, {fams}, ({_MARKER_SQL}) AS marker FROM t_files WHERE NOT oversize),
+t_lines AS (SELECT repo, path, f_java, f_cpp, f_php, f_rb, f_go, f_dart, f_docker, f_tf, marker,
+                   CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS line
+            FROM (SELECT *, {G.t_split('content')} AS arr FROM t_ok) x),
+py_exec AS (SELECT repo, path, line_no, line FROM (
+              SELECT repo, path, line_no, regexp_replace(raw, {G.q(_STRIP_RE2)}, '\\1') AS line
+              FROM (SELECT repo, path, CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS raw
+                    FROM (SELECT repo, path, {G.t_split('content')} AS arr FROM t_ok WHERE f_py) a) b) c
+            WHERE trim(line) <> '')"""
+
+
+def _t_hits_sql() -> str:
+    parts = []
+    for r in K.T_RULES:
+        if r.scope not in ("raw", "exec"):
+            continue
+        src = "py_exec" if r.gate == "py" else "t_lines"
+        gate = "TRUE" if r.gate == "py" else f"f_{r.gate}"
+        if r.id == "JAVA-004":
+            gate += " AND NOT marker"
+        cap = "''"
+        if "{1}" in r.message:
+            cap = f"regexp_extract(line, {G.q(RX_js(r))}, 1)"
+        parts.append(f"SELECT repo, path, line_no, {G.q(r.id)} AS rule_id, {cap} AS cap FROM {src} "
+                     f"WHERE {gate} AND {G.rule_condition(r, 'line')}")
+    return "\n  UNION ALL ".join(parts)
+
+
+def RX_js(r):
+    from secscan.functions import regex as RX
+    return RX.js_to_re2(r.pattern, r.ignore_case)
+
+
+def _t_meta_values() -> str:
+    rows = []
+    for r in K.T_RULES:
+        rows.append(f"({G.q(r.id)}, {G.q(r.severity)}, {G.q(r.message)})")
+    return ", ".join(rows)
+
+
+T_FINDINGS_SQL = f"""{_t_prelude()},
+t_meta AS (SELECT * FROM (VALUES {_t_meta_values()}) m(rule_id, severity, tmpl)),
+t_hits AS ({_t_hits_sql()}),
+t_text AS (SELECT h.repo, h.path, h.line_no, h.rule_id, m.severity,
+                  replace(replace(m.tmpl, '{{line}}', CAST(h.line_no AS VARCHAR)), '{{1}}', h.cap) AS message
+           FROM t_hits h JOIN t_meta m USING (rule_id))"""
+
+
+@register("scan_raw_lines", with_fixtures(T_FINDINGS_SQL + """
+SELECT repo, path, line_no, rule_id, severity, message FROM t_text""", "code_files"))
+def q_scan_raw_lines(spark, sf_dir):
+    return S.scan_raw_lines(spark, code_files(spark, sf_dir)).select(
+        "repo", "path", "line_no", "rule_id", "severity", "message")
+
+
+_LIT_RE = r"""["']([^"'\s]{12,})["']"""
+_ENTROPY = ("(- list_sum(list_transform(list_distinct(str_split(v, '')), lambda c: "
+            "(len(list_filter(str_split(v, ''), lambda x: x = c)) / length(v)) * "
+            "log2(len(list_filter(str_split(v, ''), lambda x: x = c)) / length(v)))))")
+_SECRET = (f"(length(v) >= 12 AND ((length(v) >= 32 AND {_ENTROPY} > 3.2) OR (length(v) >= 20 AND {_ENTROPY} > 3.6)"
+           f" OR (length(v) >= 12 AND {_ENTROPY} > 4.0)))")
+
+ENTROPY_SQL = f"""
+t_all_lines AS (SELECT repo, path, CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS line
+                FROM (SELECT repo, path, {G.t_split('content')} AS arr FROM t_ok) x),
+t_secret AS (SELECT DISTINCT repo, path, line_no, 'VG-SEC-001' AS rule_id, 'CRITICAL' AS severity FROM (
+               SELECT repo, path, line_no, unnest(regexp_extract_all(line, {G.q(_LIT_RE)}, 1)) AS v
+               FROM t_all_lines WHERE regexp_matches(line, {G.q(_LIT_RE)})) s
+             WHERE {_SECRET})"""
+
+
+@register("entropy_secrets", with_fixtures(f"{_t_prelude()},{ENTROPY_SQL}\nSELECT repo, path, line_no, rule_id, "
+                                           "severity FROM t_secret", "code_files"))
+def q_entropy(spark, sf_dir):
+    return S.entropy_secrets(spark, code_files(spark, sf_dir)).select("repo", "path", "line_no", "rule_id",
+                                                                     "severity")
+
+
+# ====================================================================== C5-C7 structural (engine T)
+from secscan.operators import facts as FX  # noqa: E402
+
+_STRIP_SLASH_RE2 = ("^((?:[^\"'/]|/$|/[^/\"']|/\"[^\"]*(?:\"|$)|/'[^']*(?:'|$)|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)"
+                    "//.*$")
+
+
+def _js_prelude() -> str:
+    return f"""
+js_lines AS (SELECT repo, path, line_no, line FROM (
+               SELECT repo, path, line_no, regexp_replace(raw, {G.q(_STRIP_SLASH_RE2)}, '\\1') AS line
+               FROM (SELECT repo, path, CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS raw
+                     FROM (SELECT repo, path, {G.t_split('content')} AS arr FROM t_ok
+                           WHERE regexp_matches(path, '(?i)\\.(js|ts|jsx|tsx|mjs|cjs)$')) a) b) c
+             WHERE trim(line) <> ''),
+sink_facts AS (
+  SELECT repo, path, line_no, 'VG-EVAL-001' AS rule_id, 'HIGH' AS severity FROM js_lines
+    WHERE regexp_matches(line, {G.q(FX.P_EVAL)})
+  UNION ALL SELECT repo, path, line_no, 'VG-EVAL-001', 'MEDIUM' FROM js_lines WHERE regexp_matches(line, {G.q(FX.P_TIMER)})
+  UNION ALL SELECT repo, path, line_no, 'VG-EVAL-001', 'HIGH' FROM js_lines WHERE regexp_matches(line, {G.q(FX.P_NEWFN)})
+  UNION ALL SELECT repo, path, line_no, 'VG-XSS-001', 'HIGH' FROM js_lines
+    WHERE regexp_matches(line, {G.q(FX.P_XSS_ASSIGN)})
+      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_XSS_ASSIGN)}, 2), {G.q(FX.LIT_ARG)})
+  UNION ALL SELECT repo, path, line_no, 'VG-XSS-001', 'HIGH' FROM js_lines
+    WHERE regexp_matches(line, {G.q(FX.P_DOCWRITE)})
+      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_DOCWRITE)}, 3), '^\\s*(\\)|$)')
+      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_DOCWRITE)}, 3), {G.q(FX.LIT_ARG)})
+  UNION ALL SELECT repo, path, line_no, 'VG-PATH-001', 'HIGH' FROM js_lines
+    WHERE regexp_matches(line, {G.q(FX.P_FS)})
+      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_FS)}, 4), '^\\s*(\\)|$)')
+      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_FS)}, 4), {G.q(FX.PLAIN_LIT_ARG)})
+  UNION ALL SELECT repo, path, line_no, 'VG-PATH-001', 'MEDIUM' FROM js_lines
+    WHERE regexp_matches(line, {G.q(FX.P_PATHJOIN)})
+      AND len(list_filter(string_split(regexp_extract(line, {G.q(FX.P_PATHJOIN)}, 3), ','),
+                          lambda a: regexp_matches(a, {G.q(FX.P_PATH_ARG)}))) > 0
+  UNION ALL SELECT repo, path, line_no, 'VG-RAND-001',
+         CASE WHEN regexp_matches(regexp_extract(line, {G.q(FX.P_RAND_NAME)}, 1), {G.q(FX.RANDOM_CONTEXT)})
+              THEN 'MEDIUM' ELSE 'INFO' END
+    FROM js_lines WHERE regexp_matches(line, {G.q(FX.P_RAND)})),
+facts AS (
+  SELECT repo, path, line_no, 0 AS k, regexp_extract(line, {G.q(FX.P_DECL)}, 3) AS lhs, 'decl' AS kind,
+         regexp_extract(line, {G.q(FX.P_DECL)}, 4) AS rhs FROM js_lines WHERE regexp_matches(line, {G.q(FX.P_DECL)})
+  UNION ALL
+  SELECT repo, path, line_no, 0, regexp_extract(line, {G.q(FX.P_ASSIGN)}, 2), 'assign',
+         regexp_extract(line, {G.q(FX.P_ASSIGN)}, 3) FROM js_lines
+  WHERE regexp_matches(line, {G.q(FX.P_ASSIGN)}) AND NOT regexp_matches(line, {G.q(FX.P_DECL)})
+    AND NOT regexp_matches(line, {G.q(FX.P_DESTRUCT)})),
+typed AS (SELECT repo, path, line_no, k, lhs, kind,
+                 CASE WHEN regexp_matches(rhs, {G.q(FX.P_SOURCE)}) THEN 'source'
+                      WHEN regexp_matches(rhs, {G.q('^\\s*' + FX.IDENT + '\\s*(;|$)')}) THEN 'ident' ELSE 'other' END AS rk,
+                 regexp_extract(rhs, {G.q('^\\s*(' + FX.IDENT + ')')}, 1) AS rn FROM facts),
+taint AS (SELECT repo, path, list_reduce(list(struct_pack(lhs := lhs, kind := kind, rk := rk, rn := rn) ORDER BY line_no, k),
+            lambda acc, e: CASE WHEN e.rk = 'source' OR (e.rk = 'ident' AND list_contains(acc, e.rn))
+                                THEN list_distinct(list_append(acc, e.lhs))
+                                WHEN e.kind = 'assign' THEN list_filter(acc, lambda x: x <> e.lhs) ELSE acc END,
+            CAST([] AS VARCHAR[])) AS tainted
+          FROM typed GROUP BY repo, path),
+sinks AS (SELECT repo, path, line_no, regexp_extract(line, {G.q(FX.P_SQL)}, 2) AS arg FROM js_lines
+          WHERE regexp_matches(line, {G.q(FX.P_SQL)})),
+sink_kind AS (SELECT repo, path, line_no,
+     CASE WHEN regexp_matches(arg, {G.q(FX.SQL_LITERAL_ARG)}) THEN 'literal'
+          WHEN regexp_matches(arg, '^\\s*`[^`]*\\$\\{{') THEN 'template'
+          WHEN regexp_matches(arg, '^[^,)]*\\+') THEN 'concat'
+          WHEN regexp_matches(arg, {G.q(FX.P_ARG_IDENT)}) THEN 'ident' ELSE 'other' END AS arg_kind,
+     regexp_extract(arg, {G.q(FX.P_ARG_IDENT)}, 1) AS arg_name FROM sinks),
+sql_inj AS (SELECT s.repo, s.path, s.line_no, 'VG-SQL-001' AS rule_id, 'CRITICAL' AS severity, s.arg_kind
+            FROM sink_kind s LEFT JOIN taint t USING (repo, path)
+            WHERE s.arg_kind IN ('template', 'concat')
+               OR (s.arg_kind = 'ident' AND coalesce(list_contains(t.tainted, s.arg_name), FALSE)))"""
+
+
+@register("code_sinks", with_fixtures(f"{_t_prelude()},{_js_prelude()}\n"
+                                      "SELECT repo, path, line_no, rule_id, severity FROM sink_facts", "code_files"))
+def q_code_sinks(spark, sf_dir):
+    return FX.code_sinks(S.t_prepare(code_files(spark, sf_dir))).select("repo", "path", "line_no", "rule_id",
+                                                                         "severity")
+
+
+@register("taint_flow", with_fixtures(f"{_t_prelude()},{_js_prelude()}\n"
+                                      "SELECT repo, path, line_no, rule_id, severity, arg_kind FROM sql_inj",
+                                      "code_files"))
+def q_taint_flow(spark, sf_dir):
+    return FX.taint_flow(S.t_prepare(code_files(spark, sf_dir)))
+
+
+def _density_sql() -> str:
+    pen = " ".join(f"WHEN {G.q(s)} THEN {v}" for s, v in K.DENSITY_PENALTY.items())
+    cnt = ", ".join(f"CAST(count(f.severity) FILTER (WHERE f.severity = {G.q(s)}) AS BIGINT) AS {s.lower()}"
+                    for s in K.SEVERITIES)
+    return f"""{T_FINDINGS_SQL},{ENTROPY_SQL},{_js_prelude()},
+all_f AS (SELECT repo, severity FROM t_text UNION ALL SELECT repo, severity FROM t_secret
+          UNION ALL SELECT repo, severity FROM sink_facts UNION ALL SELECT repo, severity FROM sql_inj),
+nfiles AS (SELECT repo, CAST(count(*) AS BIGINT) AS files FROM t_files GROUP BY repo),
+agg AS (SELECT n.repo, n.files, coalesce(sum(CASE f.severity {pen} ELSE 0 END), 0) AS raw, {cnt}
+        FROM nfiles n LEFT JOIN all_f f USING (repo) GROUP BY n.repo, n.files),
+sc AS (SELECT *, least(100.0, raw / greatest(1.0, log10(files + 1))) AS clamped FROM agg)
+SELECT repo, files, {", ".join(s.lower() for s in K.SEVERITIES)},
+       CAST(greatest(0, floor(100.0 - clamped + 0.5)) AS INTEGER) AS score,
+       CAST(floor(clamped + 0.5) AS INTEGER) AS penalty,
+       CASE WHEN greatest(0, floor(100.0 - clamped + 0.5)) >= 90 THEN 'A'
+            WHEN greatest(0, floor(100.0 - clamped + 0.5)) >= 75 THEN 'B'
+            WHEN greatest(0, floor(100.0 - clamped + 0.5)) >= 55 THEN 'C'
+            WHEN greatest(0, floor(100.0 - clamped + 0.5)) >= 35 THEN 'D' ELSE 'F' END AS grade,
+       greatest(0, floor(100.0 - clamped + 0.5)) >= 70 AS passed
+FROM sc"""
+
+
+def t_scan(spark: SparkSession, files: DataFrame, prepared: bool = False) -> DataFrame:
+    """C20 for engine T: text rules + entropy secrets + structural facts."""
+    f = files if prepared else S.t_prepare(files)
+    text = S.scan_raw_lines(spark, f, prepared=True).select("repo", "path", "line_no", "rule_id", "severity")
+    sec = S.entropy_secrets(spark, f, prepared=True).select("repo", "path", "line_no", "rule_id", "severity")
+    st = FX.structural_findings(f)
+    return text.unionByName(sec).unionByName(st)
+
+
+@register("density_score", with_fixtures(_density_sql(), "code_files"))
+def q_density_score(spark, sf_dir):
+    f = S.t_prepare(code_files(spark, sf_dir))
+    findings = t_scan(spark, f, prepared=True)
+    counts = f.groupBy("repo").agg(F.count(F.lit(1)).cast("bigint").alias("files"))
+    return E.density_score(findings, counts).select(
+        "repo", "files", "critical", "high", "medium", "low", "info", "score", "penalty", "grade", "passed")
