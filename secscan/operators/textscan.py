@@ -258,18 +258,19 @@ def snippets(findings: DataFrame, files: DataFrame, engine: str = "P", broadcast
 
     Findings are grouped per file (small) and joined to their file rows; the
     context is sliced from the file's own lines, so no line table is
-    shuffled.  The per-file finding lists are broadcast only when their row
-    count is checked below ``broadcast_max_rows``; otherwise both sides are
-    shuffled on (repo, path) (co-located when the files table is bucketed
-    by those keys).
+    shuffled.  The per-file lists are persisted (they are small) so the size
+    check and the join read them once; they are broadcast only when the
+    checked count is below ``broadcast_max_rows``, otherwise both sides are
+    shuffled on (repo, path) (co-located when the files table is bucketed by
+    those keys).
     """
-    keys = findings.select("repo", "path", "line_no", "pass").distinct()
-    per_file = keys.groupBy("repo", "path").agg(F.collect_list(F.struct("line_no", "pass")).alias("_want"))
+    cols = [c for c in findings.columns if c not in ("repo", "path")]
+    per_file = findings.groupBy("repo", "path").agg(F.collect_list(F.struct(*cols)).alias("_f")).persist()
     n = per_file.limit(broadcast_max_rows + 1).count()
     side = F.broadcast(per_file) if n <= broadcast_max_rows else per_file
     j = files.select("repo", "path", "content").join(side, ["repo", "path"])
     lines = A.split_lines(F.col("content"), "P" if engine == "P" else "T")
-    ex = j.select("repo", "path", lines.alias("_lines"), F.explode("_want").alias("w"))
+    ex = j.select("repo", "path", lines.alias("_lines"), F.explode("_f").alias("w"))
     ln = F.col("w.line_no")
     if engine == "P":
         one = F.regexp_replace(F.coalesce(F.element_at(F.col("_lines"), F.when((ln >= 1) & (ln <= F.size("_lines")),
@@ -278,8 +279,7 @@ def snippets(findings: DataFrame, files: DataFrame, engine: str = "P", broadcast
         snip = F.when(F.col("w.pass") == 2, one).otherwise(_snippet_p(F.col("_lines"), ln))
     else:
         snip = _snippet_t(F.col("_lines"), ln)
-    ctx = ex.select("repo", "path", ln.alias("line_no"), F.col("w.pass").alias("pass"), snip.alias("snippet"))
-    return findings.join(ctx, ["repo", "path", "line_no", "pass"], "left")
+    return ex.select("repo", "path", *[F.col("w." + c).alias(c) for c in cols], snip.alias("snippet"))
 
 
 # ---------------------------------------------------------------- C16 / C17
