@@ -98,5 +98,5 @@ def cwe_link(cwe: Column) -> Column:
 def clean_version(v: Column) -> Column:
     """Leading ^~>=< and blanks removed, cut at the first blank, then at '||'."""
     stripped = F.regexp_replace(v, r"^[\^~>=<\s]+", "")
-    first = F.split(stripped, r"\s", 2)[0]
-    return F.split(first, r"\|\|", 2)[0]
+    first = F.split(stripped, " ", -1)[0]
+    return F.trim(F.split(first, r"\|\|", -1)[0])

@@ -239,7 +239,7 @@ def py_dangerous_calls(spark: SparkSession, facts: DataFrame) -> DataFrame:
     order wins.  The sink list has a fixed size, so it is broadcast."""
     calls = facts.filter(F.col("kind") == "call")
     sinks = F.broadcast(py_sinks(spark))
-    last = F.element_at(F.split(sinks["sink"], r"\."), -1)
+    last = F.try_element_at(F.split(sinks["sink"], r"\."), F.lit(-1))
     cond = (calls["func"] == sinks["sink"]) | calls["func"].endswith(F.concat(F.lit("."), last))
     j = calls.join(sinks, cond)
     w = Window.partitionBy("repo", "path", "line", "col").orderBy("sink_order")

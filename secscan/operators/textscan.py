@@ -273,7 +273,7 @@ def snippets(findings: DataFrame, files: DataFrame, engine: str = "P", broadcast
     ex = j.select("repo", "path", lines.alias("_lines"), F.explode("_f").alias("w"))
     ln = F.col("w.line_no")
     if engine == "P":
-        one = F.regexp_replace(F.coalesce(F.element_at(F.col("_lines"), F.when((ln >= 1) & (ln <= F.size("_lines")),
+        one = F.regexp_replace(F.coalesce(F.try_element_at(F.col("_lines"), F.when((ln >= 1) & (ln <= F.size("_lines")),
                                                                               ln)), F.lit("")),
                                r"(?U)^\s+|\s+$", "")
         snip = F.when(F.col("w.pass") == 2, one).otherwise(_snippet_p(F.col("_lines"), ln))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from secscan.plans import scan_queries
+from secscan.plans import more_queries, scan_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _m in (scan_queries,):
+for _m in (scan_queries, more_queries):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)

@@ -156,6 +156,19 @@ SELECT concat('org/b', CAST(p_size AS STRING)) AS repo,
 FROM part
 """
 
+# Advisory rows: one row per affected range (own test data, joined to the
+# dependencies derived from `part`, so the join grows with that table).
+FIXTURE_SQL["advisories"] = """
+SELECT * FROM (VALUES
+  ('ADV-0001', 'npm', 'alpha', 'Prototype pollution in alpha', NULL, 'MODERATE', '', '1.0.0', '2.5.0'),
+  ('ADV-0002', 'npm', 'alpha', NULL, 'Unchecked input reaches a shell call in alpha helpers.', NULL, 'x,9.1', '0.0.0', '1.2.5'),
+  ('ADV-0003', 'npm', 'beta', NULL, NULL, NULL, 'abc', '2.0.0', NULL),
+  ('ADV-0004', 'npm', 'gamma', 'Gamma issue', NULL, 'HIGH', '', '0.0.0', '1.0.0'),
+  ('ADV-0005', 'npm', 'beta', 'Beta low', NULL, NULL, '5.0', '0.1.0', '1.9.0'),
+  ('ADV-0006', 'npm', 'alpha', 'Alpha 2.x issue', NULL, 'LOW', '7.5', '2.0.0', '2.2.1')
+) AS a(id, ecosystem, name, summary, details, db_severity, scores, introduced, fixed)
+"""
+
 FIXTURE_SQL["turns"] = """
 SELECT conv_id, turn, role, text FROM conversations
 """
