@@ -100,3 +100,265 @@ FROM vuln v JOIN info i ON v.id = i.adv_id""", "manifests", "advisories"))
 def q_dependency_findings(spark, sf_dir):
     adv = fixture(spark, sf_dir, "advisories")
     return D.dependency_findings(D.vulnerable_dependencies(_deps(spark, sf_dir), adv), adv)
+
+
+# ====================================================================== E at volume (findings_synth)
+from secscan.functions import columns as C  # noqa: E402
+from secscan.operators import enrich as GE  # noqa: E402
+from secscan.operators import history as H  # noqa: E402
+from secscan.operators import scoring as E  # noqa: E402
+from secscan.operators import textscan as S  # noqa: E402
+from secscan.operators import views as V  # noqa: E402
+from secscan.sources import catalogue as K  # noqa: E402
+
+
+def _fs(spark, sf_dir) -> DataFrame:
+    return fixture(spark, sf_dir, "findings_synth")
+
+
+_CNT = ", ".join(f"CAST(count(*) FILTER (WHERE severity = {G.q(s)}) AS BIGINT) AS {s.lower()}" for s in K.SEVERITIES)
+
+
+@register("severity_summary", with_fixtures(
+    f"SELECT repo, {_CNT}, CAST(count(*) AS BIGINT) AS total FROM findings_synth GROUP BY repo", "findings_synth"))
+def q_severity_summary(spark, sf_dir):
+    return E.severity_summary(_fs(spark, sf_dir))
+
+
+_PEN = " ".join(f"WHEN {G.q(s)} THEN {v}" for s, v in K.DECAY_PENALTY.items())
+
+
+@register("decay_score_at_volume", with_fixtures(f"""
+SELECT repo, CAST(sum(CASE severity {_PEN} ELSE 1 END) AS BIGINT) AS penalty, CAST(count(*) AS BIGINT) AS total,
+       CAST(greatest(1, floor(100.0 / (1.0 + sum(CASE severity {_PEN} ELSE 1 END) / 150.0))) AS INTEGER) AS score
+FROM findings_synth GROUP BY repo""", "findings_synth"))
+def q_decay_volume(spark, sf_dir):
+    f = _fs(spark, sf_dir)
+    return E.decay_score(f.select("repo"), f).select("repo", "penalty", "total", "score")
+
+
+@register("top_rules", with_fixtures(
+    "SELECT rule_id, CAST(count(*) AS BIGINT) AS n FROM findings_synth GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 8",
+    "findings_synth"))
+def q_top_rules(spark, sf_dir):
+    return E.top_rules(_fs(spark, sf_dir), 8)
+
+
+@register("severity_share", with_fixtures("""
+SELECT repo, severity, CAST(count(*) AS BIGINT) AS n,
+       round(least(100.0, CAST(count(*) AS DOUBLE) * 100.0 / CAST(sum(count(*)) OVER (PARTITION BY repo) AS DOUBLE)), 4) AS share
+FROM findings_synth GROUP BY repo, severity""", "findings_synth"))
+def q_severity_share(spark, sf_dir):
+    return E.severity_share(_fs(spark, sf_dir)).withColumn("share", F.round("share", 4))
+
+
+@register("file_score", with_fixtures("""
+SELECT repo, path, CAST(count(*) AS BIGINT) AS n, CAST(greatest(0, 100 - 10 * count(*)) AS INTEGER) AS file_score
+FROM findings_synth GROUP BY repo, path""", "findings_synth"))
+def q_file_score(spark, sf_dir):
+    return E.file_score(_fs(spark, sf_dir))
+
+
+@register("affected_files", with_fixtures("""
+SELECT repo, CAST(count(*) AS BIGINT) AS n_affected,
+       array_to_string(list_slice(list_sort(list(path)), 1, 20), ',') AS first20
+FROM (SELECT DISTINCT repo, path FROM findings_synth) d GROUP BY repo""", "findings_synth"))
+def q_affected(spark, sf_dir):
+    return E.affected_files(_fs(spark, sf_dir)).select("repo", "n_affected",
+                                                       F.array_join("first", ",").alias("first20"))
+
+
+@register("findings_by_line", with_fixtures("""
+SELECT repo, path, line_no, CAST(count(*) AS BIGINT) AS n, min(rule_id) AS primary_rule,
+       CASE WHEN count(*) > 1 THEN CAST(count(*) AS VARCHAR) || ' issues' ELSE min(rule_id) END AS label
+FROM findings_synth GROUP BY repo, path, line_no""", "findings_synth"))
+def q_by_line(spark, sf_dir):
+    return E.findings_by_line(_fs(spark, sf_dir).withColumn("message", F.col("rule_id"))) \
+        .select("repo", "path", "line_no", "n", "primary_rule", "label")
+
+
+@register("findings_by_file", with_fixtures("""
+SELECT repo, path, CAST(count(*) AS BIGINT) AS n,
+       array_to_string(list_sort(list(CAST(line_no AS VARCHAR) || ':' || rule_id)), ',') AS items
+FROM findings_synth GROUP BY repo, path""", "findings_synth"))
+def q_by_file(spark, sf_dir):
+    f = _fs(spark, sf_dir)
+    return f.groupBy("repo", "path").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("line_no").cast("string"), "rule_id"))), ",")
+        .alias("items"))
+
+
+@register("dedupe_findings", with_fixtures("""
+SELECT repo, path, rule_id, line_no, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo, path, rule_id, line_no ORDER BY seq) AS rn FROM findings_synth) x
+WHERE rn = 1""", "findings_synth"))
+def q_dedupe(spark, sf_dir):
+    f = _fs(spark, sf_dir).withColumn("pass", F.col("seq")).withColumn("col", F.lit(0))
+    return S.dedupe_findings(f).select("repo", "path", "rule_id", "line_no", "seq")
+
+
+@register("finding_ids", with_fixtures("""
+SELECT repo, path, line_no, rule_id, upper(substr(md5(rule_id || ':' || path || ':' || CAST(line_no AS VARCHAR)), 1, 8)) AS finding_id
+FROM findings_synth""", "findings_synth"))
+def q_finding_ids(spark, sf_dir):
+    return S.finding_ids(_fs(spark, sf_dir)).select("repo", "path", "line_no", "rule_id", "finding_id")
+
+
+_RANK = "CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 WHEN 'INFO' THEN 1 ELSE 0 END"
+
+
+@register("by_severity_order", with_fixtures(
+    f"SELECT repo, path, line_no, rule_id, severity, seq, CAST({_RANK} AS INTEGER) AS severity_rank FROM findings_synth "
+    f"ORDER BY severity_rank DESC, seq, line_no", "findings_synth"))
+def q_sev_order(spark, sf_dir):
+    f = _fs(spark, sf_dir).withColumn("severity_rank", C.severity_rank(F.col("severity")))
+    return V.by_severity_order(f, "seq", "line_no")
+
+
+@register("severity_filter", with_fixtures(
+    "SELECT repo, path, line_no, rule_id, seq FROM findings_synth WHERE severity = 'HIGH'", "findings_synth"))
+def q_sev_filter(spark, sf_dir):
+    return V.severity_filter(_fs(spark, sf_dir), "HIGH").select("repo", "path", "line_no", "rule_id", "seq")
+
+
+@register("editor_level", with_fixtures(f"""
+SELECT repo, path, line_no, rule_id, seq,
+       CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'Error' WHEN severity = 'MEDIUM' THEN 'Warning'
+            WHEN severity = 'LOW' THEN 'Information' ELSE 'Hint' END AS level,
+       CAST(greatest(line_no - 1, 0) AS INTEGER) AS start_line, CAST(seq % 7 AS INTEGER) AS start_col,
+       CAST(greatest(line_no - 1, 0) AS INTEGER) AS end_line, CAST(seq % 7 + 30 AS INTEGER) AS end_col
+FROM findings_synth""", "findings_synth"))
+def q_editor(spark, sf_dir):
+    f = _fs(spark, sf_dir).withColumn("col", (F.col("seq") % 7).cast("int"))
+    return V.editor_level(f).select("repo", "path", "line_no", "rule_id", "seq", "level", "start_line", "start_col",
+                                    "end_line", "end_col")
+
+
+_PRES_IN = ("SELECT *, CASE WHEN seq % 3 = 0 THEN NULL ELSE 'CWE-' || CAST(seq % 1000 AS VARCHAR) END AS cwe, "
+            "rule_id || ' <' || severity || '> & ' || chr(34) || 'q' || chr(39) AS message FROM findings_synth")
+
+
+@register("presentation", with_fixtures(f"""
+SELECT path, seq, line_no,
+       CASE WHEN len(regexp_split_to_array(path, '[/\\\\]')) >= 2
+            THEN array_to_string(list_slice(regexp_split_to_array(path, '[/\\\\]'), -2, -1), '/') ELSE path END AS short_path,
+       CASE WHEN regexp_extract(coalesce(cwe, ''), '(\\d+)', 1) <> ''
+            THEN 'https://cwe.mitre.org/data/definitions/' || regexp_extract(cwe, '(\\d+)', 1) || '.html'
+            ELSE 'https://owasp.org/www-project-top-ten/' END AS cwe_link,
+       replace(replace(replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'),
+               chr(39), '&#039;') AS message_html
+FROM ({_PRES_IN}) p""", "findings_synth"))
+def q_presentation(spark, sf_dir):
+    f = _fs(spark, sf_dir)
+    f = f.withColumn("cwe", F.when(F.col("seq") % 3 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.concat(F.lit("CWE-"), (F.col("seq") % 1000).cast("string")))) \
+        .withColumn("message", F.concat(F.col("rule_id"), F.lit(" <"), F.col("severity"), F.lit("> & \"q'")))
+    return V.presentation(f).select("path", "seq", "line_no", "short_path", "cwe_link", "message_html")
+
+
+# ====================================================================== H
+def _hs(spark, sf_dir) -> DataFrame:
+    return fixture(spark, sf_dir, "history_synth")
+
+
+@register("history_page", with_fixtures(
+    "SELECT id, repo_name, ts, score FROM history_synth ORDER BY ts DESC, id DESC LIMIT 20 OFFSET 40", "history_synth"))
+def q_history_page(spark, sf_dir):
+    return H.history_page(_hs(spark, sf_dir), 20, 40).select("id", "repo_name", "ts", "score")
+
+
+@register("history_stats", with_fixtures("""
+SELECT CAST(count(*) AS BIGINT) AS total_scans, CAST(coalesce(round(avg(score), 1), 0.0) AS DOUBLE) AS avg_score,
+       CAST(coalesce(round(avg(CAST(passed AS INTEGER)) * 100, 1), 0.0) AS DOUBLE) AS pass_rate
+FROM history_synth""", "history_synth"))
+def q_history_stats(spark, sf_dir):
+    return H.history_stats(_hs(spark, sf_dir))
+
+
+@register("retain_latest", with_fixtures("""
+SELECT id, repo_name, ts, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY ts DESC, id DESC) AS rn FROM history_synth) x
+WHERE rn <= 50""", "history_synth"))
+def q_retain(spark, sf_dir):
+    return H.retain_latest(_hs(spark, sf_dir), 50).select("id", "repo_name", "ts", "score")
+
+
+@register("score_trend", with_fixtures("""
+SELECT id, repo_name, ts, score, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY ts, id) AS INTEGER) AS pos,
+       CAST(score - lag(score) OVER (PARTITION BY repo_name ORDER BY ts, id) AS INTEGER) AS change
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY ts DESC, id DESC) AS rn
+                     FROM history_synth) x WHERE rn <= 10) y""", "history_synth"))
+def q_trend(spark, sf_dir):
+    return H.score_trend(_hs(spark, sf_dir), 10).select("id", "repo_name", "ts", "score", "pos", "change")
+
+
+@register("history_entry", with_fixtures(
+    "SELECT id, repo_name, score FROM history_synth WHERE id = 7", "history_synth"))
+def q_history_entry(spark, sf_dir):
+    return H.history_entry(_hs(spark, sf_dir), 7).select("id", "repo_name", "score")
+
+
+@register("delete_scan", with_fixtures(
+    "SELECT id FROM history_synth WHERE id <> 7", "history_synth"))
+def q_delete(spark, sf_dir):
+    return H.delete_scan(_hs(spark, sf_dir), 7).select("id")
+
+
+# ====================================================================== G
+@register("chat_context", with_fixtures("""
+SELECT conv_id, turn, array_to_string(list(upper(role) || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn
+       ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), chr(10)) AS context
+FROM turns""", "turns"))
+def q_chat(spark, sf_dir):
+    return GE.chat_context(fixture(spark, sf_dir, "turns")).select("conv_id", "turn", "context")
+
+
+@register("fix_risk", with_fixtures("""
+SELECT fix_id,
+       CAST(CASE WHEN severity = 'CRITICAL' OR contains(fixed, 'eval') OR contains(fixed, 'exec') THEN 60 ELSE 85 END AS INTEGER) AS confidence,
+       CASE WHEN contains(lower(fixed), 'delete') OR contains(lower(fixed), 'drop') THEN 'High Risk'
+            WHEN severity = 'CRITICAL' OR contains(fixed, 'eval') OR contains(fixed, 'exec') THEN 'Needs Review'
+            ELSE 'Safe' END AS risk
+FROM fixes""", "fixes"))
+def q_fix_risk(spark, sf_dir):
+    return GE.fix_risk(fixture(spark, sf_dir, "fixes")).select("fix_id", "confidence", "risk")
+
+
+@register("line_changes", with_fixtures("""
+WITH o AS (SELECT fix_id, line, row_number() OVER (PARTITION BY fix_id, line ORDER BY pos) AS occ FROM (
+             SELECT fix_id, unnest(string_split(original, chr(10))) AS line,
+                    generate_subscripts(string_split(original, chr(10)), 1) AS pos FROM fixes) a),
+     n AS (SELECT fix_id, line, row_number() OVER (PARTITION BY fix_id, line ORDER BY pos) AS occ FROM (
+             SELECT fix_id, unnest(string_split(fixed, chr(10))) AS line,
+                    generate_subscripts(string_split(fixed, chr(10)), 1) AS pos FROM fixes) b)
+SELECT coalesce(o.fix_id, n.fix_id) AS fix_id, coalesce(o.line, n.line) AS line,
+       CASE WHEN o.fix_id IS NULL THEN '+' ELSE '-' END AS change
+FROM o FULL OUTER JOIN n ON o.fix_id = n.fix_id AND o.line = n.line AND o.occ = n.occ
+WHERE o.fix_id IS NULL OR n.fix_id IS NULL""".replace("WITH o AS", "o AS", 1), "fixes"))
+def q_line_changes(spark, sf_dir):
+    return GE.line_changes(fixture(spark, sf_dir, "fixes"))
+
+
+@register("bulk_explanations", with_fixtures("""
+SELECT repo, path, line_no, rule_id, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq, line_no) AS rn FROM findings_synth) x WHERE rn <= 5""",
+    "findings_synth"))
+def q_bulk(spark, sf_dir):
+    return GE.bulk_explanations(_fs(spark, sf_dir), 5, order=("seq", "line_no")).select(
+        "repo", "path", "line_no", "rule_id", "seq")
+
+
+@register("static_explanations", with_fixtures("""
+SELECT seq, line_no, coalesce(
+  CASE WHEN contains(lower(rule_name), 'sql injection') THEN 'SQL Injection'
+       WHEN contains(lower(rule_name), 'hardcoded secret') THEN 'Hardcoded Secret'
+       WHEN contains(lower(rule_name), 'xss') THEN 'XSS' END, 'generic') AS template
+FROM (SELECT seq, line_no, CASE CAST(seq % 5 AS INTEGER) WHEN 0 THEN 'SQL Injection via x' WHEN 1 THEN 'Hardcoded Secret'
+        WHEN 2 THEN 'DOM XSS and SQL Injection' WHEN 3 THEN 'xss' ELSE 'Other' END AS rule_name FROM findings_synth) f""",
+    "findings_synth"))
+def q_static_expl(spark, sf_dir):
+    f = _fs(spark, sf_dir).select("seq", "line_no", F.expr(
+        "CASE CAST(seq % 5 AS INT) WHEN 0 THEN 'SQL Injection via x' WHEN 1 THEN 'Hardcoded Secret' "
+        "WHEN 2 THEN 'DOM XSS and SQL Injection' WHEN 3 THEN 'xss' ELSE 'Other' END").alias("rule_name"))
+    return GE.static_explanations(spark, f).select("seq", "line_no", "template")

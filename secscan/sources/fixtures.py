@@ -169,6 +169,19 @@ SELECT * FROM (VALUES
 ) AS a(id, ecosystem, name, summary, details, db_severity, scores, introduced, fixed)
 """
 
+FIXTURE_SQL["fixes"] = """
+SELECT l_orderkey * 10 + l_linenumber AS fix_id,
+       concat('r', CAST(l_suppkey AS STRING)) AS repo,
+       CASE CAST(l_orderkey % 5 AS INT) WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM'
+            WHEN 3 THEN 'LOW' ELSE 'INFO' END AS severity,
+       concat('x = run(', CAST(l_partkey AS STRING), ')', chr(10), 'y = 1', chr(10), 'z = 2') AS original,
+       CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN concat('x = eval(', CAST(l_partkey AS STRING), ')', chr(10), 'y = 1')
+            WHEN 1 THEN concat('DROP TABLE t', CAST(l_partkey AS STRING), chr(10), 'y = 1', chr(10), 'z = 2')
+            WHEN 2 THEN concat('x = safe_run(', CAST(l_partkey AS STRING), ')', chr(10), 'y = 1', chr(10), 'z = 2', chr(10), 'w = 3')
+            ELSE concat('x = run(', CAST(l_partkey AS STRING), ')', chr(10), 'z = 2', chr(10), 'y = 1') END AS fixed
+FROM lineitem
+"""
+
 FIXTURE_SQL["turns"] = """
 SELECT conv_id, turn, role, text FROM conversations
 """
