@@ -362,3 +362,100 @@ def q_static_expl(spark, sf_dir):
         "CASE CAST(seq % 5 AS INT) WHEN 0 THEN 'SQL Injection via x' WHEN 1 THEN 'Hardcoded Secret' "
         "WHEN 2 THEN 'DOM XSS and SQL Injection' WHEN 3 THEN 'xss' ELSE 'Other' END").alias("rule_name"))
     return GE.static_explanations(spark, f).select("seq", "line_no", "template")
+
+
+# ====================================================================== A10 / A11 / B / G1 / I
+from secscan.operators import corpus as A  # noqa: E402
+from secscan.operators import facts as FX  # noqa: E402
+from secscan.operators import rules as B  # noqa: E402
+from secscan.streaming import streams as I  # noqa: E402
+
+_GH = "^https://github\\.com/[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+(/.*)?$"
+
+
+@register("valid_repo_urls", with_fixtures(f"""
+SELECT id, url, error IS NULL AS valid, error FROM (
+  SELECT id, url, CASE
+    WHEN NOT starts_with(trim(url), 'https://') THEN 'URL must use HTTPS'
+    WHEN NOT regexp_matches(trim(url), {G.q(_GH)}) THEN 'Invalid GitHub repository URL format'
+    WHEN regexp_extract(trim(url), '^https://([^/?#]*)', 1) <> 'github.com' THEN 'Only github.com URLs are allowed'
+    WHEN len(string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')) < 2
+      THEN 'URL must point to a repository (owner/repo)'
+    WHEN lower(string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[1]
+               || '/' || string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[2])
+         IN ('torvalds/linux', 'microsoft/windows')
+      THEN 'Repository ''' || string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[1]
+               || '/' || string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[2]
+               || ''' is blocked (too large or restricted)'
+    WHEN contains(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '..')
+      OR contains(lower(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1)), '%2e%2e') THEN 'Path traversal detected in URL'
+  END AS error FROM repo_urls) x""", "repo_urls"))
+def q_valid_urls(spark, sf_dir):
+    return A.valid_repo_urls(fixture(spark, sf_dir, "repo_urls")).select("id", "url", "valid", "error")
+
+
+@register("repo_name", with_fixtures("""
+SELECT id, CASE WHEN len(string_split(p, '/')) >= 2 THEN string_split(p, '/')[1] || '/' || string_split(p, '/')[2] ELSE p END AS repo_name
+FROM (SELECT id, regexp_replace(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*', ''), '^([^?#]*)', 1),
+                                '^/+|/+$', '', 'g') AS p FROM repo_urls) x""", "repo_urls"))
+def q_repo_name(spark, sf_dir):
+    u = fixture(spark, sf_dir, "repo_urls")
+    return u.select("id", C.repo_name(F.col("url")).alias("repo_name"))
+
+
+def _rules_values() -> str:
+    rows = []
+    for i, r in enumerate(K.P_RULES, 1):
+        for e in r.languages:
+            rows.append(f"({i}, {G.q(r.id)}, {G.q(e)})")
+    return ", ".join(rows)
+
+
+@register("rule_coverage", with_fixtures(f"""
+SELECT f.ext, CAST(count(*) AS BIGINT) AS files, coalesce(max(r.n_rules), 0) AS n_rules, max(r.rule_ids) AS rule_ids
+FROM (SELECT {G.suffix_ext('path')} AS ext FROM code_files) f
+LEFT JOIN (SELECT ext, CAST(count(*) AS INTEGER) AS n_rules, array_to_string(list(rule_id ORDER BY o), ',') AS rule_ids
+           FROM (VALUES {_rules_values()}) v(o, rule_id, ext) GROUP BY ext) r USING (ext)
+GROUP BY f.ext""", "code_files"))
+def q_rule_coverage(spark, sf_dir):
+    """B1 + B7 applied to a corpus: files per extension and the rules that
+    apply to them (the catalogue side has a fixed size: broadcast)."""
+    from secscan.plans.scan_queries import code_files
+    rm = B.rules_for_extension(B.rules_all(spark)).select(
+        "ext", F.size("rule_ids").cast("int").alias("n_rules"), F.array_join("rule_ids", ",").alias("rule_ids"))
+    files = code_files(spark, sf_dir).select(C.suffix_ext(F.col("path")).alias("ext"))
+    per_ext = files.groupBy("ext").agg(F.count(F.lit(1)).cast("bigint").alias("files"))
+    return per_ext.join(F.broadcast(rm), "ext", "left").select(
+        "ext", "files", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "rule_ids")
+
+
+@register("debounced_scan", with_fixtures("""
+SELECT client, CAST(min(ts_ms) AS BIGINT) AS start_ms, CAST(max(ts_ms) + 1500 AS BIGINT) AS end_ms,
+       arg_max(event_id, [ts_ms, event_id]) AS last_event, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts_ms - prev > 1500 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY client ORDER BY ts_ms, event_id) AS sess
+      FROM (SELECT *, lag(ts_ms) OVER (PARTITION BY client ORDER BY ts_ms, event_id) AS prev FROM requests) a) b
+GROUP BY client, sess""", "requests"))
+def q_debounce(spark, sf_dir):
+    r = fixture(spark, sf_dir, "requests").withColumn("ts", F.timestamp_millis("ts_ms"))
+    d = I.debounced_scan(r, key="client", ts="ts", payload="event_id")
+    return d.select("client", F.unix_millis("s.start").alias("start_ms"), F.unix_millis("s.end").alias("end_ms"),
+                    F.col("last").alias("last_event"), "n")
+
+
+@register("rate_limit", None)
+def q_rate_limit(spark, sf_dir):
+    return I.rate_limit(fixture(spark, sf_dir, "requests"))
+
+
+@register("py_call_facts", None)
+def q_py_facts(spark, sf_dir):
+    from secscan.plans.scan_queries import code_files
+    return FX.py_call_facts(S.p_prepare(code_files(spark, sf_dir)))
+
+
+@register("prompt_table", None)
+def q_prompt_table(spark, sf_dir):
+    from secscan.plans.scan_queries import code_files
+    files = S.p_prepare(code_files(spark, sf_dir))
+    return GE.prompt_table(files, S.scan_ext_rules(spark, files, prepared=True))

@@ -182,6 +182,23 @@ SELECT l_orderkey * 10 + l_linenumber AS fix_id,
 FROM lineitem
 """
 
+FIXTURE_SQL["repo_urls"] = """
+SELECT c_custkey AS id,
+       CASE CAST(c_custkey % 8 AS INT)
+         WHEN 0 THEN concat('https://github.com/', lower(c_mktsegment), '/repo', CAST(c_custkey AS STRING))
+         WHEN 1 THEN concat('http://github.com/o/r', CAST(c_custkey AS STRING))
+         WHEN 2 THEN concat('https://gitlab.com/o/r', CAST(c_custkey AS STRING))
+         WHEN 3 THEN concat('https://github.com/onlyowner', CAST(c_custkey AS STRING))
+         WHEN 4 THEN 'https://github.com/Torvalds/Linux'
+         WHEN 5 THEN concat('https://github.com/a/b/../c', CAST(c_custkey AS STRING))
+         WHEN 6 THEN concat('https://github.com/a/b/%2E%2E/x', CAST(c_custkey AS STRING))
+         ELSE concat('  https://github.com/Owner-', CAST(c_custkey AS STRING), '/repo.name/tree/main?x=1  ')
+       END AS url
+FROM customer
+UNION ALL
+SELECT 1000000000 + page_id AS id, url FROM pages
+"""
+
 FIXTURE_SQL["turns"] = """
 SELECT conv_id, turn, role, text FROM conversations
 """
