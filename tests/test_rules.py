@@ -93,3 +93,17 @@ def test_random_context_severity(spark):
     f = S.t_prepare(_files(spark, [("r", "r.js", "js", content)]))
     got = sorted((r.line_no, r.severity) for r in FX.code_sinks(f).filter(F.col("rule_id") == "VG-RAND-001").collect())
     assert got == [(1, "MEDIUM"), (2, "INFO"), (3, "MEDIUM")]
+
+
+def test_report_sink_roundtrip(spark, tmp_path):
+    from secscan.operators import corpus as A
+    from secscan.operators import rules as B
+    from secscan.operators import scoring as E
+    files = _files(spark, [("r1", "a.py", "py", "x = eval(y)"), ("r2", "b.py", "py", "ok = 1")])
+    f = S.scan_ext_rules(spark, files)
+    scores = E.decay_score(files, f)
+    A.report_sink(f, scores, str(tmp_path / "report"))
+    A.rules_sink(B.rules_all(spark), str(tmp_path / "rules"))
+    back = spark.read.json(str(tmp_path / "report" / "scores"))
+    assert sorted((r.repo, r.score) for r in back.select("repo", "score").collect()) == [("r1", 90), ("r2", 100)]
+    assert spark.read.json(str(tmp_path / "rules")).count() == 71
