@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secscan.llm import chat_format, host_reputation, mixing, quality_rules
+from secscan.llm import chat_format, decontaminate, host_reputation, mixing, quality_rules
 from secscan.llm.common import table
 
 QUERIES: dict = {}
@@ -180,3 +180,47 @@ FROM s WHERE full_epochs > 0 OR before < rest"""
 @register("op6_mixing", Q6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def _canon_sql(src: str, key: str) -> str:
+    """Bare, lower-cased and canonical words of table ``src``."""
+    edge = decontaminate.EDGE.replace("'", "''")
+    units = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+    return f"""{src}_l AS (SELECT {key}, text, raw, list_transform(raw, lambda w: trim(w, '{edge}')) AS bare FROM
+  (SELECT {key}, text, {W_SQL} AS raw FROM {src} WHERE text IS NOT NULL) x),
+{src}_c AS (SELECT {key}, text, list_transform(bare, lambda w: lower(w)) AS low, list_transform(bare, lambda w, i: CASE WHEN w = '' THEN ''
+  WHEN left(w, 1) BETWEEN '0' AND '9' THEN CASE WHEN regexp_matches(lower(w), '^[0-9][0-9.,]*$') THEN '<num>' ELSE '<qty>' END
+  WHEN left(lower(w), 1) <> left(w, 1) AND substr(lower(w), 2, 1) = substr(w, 2, 1) AND i > 1 AND right(raw[i - 1], 1) NOT IN ('.', '!', '?', ':') THEN '<name>'
+  WHEN lower(w) IN ({units}) THEN '<unit>' ELSE lower(w) END) AS canon FROM {src}_l)"""
+
+
+Q3_SQL = f"""
+WITH {_canon_sql("benchmark", "item_id")}, {_canon_sql("documents", "doc_id")},
+items AS (SELECT min(item_id) AS item_id, low, canon, least({decontaminate.WINDOW}, len(canon)) AS size FROM benchmark_c WHERE len(canon) > 0 GROUP BY low, canon),
+iw AS (SELECT item_id, size, min(i) AS ipos, array_to_string(canon[i:i + size - 1], ' ') AS h
+       FROM items, unnest(generate_series(1, len(canon) - size + 1)) AS u(i) GROUP BY item_id, size, array_to_string(canon[i:i + size - 1], ' ')),
+w AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS item_windows FROM iw),
+sizes AS (SELECT DISTINCT size FROM w),
+dw AS (SELECT doc_id, s.size, i AS pos, array_to_string(canon[i:i + s.size - 1], ' ') AS h
+       FROM documents_c, sizes s, unnest(generate_series(1, len(canon) - s.size + 1)) AS u(i)),
+hit AS (SELECT doc_id, pos, item_id, ipos, size, item_windows, pos - ipos AS shift FROM dw JOIN w USING (h, size)),
+enough AS (SELECT doc_id, item_id, first(item_windows) AS item_windows FROM hit GROUP BY doc_id, item_id
+           HAVING count(DISTINCT ipos) >= least({decontaminate.LEAST}, first(item_windows))),
+ln AS (SELECT doc_id, item_id, shift, min(ipos) AS a, max(ipos + size) AS b, list(DISTINCT ipos) AS ips
+       FROM hit JOIN enough USING (doc_id, item_id) GROUP BY doc_id, item_id, shift),
+slots AS (SELECT DISTINCT l.doc_id, l.item_id, l.shift, it.canon[i] AS t, it.low[i] AS x, d.low[i + l.shift] AS y
+          FROM ln l JOIN items it USING (item_id) JOIN documents_c d USING (doc_id), unnest(generate_series(l.a, l.b - 1)) AS u(i)
+          WHERE it.canon[i] IN ('<num>', '<qty>', '<name>', '<unit>') AND it.canon[i] = d.canon[i + l.shift]),
+k AS (SELECT l.doc_id, l.item_id, l.shift, any_value(l.ips) AS ips, CASE WHEN count(s.t) = 0 OR bool_and(s.x = s.y) THEN 2
+        WHEN count(DISTINCT (s.t, s.x)) = count(s.t) AND count(DISTINCT (s.t, s.y)) = count(s.t) THEN 1 ELSE 0 END AS kind
+      FROM ln l LEFT JOIN slots s USING (doc_id, item_id, shift) GROUP BY l.doc_id, l.item_id, l.shift),
+g AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows, max(kind) AS kind
+      FROM (SELECT doc_id, item_id, kind, unnest(ips) AS ipos FROM k WHERE kind > 0) x GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(item_windows AS BIGINT) AS item_windows,
+       CASE kind WHEN 2 THEN 'verbatim' ELSE 'renamed' END AS kind
+FROM g JOIN enough USING (doc_id, item_id) WHERE n_windows >= least({decontaminate.LEAST}, item_windows)"""
+
+
+@register("op3_decontamination", Q3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
