@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secscan.llm import chat_format, decontaminate, host_reputation, mixing, quality_rules
+from secscan.llm import block_anchors, chat_format, decontaminate, host_reputation, mixing, quality_rules
 from secscan.llm.common import table
 
 QUERIES: dict = {}
@@ -224,3 +224,9 @@ FROM g JOIN enough USING (doc_id, item_id) WHERE n_windows >= least({decontamina
 @register("op3_decontamination", Q3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op7_block_anchors")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_anchors.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
