@@ -144,29 +144,35 @@ def later_windows(sent: DataFrame, answers: DataFrame, bits: int, window: int =
 
 
 def answer_bits(rows: pa.Table, row: np.ndarray, marked: np.ndarray) -> pa.Table:
-    """For each packed row its sender gets back a bit per entry; ``runs`` holds the bucket."""
+    """For each packed row its sender gets back a bit per entry; ``runs`` holds the bucket, ``docs`` the sender's part."""
     at = np.searchsorted(row, np.arange(len(rows) + 1))
     packed = [np.packbits(marked[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
     n = np.diff(at).astype(np.int32)
-    bucket = np.asarray(rows["bucket"].to_numpy(), np.int32)
-    empty = pa.array([b""] * len(rows), pa.binary())
+    part, bucket = (pa.array([v.to_bytes(4) for v in rows[c].to_pylist()], pa.binary()) for c in ("part", "bucket"))
     return pa.Table.from_arrays([
-        pa.array(rows["sender"].to_numpy(), pa.int32()), pa.array(np.full(len(rows), LATER, np.int32)), pa.array(n), empty,
-        pa.array([b.tobytes() for b in bucket], pa.binary()), pa.array(packed, pa.binary())], schema=_NOTES)
+        pa.array(rows["sender"].to_numpy(), pa.int32()), pa.array(np.full(len(rows), LATER, np.int32)), pa.array(n), part, bucket,
+        pa.array(packed, pa.binary())], schema=_NOTES)
 
 
-def marked(keys: np.ndarray, answers: pa.Table, bits: int) -> np.ndarray:
-    """The bits of ``answer_bits``, put back to the entries in the order they were found."""
-    out = np.zeros(len(keys), bool)
-    rows = answers.filter(pc.equal(answers["kind"], LATER))
-    got = {np.frombuffer(b, np.int32)[0]: (n, k) for b, n, k in zip(*[rows[c].to_pylist() for c in ("runs", "n", "keys")],
-                                                                    strict=True)}
-    for bucket, at in P.split((keys >> P.U(64 - bits)).astype(np.int64), 1 << bits):
-        n, k = got[bucket]
-        if n != len(at):
-            raise ValueError(f"bucket {bucket}: {n} answers to {len(at)} windows")
-        out[at] = np.unpackbits(np.frombuffer(k, np.uint8), count=n).astype(bool)
-    return out
+class AnswerReader:
+    """The bits of ``answer_bits``, handed out to the entries in the order they were found, part by part."""
+
+    def __init__(self, answers: pa.Table, bits: int) -> None:
+        rows = answers.filter(pc.equal(answers["kind"], LATER))
+        self.bits, self.left = bits, {}
+        for _, bucket, n, k in sorted(zip(*[rows[c].to_pylist() for c in ("docs", "runs", "n", "keys")], strict=True)):
+            got = np.unpackbits(np.frombuffer(k, np.uint8), count=n).astype(bool)
+            self.left.setdefault(int.from_bytes(bucket), []).append(got)
+        self.left = {b: np.concatenate(x) for b, x in self.left.items()}
+
+    def take(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for bucket, at in P.split((keys >> P.U(64 - self.bits)).astype(np.int64), 1 << self.bits):
+            got = self.left[bucket]
+            if len(got) < len(at):
+                raise ValueError(f"bucket {bucket}: {len(got)} answers left for {len(at)} windows")
+            out[at], self.left[bucket] = got[:len(at)], got[len(at):]
+        return out
 
 
 def covered(start: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -202,7 +208,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
         if table is None:
             return fields.empty_table()
         ids, w, copy, word, row, h = candidates(table, right, bits, window, block)
-        gone = covered(word[marked(h, right, bits)], window, len(w.hash))
+        gone = covered(word[AnswerReader(right, bits).take(h)], window, len(w.hash))
         size = np.diff(w.first)
         whole_copy = np.repeat(copy & (size >= window), size)
         stay = ~(gone | whole_copy)

@@ -143,8 +143,8 @@ def group_of(doc_ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(doc_ids.astype(np.int64).view(U) + _SEED) >> U(64 - bits)).astype(np.int32)
 
 
-ENTRIES = "bucket int, sender int, n int, docs binary, runs binary, keys binary, flags binary"
-_ENTRIES = pa.schema([("bucket", pa.int32()), ("sender", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()),
+ENTRIES = "bucket int, sender int, part int, n int, docs binary, runs binary, keys binary, flags binary"
+_ENTRIES = pa.schema([("bucket", pa.int32()), ("sender", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()),
                       ("runs", pa.binary()), ("keys", pa.binary()), ("flags", pa.binary())])
 
 
@@ -166,7 +166,7 @@ def runs(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(docs: np.ndarray, keys: np.ndarray, bits: int, width: int, flags: np.ndarray | None = None,
-         sender: int = -1) -> Iterator[pa.RecordBatch]:
+         sender: int = -1, part: int = 0) -> Iterator[pa.RecordBatch]:
     """One row per bucket: the top ``bits`` of a key name its bucket, the next ``width`` bytes are sent."""
     if not len(keys):
         return
@@ -174,7 +174,7 @@ def pack(docs: np.ndarray, keys: np.ndarray, bits: int, width: int, flags: np.nd
     cols: list[list] = [[] for _ in _ENTRIES]
     for bucket, at in split((keys >> U(64 - bits)).astype(np.int64), 1 << bits):
         d, r = runs(docs[at])
-        row = (bucket, sender, len(at), planes(d), planes(r), planes(low[at], width),
+        row = (bucket, sender, part, len(at), planes(d), planes(r), planes(low[at], width),
                b"" if flags is None else np.packbits(flags[at]).tobytes())
         for c, v in zip(cols, row, strict=True):
             c.append(v)

@@ -32,3 +32,22 @@ def block_anchors(docs: list[tuple], window: int = 13) -> dict:
                 gone.update(range(i, i + window))
         out[d] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+def suffix_buckets(docs: list[tuple], length: int = 100) -> dict:
+    """doc_id -> (n_bytes, n_removed, n_spans, digest of the kept bytes); ids must be distinct."""
+    seen: set = set()
+    out = {}
+    for d, t in sorted(docs, key=lambda r: r[0]):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            s = data[i:i + length]
+            if s in seen:
+                gone[i:i + length] = b"\x01" * length
+            else:
+                seen.add(s)
+        kept = bytes(c for c, g in zip(data, gone) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out[d] = (len(data), sum(gone), spans, sha(kept))
+    return out
