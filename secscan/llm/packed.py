@@ -40,6 +40,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def times(n: int) -> np.uint64:
+    """n steps of the rolling factor, modulo 2^64."""
+    return U(n * int(_ROLL) & 0xFFFFFFFFFFFFFFFF)
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k neighbours of ``h`` (length n - k + 1)."""
     n = len(h) - k + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secscan.llm import block_anchors, chat_format, decontaminate, host_reputation, mixing, quality_rules, suffix_buckets
+from secscan.llm import bagminhash, block_anchors, chat_format, decontaminate, host_reputation, mixing, quality_rules, suffix_buckets
 from secscan.llm.common import table
 
 QUERIES: dict = {}
@@ -236,3 +236,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_buckets.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op4_bagminhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,3 +52,26 @@ def suffix_buckets(docs: list[tuple], length: int = 100) -> dict:
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[d] = (len(data), sum(gone), spans, sha(kept))
     return out
+
+
+def near_classes(docs: list[tuple], size: int = 5, threshold: float = 0.8) -> dict:
+    """doc_id -> smallest doc_id of its class, by the exact multiset similarity of all pairs that share a shingle."""
+    bags, having = {}, defaultdict(list)
+    for d, t in docs:
+        w = words(t)
+        bags[d] = Counter(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter()
+        for s in bags[d]:
+            having[s].append(d)
+    label = {d: d for d, _ in docs}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in {(x, y) for ids in having.values() for x in ids for y in ids if x < y}:
+        total = sum((bags[a] | bags[b]).values())
+        if total and sum((bags[a] & bags[b]).values()) >= threshold * total:
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    return {d: root(d) for d, _ in docs}
