@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secscan.llm import bagminhash, block_anchors, chat_format, decontaminate, host_reputation, mixing, quality_rules, suffix_buckets
+from secscan.llm import bagminhash, block_anchors, chat_format, decontaminate, host_reputation, mixing, quality_rules, separator_scan, suffix_buckets
 from secscan.llm.common import table
 
 QUERIES: dict = {}
@@ -241,3 +241,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_bagminhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: the split pattern that belongs to the vocabulary (fixed value)
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+END_OF_TEXT = 50256
+
+
+@register("op5_separator_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, SPLIT, END_OF_TEXT)
