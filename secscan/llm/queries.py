@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secscan.llm import bagminhash, block_anchors, chat_format, decontaminate, host_reputation, mixing, quality_rules, separator_scan, suffix_buckets
+from secscan.llm import bagminhash, block_anchors, chat_format, decontaminate, host_reputation, kneser_ney, mixing, quality_rules, separator_scan, suffix_buckets
 from secscan.llm.common import table
 
 QUERIES: dict = {}
@@ -252,3 +252,8 @@ END_OF_TEXT = 50256
 @register("op5_separator_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, SPLIT, END_OF_TEXT)
+
+
+@register("op9_kneser_ney")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_corpus(table(spark, sf_dir, "documents"))

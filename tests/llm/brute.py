@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,3 +77,43 @@ def near_classes(docs: list[tuple], size: int = 5, threshold: float = 0.8) -> di
             x, y = sorted((root(a), root(b)))
             label[y] = x
     return {d: root(d) for d, _ in docs}
+
+
+def _discounts(counts) -> list[float]:
+    n = [sum(1 for c in counts if c == k) for k in (1, 2, 3, 4)]
+    if min(n) == 0:
+        return [0.5, 1.0, 1.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3)]
+
+
+def kneser_ney(docs: list[tuple]) -> dict:
+    """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    toks = {d: [*words((t or "").translate(lower)), None] for d, t in docs}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in toks}
+    uni, pair = Counter(), Counter()
+    for d, t in toks.items():
+        if not held[d]:
+            uni.update(t)
+            pair.update(zip([0, *t[:-1]], t))
+    total, followers, before = Counter(), defaultdict(list), Counter()
+    for (u, w), c in pair.items():
+        total[u] += c
+        followers[u].append(min(c, 3))
+        before[w] += 1
+    dp, dw = [0.0, *_discounts(pair.values())], [0.0, *_discounts(before.values())]
+    n, v, a = sum(uni.values()), len(uni), sum(before.values())
+    left = sum(dw[min(c, 3)] for c in before.values()) / a if a else 1.0
+    rest = {u: sum(dp[k] for k in f) for u, f in followers.items()}
+    out = {}
+    for d, t in toks.items():
+        score = 0.0
+        for u, w in zip([0, *t[:-1]], t):
+            p = left / (v + 1) + ((before[w] - dw[min(before[w], 3)]) / a if before[w] else 0.0)
+            if total[u]:
+                c = pair[u, w]
+                p = ((c - dp[min(c, 3)] if c else 0.0) + rest[u] * p) / total[u]
+            score += math.log10(p)
+        out[d] = (held[d], len(t), sum(1 for w in t if uni[w]), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), score)
+    return out
