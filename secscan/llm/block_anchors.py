@@ -12,7 +12,7 @@ Windows are compared by 64 bits of hash (a block hit by 40 bits and its bucket,
 
 Defined results: null and empty texts have no words; rows without doc_id keep all words and remove none elsewhere;
 rows with the same doc_id do not remove from each other, as neither id is smaller; texts shorter than a window stay.
-Extra columns are carried along.
+Extra columns are carried along; one with the name of a result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -195,6 +195,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
     """All columns of ``docs`` plus n_words, n_removed, kept_sha256 and kept_text (kept words, one space between)."""
     if 2 * block - 1 > window:
         raise ValueError("a window must be able to hold a whole block at any offset")
+    new = ("n_words", "n_removed", "kept_sha256", "kept_text")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     bits = P.bits_for(docs)
     answers = written(block_hits(docs, bits, block).unionAll(copies(docs, bits)), "block-hits")
     sent = P.parcels(docs, bits)
@@ -229,3 +231,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
                                     schema=fields)
 
     return sent.groupBy("grp").cogroup(answers.unionAll(later).groupBy("grp")).applyInArrow(cut, schema)
+
+
+def clean_documents(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """``docs`` with the repeats cut from their texts; documents of which nothing is left go, others keep all columns.
+
+    A text without a repeat is unchanged; the others are their kept words.  ``n_chars``, if there, follows the text.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    out = dedup(packed, window, block).filter("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") == 0, F.col("_row.text")).otherwise(F.col("kept_text"))
+    made = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("_row.n_chars")).otherwise(
+        F.length("kept_text")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ names, while texts that merely share a pattern with unrelated values are not.
 
 Defined results: null and empty texts on either side match nothing; an item with fewer words than a window is matched
 as a whole; items with the same template and the same words are one item, the one with the smallest id, as are
-windows repeated within an item.  Repeated doc_ids count as one document.
+windows repeated within an item.  Repeated doc_ids count as one document; rows without doc_id are never reported.
 """
 
 from __future__ import annotations

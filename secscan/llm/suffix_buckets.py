@@ -20,7 +20,8 @@ Exact copies need no search: every string of a copy is in the copy with the smal
 
 Defined results: null texts are empty; rows without doc_id keep all bytes and remove none elsewhere; among rows with
 the same doc_id the one whose text sorts first is the earlier; texts shorter than ``length`` can only lose bytes to
-nothing and stay.  Extra columns are carried along.  Kept bytes need not be valid UTF-8: ``kept`` is binary.
+nothing and stay.  Extra columns are carried along; one with the name of a
+result column is replaced by it.  Kept bytes need not be valid UTF-8: ``kept`` is binary.
 """
 
 from __future__ import annotations
@@ -153,6 +154,8 @@ def parts(table: pa.Table) -> Iterator[pa.Table]:
 
 def dedup(docs: DataFrame, length: int = LENGTH, q: int = GRAM) -> DataFrame:
     """All columns of ``docs`` plus n_bytes, n_removed, n_spans, kept_sha256 and kept (binary)."""
+    new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     bits = P.bits_for(docs)
     answers = written(shared_grams(docs, bits, length, q).unionAll(B.copies(docs, bits)), "shared-grams")
     sent = P.parcels(docs, bits)
