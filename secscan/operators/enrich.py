@@ -6,15 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from secscan.operators.corpus import broadcast_if_small
-
 CODE_LIMIT = 12_000  # FIXED VALUE: characters of code sent per file.
 # FIXED VALUES: explanation template keys, in lookup order.
 TEMPLATE_KEYS = ("SQL Injection", "Hardcoded Secret", "XSS")
 
 
-def prompt_table(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """G1: one prompt per file that has findings; code cut at 12,000 chars.
+def prompt_table(files: DataFrame, findings: DataFrame, part_chars: int = CODE_LIMIT) -> DataFrame:
+    """G1: prompts for each file that has findings, in numbered parts of ``part_chars`` characters of code: all of it.
 
     Findings are listed per file first (a shuffle of the small finding rows),
     then joined to the file rows."""
@@ -22,10 +20,12 @@ def prompt_table(files: DataFrame, findings: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.format_string("L%d %s %s", F.col("line_no"), F.col("rule_id"),
                                                                     F.col("severity")))), "\n").alias("finding_list"))
     j = files.select("repo", "path", "content").join(per_file, ["repo", "path"])
-    code = F.when(F.length("content") > CODE_LIMIT,
-                  F.concat(F.substring("content", 1, CODE_LIMIT), F.lit("\n... [truncated]"))).otherwise(F.col("content"))
-    return j.select("repo", "path", F.concat(F.lit("File: "), F.col("path"), F.lit("\nFindings:\n"), F.col("finding_list"),
-                                             F.lit("\nCode:\n"), code).alias("prompt"))
+    n = F.greatest(F.lit(1), F.ceil(F.length("content") / part_chars)).cast("int")
+    j = j.withColumn("parts", n).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    code = F.substring("content", (F.col("part") - 1) * part_chars + 1, F.lit(part_chars))
+    return j.select("repo", "path", "part", "parts", F.concat(
+        F.lit("File: "), F.col("path"), F.lit("\nPart: "), F.col("part").cast("string"), F.lit(" of "), F.col("parts").cast("string"),
+        F.lit("\nFindings:\n"), F.col("finding_list"), F.lit("\nCode:\n"), code).alias("prompt"))
 
 
 def finding_prompts(findings: DataFrame, kind: str = "explain") -> DataFrame:
@@ -76,16 +76,16 @@ def static_explanations(spark: SparkSession, findings: DataFrame) -> DataFrame:
 
 
 def bulk_explanations(findings: DataFrame, n: int = 5, by: str = "repo", order=("seq",)) -> DataFrame:
-    """The first n (n <= 10) findings per scan, each keeping its own id."""
-    n = max(1, min(n, 10))
+    """The first ``n`` findings per scan, each keeping its own id."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
     w = Window.partitionBy(by).orderBy(*order)
     return findings.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def provider_fallback(answers: DataFrame, priority: DataFrame) -> DataFrame:
     """First non-empty answer by provider priority, with the winner."""
-    p = broadcast_if_small(priority, 10_000)
-    ok = answers.filter(F.coalesce(F.length("body"), F.lit(0)) > 0).join(p, "provider")
+    ok = answers.filter(F.coalesce(F.length("body"), F.lit(0)) > 0).join(priority, "provider")
     return ok.groupBy("finding_id").agg(F.min_by(F.struct("provider", "body"), F.col("prio")).alias("w")) \
         .select("finding_id", F.col("w.provider").alias("provider"), F.col("w.body").alias("body"))
 
@@ -97,14 +97,15 @@ def fix_risk(fixes: DataFrame) -> DataFrame:
     base_conf = F.coalesce(F.col("confidence"), F.lit(85)) if "confidence" in fixes.columns else F.lit(85)
     crit = (F.col("severity") == "CRITICAL") | fixed.contains("eval") | fixed.contains("exec")
     conf = F.when(crit, F.least(base_conf, F.lit(60))).otherwise(base_conf)
+    given = F.coalesce(F.col("risk_level"), F.lit("Safe")) if "risk_level" in fixes.columns else F.lit("Safe")
     risk = (F.when(F.lower(fixed).contains("delete") | F.lower(fixed).contains("drop"), F.lit("High Risk"))
-            .when(crit, F.lit("Needs Review")).otherwise(F.lit("Safe")))
+            .when(crit, F.lit("Needs Review")).otherwise(given))
     return fixes.withColumn("confidence", conf.cast("int")).withColumn("risk", risk)
 
 
 def static_fix(findings: DataFrame) -> DataFrame:
-    """Fallback fix text with the snippet (trimmed) cut at 200 chars."""
-    snip = F.substring(F.trim(F.coalesce(F.col("snippet"), F.lit(""))), 1, 200)
+    """Fallback fix text with the whole snippet (trimmed)."""
+    snip = F.trim(F.coalesce(F.col("snippet"), F.lit("")))
     return findings.withColumn("fixed_code", F.concat(F.lit("# TODO: secure fix for "), F.col("rule_name"),
                                                       F.lit("\n# Original code:\n# "), snip))
 
@@ -123,17 +124,26 @@ def line_changes(fixes: DataFrame, key=("fix_id",)) -> DataFrame:
 
 
 def enrichment_cache(requests: DataFrame, answers: DataFrame, ttl_s: int = 3600) -> DataFrame:
-    """Reuse the latest answer with the same key younger than ttl.
-    Equi-join on the key plus a time-range condition."""
-    a = answers.select(F.col("key"), F.col("ts").alias("a_ts"), F.col("body"))
-    cond = (requests["key"] == a["key"]) & (a["a_ts"] < requests["ts"]) & \
-           (requests["ts"] <= a["a_ts"] + F.expr(f"INTERVAL {ttl_s} SECONDS"))
-    j = requests.join(a, cond, "left").drop(a["key"])
-    return j.groupBy(*requests.columns).agg(F.max_by("body", "a_ts").alias("cached_body"))
+    """Reuse the latest earlier answer with the same key, if it is at most ``ttl_s`` old.
+
+    An as-of step: requests and answers are put in one order per key and each request takes the last answer before
+    it, so no request meets every answer, and equal requests stay separate rows."""
+    extra = [c for c in requests.columns if c not in ("key", "ts")]
+    req = requests.select("key", "ts", F.struct(*extra, F.lit(True).alias("_is")).alias("_r"),
+                          F.lit(None).cast("string").alias("_body"), F.lit(None).cast("timestamp").alias("_at"))
+    ans = answers.select("key", "ts", F.lit(None).cast(req.schema["_r"].dataType).alias("_r"), F.col("body").alias("_body"),
+                         F.col("ts").alias("_at"))
+    # an answer counts for later requests only: at equal times the request comes first
+    w = Window.partitionBy("key").orderBy("ts", F.col("_r").isNull(), "_body").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_r").isNull(), F.struct("_body", "_at")), ignorenulls=True).over(w)
+    j = req.unionByName(ans).withColumn("_a", last).filter("_r IS NOT NULL")
+    fresh = F.col("ts") <= F.col("_a._at") + F.expr(f"INTERVAL {ttl_s} SECONDS")
+    return j.select(*[F.col(c) if c in ("key", "ts") else F.col(f"_r.{c}") for c in requests.columns],
+                    F.when(fresh, F.col("_a._body")).alias("cached_body"))
 
 
 def cache_key(kind: Column, rule: Column, snippet: Column) -> Column:
-    return F.md5(F.concat_ws(":", kind, rule, F.substring(F.coalesce(snippet, F.lit("")), 1, 100)))
+    return F.md5(F.concat_ws(":", kind, rule, F.coalesce(snippet, F.lit(""))))
 
 
 def chat_context(turns: DataFrame, n: int = 10) -> DataFrame:

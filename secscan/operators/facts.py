@@ -5,16 +5,16 @@ from comment-stripped JS/TS lines with RE2-compatible regexes (so the DuckDB
 oracle can run the very same patterns), one fact per (rule, severity, line).
 Taint (C7) is a per-file fold over assignment facts in source order.
 
-Python (C8) uses the standard ``ast`` module inside ``mapInPandas``: the only
-per-row Python; every judgement after extraction (C9-C11) is a join or filter.
+Python (C9-C11) is read the same way: calls and asserts on executable lines,
+several per line, judged by column expressions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from secscan.functions import columns as C
 from secscan.operators import corpus as A
 from secscan.sources import catalogue as K
 
@@ -48,8 +48,6 @@ P_SOURCE = r"^\s*req\s*\.\s*(body|query|params|headers)\s*(;|,|\)|$)"
 def js_lines(files: DataFrame) -> DataFrame:
     """Comment-stripped (//) lines of JS/TS files with their numbers."""
     js = files.filter(F.col("path").rlike(K.T_FAMILIES["js"]))
-    if "oversize" in js.columns:
-        js = js.filter(~F.col("oversize"))
     return A.executable_lines(js, "doubleslash", keep=("repo", "path"))
 
 
@@ -170,97 +168,61 @@ def structural_findings(files: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-# ---------------------------------------------------------------- C8-C11 Python facts
-PY_FACT_SCHEMA = T.StructType([
-    T.StructField("repo", T.StringType()), T.StructField("path", T.StringType()),
-    T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()),
-    T.StructField("col", T.IntegerType()), T.StructField("func", T.StringType()),
-    T.StructField("arg_kinds", T.ArrayType(T.StringType())), T.StructField("text", T.StringType()),
-])
-
-
-def _py_facts_batch(batches):
-    """Per file: calls (dotted name, positional argument kinds) and asserts."""
-    import ast
-
-    import pandas as pd
-
-    def dotted(node):
-        if isinstance(node, ast.Name):
-            return node.id
-        if isinstance(node, ast.Attribute):
-            base = dotted(node.value)
-            return f"{base}.{node.attr}" if base else node.attr
-        return ""
-
-    def kind(arg):
-        if isinstance(arg, ast.BinOp):
-            return "binop"
-        if isinstance(arg, ast.JoinedStr):
-            return "fstring"
-        if isinstance(arg, ast.Call):
-            return "call"
-        if isinstance(arg, ast.Constant):
-            return "constant"
-        if isinstance(arg, ast.Name):
-            return "name"
-        return type(arg).__name__.lower()
-
-    for pdf in batches:
-        out = []
-        for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
-            try:
-                tree = ast.parse(content or "")
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                continue
-            lines = (content or "").splitlines()
-            for node in ast.walk(tree):
-                if isinstance(node, ast.Call):
-                    out.append((repo, path, "call", node.lineno, node.col_offset, dotted(node.func),
-                                [kind(a) for a in node.args], ""))
-                elif isinstance(node, ast.Assert):
-                    out.append((repo, path, "assert", node.lineno, node.col_offset, "", [], ast.unparse(node.test)))
-        yield pd.DataFrame(out, columns=[f.name for f in PY_FACT_SCHEMA.fields])
-
-
-def py_call_facts(files: DataFrame) -> DataFrame:
-    """Syntax facts of .py files (unparsable file -> no rows)."""
-    py = files.filter(F.lower(F.col("path")).endswith(".py")).select("repo", "path", "content")
-    return py.mapInPandas(_py_facts_batch, PY_FACT_SCHEMA)
-
-
-def py_sinks(spark: SparkSession) -> DataFrame:
-    rows = [(i, s, "CRITICAL" if s in K.PY_CRITICAL_SINKS else "HIGH") for i, s in enumerate(K.PY_SINKS, 1)]
-    return spark.createDataFrame(rows, "sink_order int, sink string, severity string")
-
-
-def py_dangerous_calls(spark: SparkSession, facts: DataFrame) -> DataFrame:
-    """Call name equals a sink or ends with '.<sink>'; first sink in list
-    order wins.  The sink list has a fixed size, so it is broadcast."""
-    calls = facts.filter(F.col("kind") == "call")
-    sinks = F.broadcast(py_sinks(spark))
-    last = F.try_element_at(F.split(sinks["sink"], r"\."), F.lit(-1))
-    cond = (calls["func"] == sinks["sink"]) | calls["func"].endswith(F.concat(F.lit("."), last))
-    j = calls.join(sinks, cond)
-    w = Window.partitionBy("repo", "path", "line", "col").orderBy("sink_order")
-    best = j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-    rid = F.concat(F.lit("AST-PY-"), F.substring(F.upper(F.replace(F.col("sink"), F.lit("."), F.lit("_"))), 1, 15))
-    return best.select("repo", "path", "line", "col", "func", "sink", "severity", rid.alias("rule_id"))
+# ---------------------------------------------------------------- C9-C11 Python facts
+#: a dotted name and its opening bracket
+P_CALL = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\s*\("
+P_ASSERT = r"^\s*assert\s+(.*)$"
+
+
+def py_facts(files: DataFrame) -> DataFrame:
+    """Calls and asserts on the executable lines of Python files, one row each.
+
+    ``args`` is the text after the bracket up to the next call on the line; ``nested`` says that the first argument is
+    itself a call.  Names are read line by line, so a call whose bracket opens on the next line is not seen."""
+    lines = A.executable_lines(files.filter(C.suffix_ext(F.col("path")) == "py"), "hash", keep=("repo", "path"))
+    found = lines.filter(F.col("line").rlike(P_CALL) | F.col("line").rlike(P_ASSERT)).select(
+        "repo", "path", "line_no", "line", F.regexp_extract_all("line", F.lit(P_CALL), 1).alias("_names"),
+        F.split("line", P_CALL, -1).alias("_rest"))
+    call = F.transform("_names", lambda n, i: F.struct(
+        F.lit("call").alias("kind"), i.alias("pos"), n.alias("func"), F.get("_rest", i + 1).alias("args"),
+        ((F.trim(F.get("_rest", i + 1)) == "") & (i + 1 < F.size("_names"))).alias("nested")))
+    check = F.struct(F.lit("assert").alias("kind"), F.lit(-1).alias("pos"), F.lit("").alias("func"),
+                     F.regexp_extract("line", P_ASSERT, 1).alias("args"), F.lit(False).alias("nested"))
+    both = F.when(F.col("line").rlike(P_ASSERT), F.concat(F.array(check), call)).otherwise(call)
+    return found.select("repo", "path", "line_no", F.explode(both).alias("f")).select("repo", "path", "line_no", "f.*")
+
+
+def _py_sink(func: Column, value) -> Column:
+    """First sink in list order that the name equals, or whose last part follows a dot in it."""
+    expr = F.lit(None).cast("string")
+    for s in reversed(K.PY_SINKS):
+        expr = F.when((func == s) | func.endswith("." + s.rsplit(".", 1)[-1]), F.lit(value(s))).otherwise(expr)
+    return expr
+
+
+def py_dangerous_calls(facts: DataFrame) -> DataFrame:
+    """Calls of a sink."""
+    rule = _py_sink(F.col("func"), lambda s: "AST-PY-" + s.replace(".", "_").upper()[:15])
+    severity = _py_sink(F.col("func"), lambda s: "CRITICAL" if s in K.PY_CRITICAL_SINKS else "HIGH")
+    return facts.filter("kind = 'call'").select("repo", "path", "line_no", "pos", rule.alias("rule_id"),
+                                                severity.alias("severity")).filter("rule_id IS NOT NULL")
 
 
 def py_dynamic_sql(facts: DataFrame) -> DataFrame:
     """SQL-like call with a concatenated, f-string or call argument."""
-    calls = facts.filter(F.col("kind") == "call")
-    name = F.lower(F.col("func"))
-    sqlish = name.contains("execute") | name.contains("cursor") | name.contains("query") | name.contains("raw")
-    dyn = F.exists("arg_kinds", lambda k: k.isin("binop", "fstring", "call"))
-    return calls.filter(sqlish & dyn).select("repo", "path", "line", "col", "func",
-                                             F.lit("AST-PY-SQL001").alias("rule_id"),
-                                             F.lit("CRITICAL").alias("severity"))
+    sqlish = F.lower("func").rlike("execute|cursor|query|raw")
+    dynamic = F.col("nested") | F.col("args").contains("+") | F.col("args").rlike("^\\s*[fF][\"']")
+    return facts.filter((F.col("kind") == "call") & sqlish & dynamic).select(
+        "repo", "path", "line_no", "pos", F.lit("AST-PY-SQL001").alias("rule_id"), F.lit("CRITICAL").alias("severity"))
 
 
 def py_assert_guard(facts: DataFrame) -> DataFrame:
     """C11: assert used as an access check."""
-    a = facts.filter(F.col("kind") == "assert")
-    return a.filter(F.lower("text").rlike("auth|user|admin|login|permission")).select(
-        "repo", "path", "line", "col", F.lit("AST-PY-ASSERT001").alias("rule_id"), F.lit("MEDIUM").alias("severity"))
+    return facts.filter((F.col("kind") == "assert") & F.lower("args").rlike("auth|user|admin|login|permission")).select(
+        "repo", "path", "line_no", "pos", F.lit("AST-PY-ASSERT001").alias("rule_id"), F.lit("MEDIUM").alias("severity"))
+
+
+def py_findings(files: DataFrame) -> DataFrame:
+    """C9 + C10 + C11 as finding rows; ``pos`` tells several on one line apart."""
+    facts = py_facts(files)
+    return py_dangerous_calls(facts).unionByName(py_dynamic_sql(facts)).unionByName(py_assert_guard(facts))

@@ -95,7 +95,7 @@ def threshold_gate(scores: DataFrame, threshold: int = 70) -> DataFrame:
 
 # ---------------------------------------------------------------- E7 / E8
 def scan_stats(files: DataFrame, lines_per_file: DataFrame) -> DataFrame:
-    """files scanned / skipped (oversize) and lines per repo."""
+    """files scanned, files reported as oversize, and lines per repo."""
     f = files.groupBy("repo").agg(
         F.count(F.lit(1)).cast("bigint").alias("files_total"),
         F.sum(F.when(F.col("oversize"), 1).otherwise(0)).cast("bigint").alias("files_oversize"))

@@ -91,10 +91,9 @@ def t_family_flags(path: Column) -> dict[str, Column]:
     return flags
 
 
-def t_prepare(files: DataFrame, ignore=()) -> DataFrame:
-    """A2 + A3 + A4 for engine T."""
-    f = A.size_gate(A.drop_ignored_paths(A.scannable_files(files, "T"), ignore, "T"), "T")
-    return A.spread(f, "repo", "path")
+def t_prepare(files: DataFrame, ignore=(), max_bytes: int | None = None) -> DataFrame:
+    """A2 + A3 + A4 for engine T: ``oversize`` is reported, nothing is skipped for its size."""
+    return A.size_gate(A.drop_ignored_paths(A.scannable_files(files, "T"), ignore, "T"), "T", max_bytes)
 
 
 _T_RAW_FAMS = ("java", "cpp", "php", "rb", "go", "dart", "docker", "tf")
@@ -107,7 +106,7 @@ def t_line_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> Data
     before the explode; every line then runs one projection of literal
     patterns gated by those flags."""
     rules = [r for r in (rules or K.T_RULES) if r.scope in ("raw", "exec") and r.enabled]
-    f = files.filter(~F.col("oversize"))
+    f = files
     flags = t_family_flags(F.col("path"))
     marker = F.lit(False)
     for m in K.XML_HARDENING_MARKERS:
@@ -141,7 +140,7 @@ def t_line_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> Data
 def t_entropy_findings(files: DataFrame) -> DataFrame:
     """Quoted literal values passing the entropy test -> VG-SEC-001."""
     lit_re = r"""["']([^"'\s]{12,})["']"""
-    lines = A.explode_lines(files.filter(~F.col("oversize")), "T", keep=("repo", "path"))
+    lines = A.explode_lines(files, "T", keep=("repo", "path"))
     cand = lines.filter(F.col("line").rlike(lit_re))
     vals = F.regexp_extract_all(F.col("line"), F.lit(lit_re), 1)
     hit = cand.filter(F.exists(vals, lambda v: C.is_high_entropy_secret(v)))
@@ -162,11 +161,9 @@ def entropy_secrets(spark: SparkSession, files: DataFrame, prepared: bool = Fals
 
 
 # ---------------------------------------------------------------- engine P
-def p_prepare(files: DataFrame, cap: bool = True) -> DataFrame:
-    """A2 + A3 + A4 (+ A5) for engine P."""
-    f = A.size_gate(A.drop_ignored_paths(A.scannable_files(files, "P"), (), "P"), "P")
-    f = A.cap_files(f) if cap else f
-    return A.spread(f, "repo", "path")
+def p_prepare(files: DataFrame) -> DataFrame:
+    """A2 + A3 for engine P: all files, of any size."""
+    return A.drop_ignored_paths(A.scannable_files(files, "P"), (), "P")
 
 
 def p_line_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
@@ -252,22 +249,15 @@ def scan_ext_rules(spark: SparkSession, files: DataFrame, passes=(1, 2), prepare
 
 
 # ---------------------------------------------------------------- C18 snippets
-def snippets(findings: DataFrame, files: DataFrame, engine: str = "P", broadcast_max_rows: int = 2_000_000
-             ) -> DataFrame:
+def snippets(findings: DataFrame, files: DataFrame, engine: str = "P") -> DataFrame:
     """Attach context lines to findings.
 
-    Findings are grouped per file (small) and joined to their file rows; the
-    context is sliced from the file's own lines, so no line table is
-    shuffled.  The per-file lists are persisted (they are small) so the size
-    check and the join read them once; they are broadcast only when the
-    checked count is below ``broadcast_max_rows``, otherwise both sides are
-    shuffled on (repo, path) (co-located when the files table is bucketed by
-    those keys).
+    Findings are grouped per file (small) and joined to their file rows; the context is sliced from the file's own
+    lines, so no line table is shuffled.  How the join is done is left to Spark's statistics; with the files table
+    bucketed by (repo, path) it needs no exchange of contents.
     """
     cols = [c for c in findings.columns if c not in ("repo", "path")]
-    per_file = findings.groupBy("repo", "path").agg(F.collect_list(F.struct(*cols)).alias("_f")).persist()
-    n = per_file.limit(broadcast_max_rows + 1).count()
-    side = F.broadcast(per_file) if n <= broadcast_max_rows else per_file
+    side = findings.groupBy("repo", "path").agg(F.collect_list(F.struct(*cols)).alias("_f"))
     j = files.select("repo", "path", "content").join(side, ["repo", "path"])
     lines = A.split_lines(F.col("content"), "P" if engine == "P" else "T")
     ex = j.select("repo", "path", lines.alias("_lines"), F.explode("_f").alias("w"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from secscan.operators import deps as D
 from secscan.plans import sqlgen as G
+from secscan.plans.scan_queries import P_FINDINGS_SQL
 from secscan.sources.fixtures import fixture, with_fixtures
 
 QUERIES: dict = {}
@@ -443,19 +444,27 @@ def q_debounce(spark, sf_dir):
                     F.col("last").alias("last_event"), "n")
 
 
-@register("rate_limit", None)
-def q_rate_limit(spark, sf_dir):
-    return I.rate_limit(fixture(spark, sf_dir, "requests"))
-
-
-@register("py_call_facts", None)
-def q_py_facts(spark, sf_dir):
-    from secscan.plans.scan_queries import code_files
-    return FX.py_call_facts(S.p_prepare(code_files(spark, sf_dir)))
-
-
-@register("prompt_table", None)
+@register("prompt_table", with_fixtures(P_FINDINGS_SQL + f""",
+lists AS (SELECT repo, path, string_agg(l, chr(10) ORDER BY l) AS finding_list FROM (
+   SELECT repo, path, 'L' || line_no || ' ' || rule_id || ' ' || severity AS l FROM p_findings JOIN sev USING (rule_id)) x
+   GROUP BY repo, path),
+cut AS (SELECT repo, path, content, finding_list, greatest(1, CAST(ceil(length(content) / {GE.CODE_LIMIT}.0) AS INTEGER)) AS parts
+        FROM p_files JOIN lists USING (repo, path))
+SELECT repo, path, CAST(k AS INTEGER) AS part, parts, 'File: ' || path || chr(10) || 'Part: ' || k || ' of ' || parts || chr(10)
+  || 'Findings:' || chr(10) || finding_list || chr(10) || 'Code:' || chr(10)
+  || substr(content, CAST((k - 1) * {GE.CODE_LIMIT} + 1 AS BIGINT), {GE.CODE_LIMIT}) AS prompt
+FROM cut, unnest(generate_series(1, parts)) AS u(k)""", "code_files"))
 def q_prompt_table(spark, sf_dir):
     from secscan.plans.scan_queries import code_files
     files = S.p_prepare(code_files(spark, sf_dir))
     return GE.prompt_table(files, S.scan_ext_rules(spark, files, prepared=True))
+
+
+@register("enrichment_cache", with_fixtures("""
+SELECT event_id, client AS key, (SELECT CAST(a.event_id AS VARCHAR) FROM requests a WHERE a.client = r.client AND a.event_id % 3 = 0
+    AND a.ts_ms < r.ts_ms AND r.ts_ms <= a.ts_ms + 60000 ORDER BY a.ts_ms DESC, CAST(a.event_id AS VARCHAR) DESC LIMIT 1) AS cached_body
+FROM requests r""", "requests"))
+def q_enrichment_cache(spark, sf_dir):
+    r = fixture(spark, sf_dir, "requests").select("event_id", F.col("client").alias("key"), F.timestamp_millis("ts_ms").alias("ts"))
+    a = r.filter("event_id % 3 = 0").select("key", "ts", F.col("event_id").cast("string").alias("body"))
+    return GE.enrichment_cache(r, a, 60).select("event_id", "key", "cached_body")

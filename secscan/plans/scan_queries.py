@@ -21,6 +21,9 @@ from secscan.sources.fixtures import fixture, with_fixtures
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+#: small enough to be met by the given tables
+REPORT_BYTES, CAP = 8_000, 5
+
 
 def register(name: str, oracle: str | None = None):
     def deco(fn):
@@ -67,22 +70,22 @@ def q_ignored_t(spark, sf_dir):
 
 
 @register("drop_ignored_paths_p", with_fixtures(
-    f"SELECT repo, path FROM ({G.p_files_cte(cap=False)}) t", "code_files"))
+    f"SELECT repo, path FROM ({G.p_files_cte()}) t", "code_files"))
 def q_ignored_p(spark, sf_dir):
     f = A.scannable_files(code_files(spark, sf_dir), "P")
-    return A.size_gate(A.drop_ignored_paths(f, (), "P"), "P").select("repo", "path")
+    return A.drop_ignored_paths(f, (), "P").select("repo", "path")
 
 
 @register("size_gate_t", with_fixtures(
-    f"SELECT repo, path, oversize FROM ({G.t_files_cte()}) t", "code_files"))
+    f"SELECT repo, path, oversize FROM ({G.t_files_cte(max_bytes=REPORT_BYTES)}) t", "code_files"))
 def q_size_gate_t(spark, sf_dir):
-    return S.t_prepare(code_files(spark, sf_dir)).select("repo", "path", "oversize")
+    return S.t_prepare(code_files(spark, sf_dir), max_bytes=REPORT_BYTES).select("repo", "path", "oversize")
 
 
 @register("cap_files", with_fixtures(
-    f"SELECT repo, path FROM ({G.p_files_cte(cap=True)}) t", "code_files"))
+    f"SELECT repo, path FROM ({G.p_files_cte(cap=CAP)}) t", "code_files"))
 def q_cap_files(spark, sf_dir):
-    return S.p_prepare(code_files(spark, sf_dir)).select("repo", "path")
+    return A.cap_files(S.p_prepare(code_files(spark, sf_dir)), CAP).select("repo", "path")
 
 
 @register("explode_lines_t", with_fixtures(
@@ -140,7 +143,7 @@ def q_file_kind(spark, sf_dir):
 
 
 # ====================================================================== C: engine P
-P_PRELUDE = [("p_files", G.p_files_cte(cap=True))]
+P_PRELUDE = [("p_files", G.p_files_cte())]
 
 
 def _p_lines_cte() -> tuple[str, str]:
@@ -195,16 +198,65 @@ def q_scan_multiline(spark, sf_dir):
                                           F.col("col").cast("int").alias("col"))
 
 
+from secscan.operators import facts as FX  # noqa: E402
+
+
+def _py_case(value) -> str:
+    return "CASE " + " ".join(f"WHEN func = {G.q(k)} OR ends_with(func, {G.q('.' + k.rsplit('.', 1)[-1])}) THEN {G.q(value(k))}"
+                              for k in K.PY_SINKS) + " END"
+
+
+PY_FINDINGS_SQL = f"""
+py_code AS (SELECT repo, path, line_no, line FROM (
+   SELECT repo, path, line_no, regexp_replace(raw, {G.q(_STRIP_RE2)}, '\\1') AS line
+   FROM (SELECT repo, path, CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS raw
+         FROM (SELECT repo, path, {G.t_split('content')} AS arr FROM p_files WHERE ext = 'py') a) b) c
+   WHERE trim(line) <> ''),
+py_names AS (SELECT repo, path, line_no, regexp_extract_all(line, {G.q(FX.P_CALL)}, 1) AS names,
+   regexp_split_to_array(line, {G.q(FX.P_CALL)}) AS rest FROM py_code),
+py_calls AS (SELECT repo, path, line_no, i - 1 AS pos, names[i] AS func, rest[i + 1] AS args,
+   trim(rest[i + 1]) = '' AND i < len(names) AS nested FROM py_names, unnest(generate_series(1, len(names))) AS u(i)),
+py_found AS (
+  SELECT repo, path, line_no, pos, {_py_case(lambda k: "AST-PY-" + k.replace(".", "_").upper()[:15])} AS rule_id,
+         {_py_case(lambda k: "CRITICAL" if k in K.PY_CRITICAL_SINKS else "HIGH")} AS severity FROM py_calls
+  UNION ALL SELECT repo, path, line_no, pos, 'AST-PY-SQL001', 'CRITICAL' FROM py_calls
+    WHERE regexp_matches(lower(func), 'execute|cursor|query|raw') AND (nested OR contains(args, '+') OR regexp_matches(args, '^\\s*[fF]["'']'))
+  UNION ALL SELECT repo, path, line_no, -1, 'AST-PY-ASSERT001', 'MEDIUM' FROM py_code
+    WHERE regexp_matches(lower(regexp_extract(line, {G.q(FX.P_ASSERT)}, 1)), 'auth|user|admin|login|permission')),
+py_findings AS (SELECT repo, path, line_no, CAST(pos AS INTEGER) AS pos, rule_id, severity FROM py_found WHERE rule_id IS NOT NULL)"""
+
+
+@register("py_findings", with_fixtures(f"{_ctes(*P_PRELUDE)},{PY_FINDINGS_SQL}\nSELECT * FROM py_findings", "code_files"))
+def q_py_findings(spark, sf_dir):
+    return FX.py_findings(S.p_prepare(code_files(spark, sf_dir)))
+
+
+def scan_corpus_p(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """C20 for engine P: line rules, whole-content rules and Python facts; ``files`` are prepared."""
+    cols = ("repo", "path", "line_no", "rule_id", "severity")
+    return S.scan_ext_rules(spark, files, prepared=True).select(*cols).unionByName(FX.py_findings(files).select(*cols))
+
+
+P_ALL_SQL = P_FINDINGS_SQL + f""",{PY_FINDINGS_SQL},
+p_all AS (SELECT f.repo, f.path, f.line_no, f.rule_id, s.severity FROM p_findings f JOIN sev s USING (rule_id)
+          UNION ALL SELECT repo, path, line_no, rule_id, severity FROM py_findings)"""
+
+
+@register("scan_corpus_p", with_fixtures(P_ALL_SQL + "\nSELECT * FROM p_all", "code_files"))
+def q_scan_corpus_p(spark, sf_dir):
+    return scan_corpus_p(spark, S.p_prepare(code_files(spark, sf_dir)))
+
+
 def _decay_sql() -> str:
     w = K.DECAY_PENALTY
     pen = " ".join(f"WHEN {G.q(s)} THEN {v}" for s, v in w.items())
     cnt = ", ".join(f"CAST(count(*) FILTER (WHERE severity = {G.q(s)}) AS BIGINT) AS {s.lower()}"
                     for s in K.SEVERITIES)
-    return P_FINDINGS_SQL + f""",
+    return P_ALL_SQL + f""",
 per_repo AS (
-  SELECT f.repo, CAST(sum(CASE s.severity {pen} ELSE 1 END) AS BIGINT) AS penalty, {cnt},
+  SELECT f.repo, CAST(sum(CASE f.severity {pen} ELSE 1 END) AS BIGINT) AS penalty, {cnt},
          CAST(count(*) AS BIGINT) AS total
-  FROM p_findings f JOIN sev s USING (rule_id) GROUP BY f.repo),
+  FROM p_all f GROUP BY f.repo),
 repos AS (SELECT DISTINCT repo FROM p_files),
 scored AS (
   SELECT r.repo, coalesce(p.penalty, 0) AS penalty, {", ".join(f"coalesce(p.{s.lower()}, 0) AS {s.lower()}" for s in K.SEVERITIES)},
@@ -222,7 +274,7 @@ FROM scored"""
 def q_decay_score(spark, sf_dir):
     """Flagship: engine P scan -> score and grade per repo."""
     files = S.p_prepare(code_files(spark, sf_dir))
-    findings = S.scan_ext_rules(spark, files, prepared=True)
+    findings = scan_corpus_p(spark, files)
     return E.decay_score(files, findings).select(
         "repo", "penalty", "critical", "high", "medium", "low", "info", "total", "score", "grade", "passed")
 
@@ -247,7 +299,7 @@ def _t_prelude() -> str:
     fams = ", ".join(f"{v} AS f_{k}" for k, v in T_FAM_SQL.items())
     return f"""
 t_files AS ({G.t_files_cte()}),
-t_ok AS (SELECT repo, path, content, {fams}, ({_MARKER_SQL}) AS marker FROM t_files WHERE NOT oversize),
+t_ok AS (SELECT repo, path, content, {fams}, ({_MARKER_SQL}) AS marker FROM t_files),
 t_lines AS (SELECT repo, path, f_java, f_cpp, f_php, f_rb, f_go, f_dart, f_docker, f_tf, marker,
                    CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS line
             FROM (SELECT *, {G.t_split('content')} AS arr FROM t_ok) x),
@@ -326,8 +378,6 @@ def q_entropy(spark, sf_dir):
 
 
 # ====================================================================== C5-C7 structural (engine T)
-from secscan.operators import facts as FX  # noqa: E402
-
 _STRIP_SLASH_RE2 = ("^((?:[^\"'/]|/$|/[^/\"']|/\"[^\"]*(?:\"|$)|/'[^']*(?:'|$)|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)"
                     "//.*$")
 

@@ -57,7 +57,7 @@ def rule_condition(rule: K.Rule, text: str) -> str:
     return f"regexp_matches({text}, {q(pat)})"
 
 
-def p_files_cte(source: str = "code_files", cap: bool = True) -> str:
+def p_files_cte(source: str = "code_files", cap: int | None = None) -> str:
     exts = [e.lstrip(".") for e in K.P_EXTENSIONS]
     parts = "string_split(path, '/')"
     body = f"""
@@ -65,22 +65,21 @@ def p_files_cte(source: str = "code_files", cap: bool = True) -> str:
   FROM {source}
   WHERE {suffix_ext('path')} IN {in_list(exts)}
     AND len(list_filter(list_slice({parts}, 1, len({parts}) - 1),
-                        lambda d: d IN {in_list(K.P_IGNORE_DIRS)} OR starts_with(d, '.'))) = 0
-    AND strlen(content) <= {K.P_MAX_FILE_BYTES}"""
-    if not cap:
+                        lambda d: d IN {in_list(K.P_IGNORE_DIRS)} OR starts_with(d, '.'))) = 0"""
+    if cap is None:
         return body
     return f"""
   SELECT repo, path, content, ext FROM (
     SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM ({body}) pf0) pf1
-  WHERE rn <= {K.P_MAX_FILES}"""
+  WHERE rn <= {cap}"""
 
 
-def t_files_cte(source: str = "code_files") -> str:
+def t_files_cte(source: str = "code_files", max_bytes: int = K.T_MAX_FILE_BYTES) -> str:
     from secscan.operators.corpus import glob_to_regex
     ext_cond = " OR ".join(f"ends_with(path, {q(e)})" for e in K.T_EXTENSIONS)
     ign = "|".join(f"(?:{glob_to_regex(g)})" for g in K.T_DEFAULT_IGNORE)
     return f"""
-  SELECT repo, path, content, strlen(content) > {K.T_MAX_FILE_BYTES} AS oversize
+  SELECT repo, path, content, strlen(content) > {max_bytes} AS oversize
   FROM {source}
   WHERE (({ext_cond}) OR starts_with(regexp_extract(path, '([^/]*)$', 1), 'Dockerfile'))
     AND len(list_filter(string_split(path, '/'), lambda p: starts_with(p, '.'))) = 0

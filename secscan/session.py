@@ -1,9 +1,8 @@
-"""Spark session and shared-storage helpers."""
+"""A local Spark session for tests and the benchmark; on a cluster the caller brings its own."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,25 +25,4 @@ def build_session(master: str | None = None, app: str = "secscan", shuffle_parti
                .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
-
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we pick a folder of our own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    local = tempfile.mkdtemp(prefix="secscan-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local

@@ -292,8 +292,6 @@ P_IGNORE_DIRS = (".git", "node_modules", "dist", "build", "__pycache__", ".venv"
 
 # FIXED VALUES: size and count limits.
 T_MAX_FILE_BYTES = 1024 * 1024
-P_MAX_FILE_BYTES = 500_000
-P_MAX_FILES = 2000
 
 # FIXED VALUES: name fragments that make Math.random() a security context.
 RANDOM_CONTEXT_NAMES = ("token", "secret", "password", "passwd", "nonce", "salt", "key", "iv", "seed", "random",

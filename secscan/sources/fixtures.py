@@ -8,6 +8,8 @@ every document becomes a source file, every line item a finding, and so on.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -210,9 +212,13 @@ def register_base_views(spark: SparkSession, sf_dir: str, tables=BASE_TABLES) ->
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture as a Spark DataFrame over the parquet tables of ``sf_dir``."""
-    register_base_views(spark, sf_dir)
-    return spark.sql(FIXTURE_SQL[name])
+    """A fixture as a Spark DataFrame over the parquet tables of ``sf_dir`` that it names.
+
+    Code files come evenly dealt by (repo, path), as a files table would be stored."""
+    sql = FIXTURE_SQL[name]
+    register_base_views(spark, sf_dir, [t for t in BASE_TABLES if re.search(rf"\b{t}\b", sql)])
+    df = spark.sql(sql)
+    return df.repartition("repo", "path") if name == "code_files" else df
 
 
 def with_fixtures(sql: str, *names: str) -> str:

@@ -16,6 +16,4 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from secscan.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(s)
     yield s
