@@ -52,7 +52,7 @@ def parse_responses(responses: DataFrame, schema: str = RESPONSE_SCHEMA) -> Data
     return responses.withColumn("parsed", F.when(text != "", parsed))
 
 
-def merge_enrichment(findings: DataFrame, parsed: DataFrame, id_col: str = "finding_id") -> DataFrame:
+def merge_enrichment(findings: DataFrame, parsed: DataFrame, id_col: str = "finding_key") -> DataFrame:
     """Left join by id; first response per id wins; empty text falls back
     to the original; a source tag only on rows that got an answer."""
     w = Window.partitionBy(id_col).orderBy("seq")
@@ -83,11 +83,12 @@ def bulk_explanations(findings: DataFrame, n: int = 5, by: str = "repo", order=(
     return findings.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def provider_fallback(answers: DataFrame, priority: DataFrame) -> DataFrame:
+def provider_fallback(answers: DataFrame, priority: DataFrame, id_col: str = "finding_key") -> DataFrame:
     """First non-empty answer by provider priority, with the winner."""
     ok = answers.filter(F.coalesce(F.length("body"), F.lit(0)) > 0).join(priority, "provider")
-    return ok.groupBy("finding_id").agg(F.min_by(F.struct("provider", "body"), F.col("prio")).alias("w")) \
-        .select("finding_id", F.col("w.provider").alias("provider"), F.col("w.body").alias("body"))
+    best = F.min_by(F.struct("provider", "body"), F.struct("prio", "body"))
+    return ok.groupBy(id_col).agg(best.alias("w")) \
+        .select(id_col, F.col("w.provider").alias("provider"), F.col("w.body").alias("body"))
 
 
 def fix_risk(fixes: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ HISTORY_COLUMNS = ("id", "repo_name", "ts", "score", "passed", "total_findings",
 
 def append_scan(reports: DataFrame, path: str) -> None:
     """H1: flatten report rows (INFO counted in the total, no own column) and
-    append them to the history table at ``path`` (shared storage)."""
-    flat = reports.select(*[c for c in HISTORY_COLUMNS if c in reports.columns])
-    flat.write.mode("append").parquet(path)
+    append them to the history table at ``path`` (shared storage).  All columns are required."""
+    if missing := [c for c in HISTORY_COLUMNS if c not in reports.columns]:
+        raise ValueError(f"report rows lack {', '.join(missing)}")
+    reports.select(*HISTORY_COLUMNS).write.mode("append").parquet(path)
 
 
 def history_page(h: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:

@@ -104,14 +104,16 @@ def scan_stats(files: DataFrame, lines_per_file: DataFrame) -> DataFrame:
 
 
 def affected_files(findings: DataFrame, keep: int = 20) -> DataFrame:
-    """Distinct affected paths per repo, sorted; ``first`` = the first ``keep``.
+    """Number of distinct affected paths per repo, and ``first``: the ``keep`` smallest, sorted.
 
-    Paths are de-duplicated by (repo, path) first (a shuffle on a small key),
-    so the per-repo list holds each file once."""
+    Paths are made distinct by (repo, path); the ranking keeps at most ``keep`` per task and repo before the exchange
+    (up to 1,000), so no repo's whole list is gathered.  The full list is ``findings`` itself, one row per path."""
     d = findings.select("repo", "path").distinct()
-    return d.groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("affected")) \
-        .withColumn("n_affected", F.size("affected").cast("bigint")) \
-        .withColumn("first", F.slice("affected", 1, keep))
+    n = d.groupBy("repo").agg(F.count(F.lit(1)).cast("bigint").alias("n_affected"))
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
+    first = d.withColumn("_rn", rank).filter(F.col("_rn") <= keep).groupBy("repo").agg(
+        F.array_sort(F.collect_list("path")).alias("first"))
+    return n.join(first, "repo")
 
 
 # ---------------------------------------------------------------- E9 / E10
@@ -138,16 +140,17 @@ def findings_by_file(findings: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def findings_by_line(findings: DataFrame, order_col: str = "rule_id") -> DataFrame:
+def findings_by_line(findings: DataFrame, order_col: str = "rule_id", hint_chars: int | None = None) -> DataFrame:
     """Per (file, line): count, the first finding as primary, a label and a
-    hint cut at 80 characters."""
+    hint, whole unless the caller gives a display width."""
     agg = findings.groupBy("repo", "path", "line_no").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.min(F.struct(F.col(order_col).alias("_o"), "rule_id", "severity", "message")).alias("_p"))
+    hint = F.coalesce(F.col("_p.message"), F.lit(""))
     label = F.when(F.col("n") > 1, F.format_string("%d issues", F.col("n"))).otherwise(F.col("_p.rule_id"))
     return agg.select("repo", "path", "line_no", "n", F.col("_p.rule_id").alias("primary_rule"),
                       F.col("_p.severity").alias("primary_severity"), label.alias("label"),
-                      F.substring(F.coalesce(F.col("_p.message"), F.lit("")), 1, 80).alias("hint"))
+                      (hint if hint_chars is None else F.substring(hint, 1, hint_chars)).alias("hint"))
 
 
 def code_vs_dependency(findings: DataFrame, dependency_rule: str = "CWE-1104") -> DataFrame:

@@ -284,9 +284,13 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
 
 
 def finding_ids(findings: DataFrame, scheme: str = "P") -> DataFrame:
-    """P: first 8 hex digits of md5('rule:path:line'), upper case."""
+    """``finding_id`` is for display: the first 8 hex digits of md5('rule:path:line'), upper case.
+
+    ``finding_key`` is for joins: a full digest that includes the repo."""
     key = F.concat_ws(":", F.col("rule_id"), F.col("path"), F.col("line_no").cast("string"))
-    return findings.withColumn("finding_id", F.upper(F.substring(F.md5(key), 1, 8)))
+    whole = F.concat_ws("\n", "repo", "path", F.col("line_no").cast("string"), "rule_id")
+    return findings.withColumn("finding_id", F.upper(F.substring(F.md5(key), 1, 8))).withColumn(
+        "finding_key", F.sha2(whole.cast("binary"), 256))
 
 
 def running_ids(findings: DataFrame, order_cols=("path", "line_no", "rule_id")) -> DataFrame:

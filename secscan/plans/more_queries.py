@@ -183,11 +183,8 @@ SELECT repo, path, CAST(count(*) AS BIGINT) AS n,
        array_to_string(list_sort(list(CAST(line_no AS VARCHAR) || ':' || rule_id)), ',') AS items
 FROM findings_synth GROUP BY repo, path""", "findings_synth"))
 def q_by_file(spark, sf_dir):
-    f = _fs(spark, sf_dir)
-    return f.groupBy("repo", "path").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("line_no").cast("string"), "rule_id"))), ",")
-        .alias("items"))
+    item = F.transform("findings", lambda f: F.concat_ws(":", f["line_no"].cast("string"), f["rule_id"]))
+    return E.findings_by_file(_fs(spark, sf_dir)).select("repo", "path", "n", F.array_join(item, ",").alias("items"))
 
 
 @register("dedupe_findings", with_fixtures("""
@@ -468,3 +465,74 @@ def q_enrichment_cache(spark, sf_dir):
     r = fixture(spark, sf_dir, "requests").select("event_id", F.col("client").alias("key"), F.timestamp_millis("ts_ms").alias("ts"))
     a = r.filter("event_id % 3 = 0").select("key", "ts", F.col("event_id").cast("string").alias("body"))
     return GE.enrichment_cache(r, a, 60).select("event_id", "key", "cached_body")
+
+
+# ====================================================================== operators over findings, scores and answers
+@register("threshold_gate", with_fixtures("""
+SELECT id, score, score >= 70 AS passed, CASE WHEN score >= 70 THEN 0 ELSE 1 END AS exit_code,
+       CASE WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS band FROM history_synth""", "history_synth"))
+def q_threshold_gate(spark, sf_dir):
+    h = fixture(spark, sf_dir, "history_synth").select("id", "score")
+    return E.threshold_gate(h, 70).withColumn("band", E.score_band(F.col("score")))
+
+
+@register("finding_lookup", with_fixtures("""
+SELECT f.repo, f.path, f.line_no, f.rule_id, k.key, k.asked FROM findings_synth f JOIN (
+  SELECT path || ':' || line_no || ':' || rule_id AS key, count(*) AS asked FROM findings_synth WHERE seq % 50 = 0 GROUP BY ALL) k
+  ON f.path || ':' || f.line_no || ':' || f.rule_id = k.key""", "findings_synth"))
+def q_finding_lookup(spark, sf_dir):
+    f = _fs(spark, sf_dir)
+    keys = f.filter("seq % 50 = 0").groupBy(F.concat_ws(":", "path", F.col("line_no").cast("string"), "rule_id").alias("key")).agg(
+        F.count(F.lit(1)).alias("asked"))
+    return V.finding_lookup(f, keys).select("repo", "path", "line_no", "rule_id", "key", "asked")
+
+
+@register("finding_prompts", with_fixtures("""
+SELECT repo, path, line_no, rule_id, seq, 'fix: Unknown (' || severity || ') in ' || path || ' line ' || line_no
+  || '. CWE N/A. Snippet: (no snippet)' AS prompt FROM findings_synth""", "findings_synth"))
+def q_finding_prompts(spark, sf_dir):
+    return GE.finding_prompts(_fs(spark, sf_dir), "fix").select("repo", "path", "line_no", "rule_id", "seq", "prompt")
+
+
+@register("latest_diagnostics", with_fixtures("""
+SELECT repo, path, line_no, rule_id, seq FROM findings_synth f WHERE seq % 2 = 0 AND NOT EXISTS (
+  SELECT 1 FROM findings_synth b WHERE b.seq % 7 = 1 AND b.repo = f.repo AND b.path = f.path)
+UNION ALL SELECT repo, path, line_no, rule_id, seq FROM findings_synth WHERE seq % 7 = 1 AND line_no <> 3""", "findings_synth"))
+def q_latest_diagnostics(spark, sf_dir):
+    """Files of the batch whose only finding is on line 3 come as scanned and clean."""
+    f = _fs(spark, sf_dir).select("repo", "path", "line_no", "rule_id", "seq")
+    batch = f.filter("seq % 7 = 1").withColumn("rule_id", F.when(F.col("line_no") != 3, F.col("rule_id")))
+    return I.latest_diagnostics(f.filter("seq % 2 = 0"), batch)
+
+
+_KEY_SQL = "sha256(repo || chr(10) || path || chr(10) || line_no || chr(10) || rule_id)"
+_ANSWERS_SQL = f"""
+answers AS (SELECT DISTINCT {_KEY_SQL} AS finding_key, 'p' || (seq % 3) AS provider,
+  CASE WHEN seq % 5 = 0 THEN '' ELSE 'text ' || (seq % 11) END AS body FROM findings_synth)"""
+
+
+def _answers(spark, sf_dir):
+    return S.finding_ids(_fs(spark, sf_dir)).select(
+        "finding_key", F.concat(F.lit("p"), (F.col("seq") % 3).cast("string")).alias("provider"),
+        F.when(F.col("seq") % 5 == 0, "").otherwise(F.concat(F.lit("text "), (F.col("seq") % 11).cast("string"))).alias("body")).distinct()
+
+
+@register("provider_fallback", with_fixtures(f"""{_ANSWERS_SQL}
+SELECT finding_key, provider, body FROM (SELECT *, row_number() OVER (PARTITION BY finding_key ORDER BY
+  CASE provider WHEN 'p2' THEN 1 WHEN 'p0' THEN 2 ELSE 3 END, body) AS rn FROM answers WHERE body <> '') x WHERE rn = 1""", "findings_synth"))
+def q_provider_fallback(spark, sf_dir):
+    order = spark.createDataFrame([("p2", 1), ("p0", 2), ("p1", 3)], "provider string, prio int")
+    return GE.provider_fallback(_answers(spark, sf_dir), order)
+
+
+@register("merge_enrichment", with_fixtures(f"""{_ANSWERS_SQL},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY finding_key ORDER BY provider, body) AS rn FROM answers) x WHERE rn = 1)
+SELECT repo, path, line_no, rule_id, seq, coalesce(nullif(b.body, ''), rule_id) AS explanation,
+       CASE WHEN b.body <> '' THEN 'model' END AS source
+FROM (SELECT *, {_KEY_SQL} AS finding_key FROM findings_synth WHERE seq % 4 <> 3) f LEFT JOIN (
+  SELECT * FROM best WHERE finding_key <= '8') b USING (finding_key)""", "findings_synth"))
+def q_merge_enrichment(spark, sf_dir):
+    f = S.finding_ids(_fs(spark, sf_dir)).filter("seq % 4 != 3").withColumn("message", F.col("rule_id"))
+    parsed = _answers(spark, sf_dir).filter("finding_key <= '8'").select(
+        "finding_key", F.struct("provider", "body").alias("seq"), F.struct(F.col("body").alias("why_dangerous")).alias("parsed"))
+    return GE.merge_enrichment(f, parsed).select("repo", "path", "line_no", "rule_id", "seq", "explanation", "source")
