@@ -9,7 +9,7 @@ the first points few levels are still running.
 
 Signatures are cut into bands.  Documents that share a band are candidates, and links are made only where the exact
 multiset overlap (sum of smaller over sum of larger counts) reaches the threshold.  Classes are the connected
-components of the links.  A band with many documents is not expanded into pairs: each pass compares one document
+components of the links.  A band with many documents is not expanded into pairs: each pass compares a few documents
 per band with all others, components are merged, and only bands that still hold several components go on; once the
 pairs between components are few, all of them are compared.  So every pair of documents that shares a band either
 is in one class or has been compared.
@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secscan.llm import packed as P
-from secscan.llm.common import words, written
+from secscan.llm.common import release, small_batches, words, written
 from secscan.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: P(a pair at 0.8 shares no band) = (1 - 0.8^5)^32 = 3e-6
-BANDS, ROWS = 32, 5
-CHUNK = 8 << 20
+#: P(a pair at 0.8 shares no band) = (1 - 0.8^8)^64 = 8e-6; at 0.4, 4 % of the pairs are candidates
+BANDS, ROWS = 64, 8
+CHUNK = 4 << 20
+#: passes with up to so many centres per band come before the comparison of all pairs that are left
+MOST_CENTRES = 16
 CHUNK_ROWS = 8192
 
 
@@ -63,10 +65,11 @@ def levels(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     new = (np.diff(row, prepend=-1) != 0) | (np.diff(h, prepend=P.U(0)) != 0)
     at = np.flatnonzero(new)
     weight = np.diff(at, append=len(row))
-    parts = [(row[at], h[at], np.zeros(len(at), np.int64), np.ones(len(at), np.int64), weight)]
+    seed = P.mix(h[at] + P._SEED)
+    parts = [(row[at], seed, np.zeros(len(at), np.int64), np.ones(len(at), np.int64), weight)]
     base = 1
     while len(more := np.flatnonzero(weight > base)):
-        parts.append((row[at][more], P.mix(h[at][more] + P.times(base)), np.full(len(more), base),
+        parts.append((row[at][more], P.mix(seed[more] + P.times(base)), np.full(len(more), base),
                       np.full(len(more), base), weight[more]))
         base *= 2
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -160,58 +163,78 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").filter(similarity("_x", "_y") >= threshold).drop("_x", "_y")
 
 
-def near_classes(docs: DataFrame, copies: DataFrame, threshold: float, size: int, bands: int, rows: int, spread: int = 8) -> DataFrame:
+def _centres(live: DataFrame, n: int) -> DataFrame:
+    """(key, _doc, _n, _comp): up to n documents of each band, chosen by hash; every other one, where there are any,
+    from outside the band's largest component, so that stragglers get compared with all.  A fixed number of running
+    minima per band, however many documents it has."""
+    picks = []
+    for j in range(n):
+        rank = F.xxhash64("doc_id", F.lit(j))
+        if j % 2:
+            rank = F.struct((F.col("comp") == F.col("_big")).alias("big"), rank.alias("rank"))
+        picks.append(F.min_by(F.struct("doc_id", "n", "comp"), rank))
+    return live.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("_z")).select("key", F.explode("_z").alias("_z")).select(
+        "key", F.col("_z.doc_id").alias("_doc"), F.col("_z.n").alias("_n"), F.col("_z.comp").alias("_comp"))
+
+
+def near_classes(docs: DataFrame, copies: DataFrame, threshold: float, size: int, bands: int, rows: int,
+                 spread: int = 8) -> DataFrame | None:
     """(node, label) of the documents, without ``copies``, in a class of several; None if there are none.
 
-    ``spread``: all pairs between components of a band are compared once they are at most so many per row of a band.
+    A band's documents are compared with one centre, then with 4 and 16 in the bands that still hold several
+    components; after that, or once these have at most ``spread`` pairs between components per row, all such pairs
+    are compared.
     """
-    keys = written(band_keys(docs, bands, rows, size).join(copies.select("doc_id"), "doc_id", "left_anti"), "bands")
+    spark = docs.sparkSession
+    with small_batches(spark, 2048):
+        keys = written(band_keys(docs, bands, rows, size).join(copies.select("doc_id"), "doc_id", "left_anti"), "bands")
     many = keys.groupBy("key").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi")
-    open_rows = written(keys.join(many.select("key"), "key"), "open-bands").withColumn("comp", F.col("doc_id"))
-    sets = written(bags(docs.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi"), size), "bags")
+    live = written(keys.join(many.select("key"), "key"), "open-bands")
+    with small_batches(spark, 2048):
+        sets = written(bags(docs.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), size), "bags")
+    release(spark)
+    live = live.withColumn("comp", F.col("doc_id")).withColumn("_big", F.lit(None).cast("bigint"))
     fits = f"least(_n, n) >= {threshold} * greatest(_n, n) AND _doc != doc_id AND _comp != comp"
     pair = [F.least("_doc", "doc_id").alias("a"), F.greatest("_doc", "doc_id").alias("b"), F.col("_comp").alias("ca"),
             F.col("comp").alias("cb")]
-    tested = comp = None
-    for turn in range(1 << 30):
-        sizes = open_rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c"))
-        per = written(sizes.groupBy("key").agg(
-            F.sum("_c").alias("_s"), F.expr("(sum(_c) * sum(_c) - sum(_c * _c)) div 2").alias("_p"),
-            F.max_by("comp", F.struct("_c", "comp")).alias("_big"), F.count(F.lit(1)).alias("_m")).filter("_m > 1"), "band-sizes")
-        rows_left, pairs_left = per.agg(F.sum("_s"), F.sum("_p")).first()
-        if not rows_left:
-            return comp
-        live = written(open_rows.join(per.select("key", "_big"), "key"), "open-bands")
-        last = pairs_left <= spread * rows_left
+    tested, comp, n, last = None, None, 1, False
+    while True:
         if last:  # every pair between two components has a document outside the band's largest one
-            small = live.filter("comp != _big").select("key", F.col("doc_id").alias("_doc"), F.col("n").alias("_n"),
+            other = live.filter("comp != _big").select("key", F.col("doc_id").alias("_doc"), F.col("n").alias("_n"),
                                                        F.col("comp").alias("_comp"))
-            cand = live.join(small, "key")
         else:
-            centre = live.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "comp"), F.xxhash64(
-                "doc_id", F.lit(turn))).alias("_z")).select("key", F.col("_z.doc_id").alias("_doc"), F.col("_z.n").alias("_n"),
-                                                            F.col("_z.comp").alias("_comp"))
-            cand = live.join(centre, "key")
-        pairs = cand.filter(fits).select(*pair).distinct()
+            other = _centres(live, n)
+        pairs = live.join(other, (live.key == other.key) & F.expr(fits)).select(*pair).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        links = written(verified(pairs, sets, threshold).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "pair-links")
+        with small_batches(spark, 256):
+            links = written(verified(pairs, sets, threshold).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "pair-links")
+        release(spark)
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        if not links.isEmpty():
-            merged = components(links)
-            old = comp if comp is not None else merged.select("node", F.col("node").alias("label")).limit(0)
-            moved = merged.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-            kept = old.join(moved, old.label == moved._node, "left").select("node", F.coalesce("_label", "label").alias("label"))
-            fresh = merged.join(old, "node", "left_anti")
-            comp = written(kept.union(fresh), "classes")
-            by = comp.select(F.col("node").alias("doc_id"), F.col("label").alias("_label"))
-            open_rows = live.drop("_big").join(by, "doc_id", "left").withColumn(
-                "comp", F.coalesce("_label", "doc_id")).drop("_label")
+        merged = components(links)
+        if comp is None:
+            comp = merged
         else:
-            open_rows = live.drop("_big")
+            moved = merged.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+            kept = comp.join(moved, comp.label == moved._node, "left").select("node", F.coalesce("_label", "label").alias("label"))
+            comp = written(kept.union(merged.join(comp, "node", "left_anti")), "classes")
         if last:
             return comp
+        by = comp.select(F.col("node").alias("doc_id"), F.col("label").alias("_label"))
+        now = live.select("key", "doc_id", "n").join(by, "doc_id", "left").select(
+            "key", "doc_id", "n", F.coalesce("_label", "doc_id").alias("comp"))
+        now = written(now, "open-bands")
+        per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("key").agg(
+            F.sum("_c").alias("_s"), F.expr("(sum(_c) * sum(_c) - sum(_c * _c)) div 2").alias("_p"),
+            F.max_by("comp", F.struct("_c", "comp")).alias("_big"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+        per = written(per, "band-sizes")
+        rows_left, pairs_left = per.agg(F.sum("_s"), F.sum("_p")).first()
+        if not rows_left:
+            return comp
+        live = written(now.join(per.select("key", "_big"), "key"), "open-bands")
+        last = n >= MOST_CENTRES or pairs_left <= spread * rows_left
+        n *= 4
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

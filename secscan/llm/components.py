@@ -17,6 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
         "node", F.least("node", "m").alias("label")), "labels")
+    if labels.isEmpty():
+        return labels
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "m").alias("m"))
