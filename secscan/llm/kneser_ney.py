@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from secscan.llm import packed as P
 from secscan.llm.common import new_path, written
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 END = P.U(0x5E0FD0C5E0FD0C55)
 
 COUNTS = "bucket int, n int, keys binary, counts binary"
