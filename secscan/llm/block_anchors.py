@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from secscan.llm import packed as P
-from secscan.llm.common import written
+from secscan.llm.common import small_batches, written
 
 WINDOW, BLOCK = 13, 7
 KEY_BYTES = 5
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 
 NOTES = "grp int, kind int, n int, docs binary, runs binary, keys binary"
 _NOTES = pa.schema([("grp", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()),
@@ -198,7 +198,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
     new = ("n_words", "n_removed", "kept_sha256", "kept_text")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     bits = P.bits_for(docs)
-    answers = written(block_hits(docs, bits, block).unionAll(copies(docs, bits)), "block-hits")
+    with small_batches(docs.sparkSession, 2048):
+        answers = written(block_hits(docs, bits, block).unionAll(copies(docs, bits)), "block-hits")
     sent = P.parcels(docs, bits)
     later = written(later_windows(sent, answers, bits, window, block), "later-windows")
     schema = docs.select("*", F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"),
