@@ -10,7 +10,7 @@ The suffix is the last label and the registered domain the last two, unless the
 
 Defined results: null urls and urls without ``://`` have empty host and path; the empty host is its own domain and
 suffix.  Hosts without labels get their domain's prior.  A page with several label rows is bad if any row says so;
-label rows with neither value do not count.  Without any label the overall rate is 1/2 and nothing is blocked.
+label rows with neither value do not count.  Without any label the overall rate is 0 and nothing is blocked.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def reputation(outcomes: DataFrame, z: float = 1.64) -> DataFrame:
         F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k")), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    overall = suffixes.agg(F.expr("coalesce(sum(k) / nullif(sum(n), 0), 0.5D)"))
+    overall = suffixes.agg(F.expr("coalesce(sum(k) / nullif(sum(n), 0), 0D)"))
     s = _shrink(suffixes.withColumn("up", overall.scalar()))
     d = _shrink(domains.join(s.select("suffix", F.col("mu").alias("up")), "suffix"))
     h = _shrink(hosts.join(d.select("domain", "suffix", F.col("mu").alias("up")), ["suffix", "domain"]))

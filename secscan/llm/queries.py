@@ -86,7 +86,7 @@ o AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
 hosts AS (SELECT suffix, domain, host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM o GROUP BY ALL),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
-{_shrink_sql("s", "SELECT f.*, up FROM suffixes f, (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0.5::DOUBLE) AS up FROM suffixes) x")},
+{_shrink_sql("s", "SELECT f.*, up FROM suffixes f, (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0::DOUBLE) AS up FROM suffixes) x")},
 {_shrink_sql("d", "SELECT f.*, s.mu AS up FROM domains f JOIN s USING (suffix)")},
 {_shrink_sql("h", "SELECT f.*, d.mu AS up FROM hosts f JOIN d USING (suffix, domain)")},
 v AS (SELECT host, CAST(n AS BIGINT) AS n_labelled, CAST(k AS BIGINT) AS n_bad, mu - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower
