@@ -68,13 +68,15 @@ def sampled(gram: np.ndarray, at: np.ndarray, length: int, q: int) -> tuple[np.n
     """Starts of all strings of ``length`` bytes inside a text, their rows, and where in each its smallest q-gram hash
     is (the leftmost of equal ones), by a sliding minimum that doubles its width."""
     span, width = length - q + 1, 1
+    sizes = np.maximum(np.diff(at) - (length - 1), 0)
+    if not sizes.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     best, where = gram, np.arange(len(gram), dtype=np.int32)
     while width < span:
         step = min(width, span - width)
         right = best[step:] < best[:len(best) - step]
         best, where = np.where(right, best[step:], best[:len(best) - step]), np.where(right, where[step:], where[:len(where) - step])
         width += step
-    sizes = np.maximum(np.diff(at) - (length - 1), 0)
     start = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(at[:-1], sizes)
     return start, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), where[start]
 
