@@ -6,6 +6,11 @@ put together by alignment, the placeholders' values on both sides are compared,
 values consistently (one to one within a type) count.  So a question is found verbatim or with other numbers and
 names, while texts that merely share a pattern with unrelated values are not.
 
+There are two canonical forms, each matched by itself.  In the strict one a name is a capitalised word inside a sentence
+and a number starts with a digit; in the loose one every capitalised word is a name, also one that opens a sentence, and
+number words of English up to 'ninety-nine' written as one word, and the larger units, are numbers.  A pair found in the
+strict form is reported as that form counts it; the loose one adds the pairs that only it finds.
+
 Defined results: null and empty texts on either side match nothing; an item with fewer words than a window is matched
 as a whole; items with the same template and the same words are one item, the one with the smallest id, as are
 windows repeated within an item.  Repeated doc_ids count as one document; rows without doc_id are never reported.
@@ -27,12 +32,19 @@ UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "min", "
          "metre", "metres", "kilometer", "kilometers", "mile", "miles", "foot", "feet", "inch", "inches", "gram", "grams",
          "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "liter", "liters", "litre", "litres", "gallon",
          "gallons", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "kmh")
+_ONES = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+NUMBERS = ("zero", *_ONES, "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+           *_TENS, *(f"{t}-{o}" for t in _TENS for o in _ONES), "dozen", "hundred", "thousand", "million", "billion")
+#: the column of each form's words; a pair found in the first is not looked for in the next
+FORMS = ("_canon", "_loose")
 
 
 def canonical(text: Column, text_name: str = "_raw") -> dict[str, str]:
-    """SQL of three arrays over the words in column ``text_name``: bare words, lower-cased ones, canonical ones."""
+    """SQL of four arrays over the words in column ``text_name``: bare words, lower-cased ones, both canonical forms."""
     edge = EDGE.replace("\\", "\\\\").replace("'", "\\'")
     units = ", ".join(f"'{u}'" for u in UNITS)
+    numbers = ", ".join(f"'{n}'" for n in NUMBERS)
     return {
         "_bare": f"transform({text_name}, w -> btrim(w, '{edge}'))",
         "_low": "transform(_bare, w -> lower(w))",
@@ -43,6 +55,11 @@ def canonical(text: Column, text_name: str = "_raw") -> dict[str, str]:
                  AND right(get({text_name}, i - 1), 1) NOT IN ('.', '!', '?', ':') THEN '<name>'
             WHEN l IN ({units}) THEN '<unit>'
             ELSE l END)""",
+        "_loose": f"""transform(_canon, (c, i) -> CASE
+            WHEN get(_low, i) IN ({numbers}) THEN '<num>'
+            WHEN left(c, 1) != '<' AND left(c, 1) != left(get(_bare, i), 1) AND substr(c, 2, 1) = substr(get(_bare, i), 2, 1)
+                 THEN '<name>'
+            ELSE c END)""",
     }
 
 
@@ -59,43 +76,52 @@ def _windows(size: str) -> str:
             f" transform(sequence(0, size(_canon) - {size}), i -> xxhash64({size}, slice(_canon, i + 1, {size}))) END")
 
 
-def _fixed_windows(n: int) -> str:
+def _window(i: str, n: int, form: int) -> str:
+    """Hash of the window of n words from place ``i`` (SQL), n known beforehand; the form is hashed too."""
+    parts = ", ".join(f"get({FORMS[form]}, {i} + {j})" for j in range(n))
+    return f"xxhash64({n + 100 * form}, {parts})"
+
+
+def _fixed_windows(n: int, form: int = 0) -> str:
     """As ``_windows`` for a size known beforehand, without building the slices."""
-    parts = ", ".join(f"get(_canon, i + {j})" for j in range(n))
     return (f"CASE WHEN size(_canon) < {n} THEN CAST(array() AS array<bigint>) ELSE"
-            f" transform(sequence(0, size(_canon) - {n}), i -> xxhash64({n}, {parts})) END")
+            f" transform(sequence(0, size(_canon) - {n}), i -> {_window('i', n, form)}) END")
 
 
 def index(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(items, windows): items (item_id, _bare, _low, _canon, size), windows (h, item_id, ipos, size, item_windows).
+    """(items, windows): items (item_id, _bare, _low, _canon, _loose, size), windows (h, item_id, form, ipos, size,
+    item_windows).
 
-    Items of equal words are one; windows repeated within an item count once.
+    Items of equal words are one; windows repeated within an item and form count once.
     """
     items = with_canonical(benchmark.filter("text IS NOT NULL")).filter("size(_canon) > 0")
     items = items.groupBy(F.xxhash64("_canon", "_low").alias("_same")).agg(F.min_by(
-        F.struct("item_id", "_bare", "_low", "_canon"), F.struct("item_id", F.col("text"))).alias("_i")).select("_i.*")
+        F.struct("item_id", "_bare", "_low", *FORMS), F.struct("item_id", F.col("text"))).alias("_i")).select("_i.*")
     items = written(items.withColumn("size", F.least(F.lit(window), F.size("_canon"))), "benchmark-items")
-    hashes = F.expr("CASE " + " ".join(f"WHEN size = {n} THEN {_fixed_windows(n)}" for n in range(1, window + 1)) + " END")
-    w = items.select("item_id", "size", F.posexplode(hashes).alias("ipos", "h")).groupBy("h", "item_id", "size").agg(
+    hashes = F.array(*[F.expr("CASE " + " ".join(
+        f"WHEN size = {n} THEN {_fixed_windows(n, form)}" for n in range(1, window + 1)) + " END") for form in range(len(FORMS))])
+    w = items.select("item_id", "size", F.posexplode(hashes).alias("form", "_h")).select(
+        "item_id", "size", "form", F.posexplode("_h").alias("ipos", "h")).groupBy("h", "item_id", "form", "size").agg(
         F.min("ipos").alias("ipos"))
-    n = w.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    return items, written(w.join(n, "item_id"), "benchmark-windows")
+    n = w.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"))
+    return items, written(w.join(n, ["item_id", "form"]), "benchmark-windows")
 
 
 def hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, pos, item_id, ipos, size, item_windows) for every document window that is an item's window.
+    """(doc_id, pos, item_id, form, ipos, size, item_windows) for every document window that is an item's window.
 
     Only the hashes meet the index; its table on disk has a known size, from which Spark broadcasts it or shuffles.
     """
-    short = sorted(r[0] for r in windows.filter(f"size < {window}").select("size").distinct().collect())  # < window values
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [window]  # at most window values
     d = with_canonical(docs.select("doc_id", "text").filter("text IS NOT NULL"))
-    arrays = [F.expr(f"transform({_fixed_windows(n)}, (h, i) -> named_struct('pos', i, 'h', h))") for n in (*short, window)]
-    every = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    if len(arrays) == 1:
-        flat = d.select("doc_id", F.posexplode(F.expr(_fixed_windows(window))).alias("pos", "h"))
-    else:
-        flat = d.select("doc_id", F.explode(every).alias("_w")).select("doc_id", "_w.pos", "_w.h")
-    return flat.join(windows, "h").select("doc_id", "pos", "item_id", "ipos", "size", "item_windows")
+    # one row per place first: hashes of its windows are then generated code, not a function run per array element;
+    # outer, as a filter on the array's size would compute the words twice
+    place = d.select("doc_id", *FORMS, F.explode_outer(F.expr(
+        f"CASE WHEN size(_canon) >= {sizes[0]} THEN sequence(0, size(_canon) - {sizes[0]}) END")).alias("pos"))
+    hashes = F.array(*[F.expr(f"CASE WHEN pos + {n} <= size(_canon) THEN {_window('pos', n, form)} END")
+                       for n in sizes for form in range(len(FORMS))])
+    flat = place.select("doc_id", "pos", F.explode_outer(hashes).alias("h"))
+    return flat.join(windows, "h").select("doc_id", "pos", "item_id", "form", "ipos", "size", "item_windows")
 
 
 _SLOTS = ("'<num>'", "'<qty>'", "'<name>'", "'<unit>'")
@@ -104,31 +130,34 @@ _SLOTS = ("'<num>'", "'<qty>'", "'<name>'", "'<unit>'")
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """One row per document and item: doc_id, item_id, n_windows found, item_windows, kind.
 
-    kind is 'verbatim' if an alignment keeps all slot values, else 'renamed'.
+    Windows are counted in the first form that finds enough of them.  kind is 'verbatim' if an alignment keeps all slot values, else 'renamed'.
     """
     items, windows = index(benchmark, window)
     found = written(hits(docs, windows, window).withColumn("shift", F.col("pos") - F.col("ipos")), "benchmark-hits")
-    enough = found.groupBy("doc_id", "item_id").agg(
+    pair = ["doc_id", "item_id", "form"]
+    enough = found.groupBy(*pair).agg(
         F.countDistinct("ipos").alias("_n"), F.first("item_windows").alias("item_windows")).filter(
         f"_n >= least({least}, item_windows)").drop("_n")
-    lines = found.join(enough.drop("item_windows"), ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "shift").agg(
+    lines = found.join(enough.drop("item_windows"), pair).groupBy(*pair, "shift").agg(
         F.min("ipos").alias("a"), F.max(F.expr("ipos + size")).alias("b"), F.collect_set("ipos").alias("ips"))
     lines = written(lines, "benchmark-lines")
     texts = docs.select("doc_id", "text").join(lines.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = with_canonical(texts).select("doc_id", F.col("_low").alias("_dlow"), F.col("_canon").alias("_dcanon"))
-    item = items.select("item_id", F.col("_low").alias("_ilow"), F.col("_canon").alias("_icanon"))
-    both = lines.join(texts, "doc_id").join(item, "item_id").withColumn("_pairs", F.expr(f"""
+    texts = with_canonical(texts).select("doc_id", F.col("_low").alias("_dlow"), F.array(*FORMS).alias("_dforms"))
+    item = items.select("item_id", F.col("_low").alias("_ilow"), F.array(*FORMS).alias("_iforms"))
+    both = lines.join(texts, "doc_id").join(item, "item_id").withColumn("_icanon", F.expr("get(_iforms, form)")).withColumn(
+        "_dcanon", F.expr("get(_dforms, form)")).withColumn("_pairs", F.expr(f"""
         array_distinct(transform(filter(sequence(a, b - 1), i -> get(_icanon, i) IN ({', '.join(_SLOTS)})
                                         AND get(_icanon, i) = get(_dcanon, i + shift)),
             i -> named_struct('t', get(_icanon, i), 'x', get(_ilow, i), 'y', get(_dlow, i + shift))))"""))
     kind = F.expr("""CASE WHEN forall(_pairs, p -> p.x = p.y) THEN 2
         WHEN size(array_distinct(transform(_pairs, p -> named_struct('t', p.t, 'x', p.x)))) = size(_pairs)
          AND size(array_distinct(transform(_pairs, p -> named_struct('t', p.t, 'y', p.y)))) = size(_pairs) THEN 1 ELSE 0 END""")
-    good = both.withColumn("_k", kind).filter("_k > 0").select("doc_id", "item_id", "_k", F.explode("ips").alias("ipos"))
-    return good.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.max("_k").alias("_k")).join(
-        enough, ["doc_id", "item_id"]).filter(f"n_windows >= least({least}, item_windows)").select(
-        "doc_id", "item_id", "n_windows", "item_windows",
-        F.when(F.col("_k") == 2, "verbatim").otherwise("renamed").alias("kind"))
+    good = both.withColumn("_k", kind).filter("_k > 0").select(*pair, "_k", F.explode("ips").alias("ipos"))
+    each = good.groupBy(*pair).agg(F.countDistinct("ipos").alias("n_windows"), F.max("_k").alias("_k")).join(
+        enough, pair).filter(f"n_windows >= least({least}, item_windows)")
+    return each.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("n_windows", "item_windows", "_k"), "form").alias("_f")).select(
+        "doc_id", "item_id", "_f.n_windows", "_f.item_windows",
+        F.when(F.col("_f._k") == 2, "verbatim").otherwise("renamed").alias("kind"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

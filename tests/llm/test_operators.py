@@ -127,6 +127,20 @@ def test_decontamination_finds_renamed_questions(spark, edge, empty):
     assert decontaminate.leaks(edge, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_names_that_open_sentences_and_number_words(spark):
+    tom = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have now?"
+    lead = "Sarah walks to the old market hall. Peter carries three heavy baskets and Sarah pays twenty-one coins for the fish"
+    bench = spark.createDataFrame([(1, tom), (2, lead)], "item_id bigint, text string")
+    docs = spark.createDataFrame([
+        (1, "Q: " + tom.replace("Tom", "Ann")), (2, "so " + tom.replace("Tom", "Ann").replace("3", "four")),
+        (3, lead.replace("Sarah", "Maria").replace("Peter", "Hugo").replace("three", "five").replace("twenty-one", "30")),
+        (4, lead.lower()), (5, lead.replace("Sarah", "Maria", 1).replace("three", "five").replace("Peter", "Sarah")), (6, tom)],
+        "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, 1): "renamed", (2, 1): "renamed", (3, 2): "renamed", (4, 2): "verbatim", (6, 1): "verbatim"}
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {5}
+
+
 # ---------------------------------------------------------------- 4
 def test_near_classes(spark, edge, empty, texts, small):
     assert by_id(bagminhash.classes(edge), "class_id") == {k: (v,) for k, v in brute.near_classes(texts).items()}
