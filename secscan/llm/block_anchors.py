@@ -58,19 +58,30 @@ def read_notes(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def copies(docs: DataFrame, bits: int) -> DataFrame:
-    """Notes of the documents whose text is also that of a smaller doc_id (by a 128-bit digest)."""
+    """Notes (doc, start of the text's digest) of the texts that a smaller doc_id has too (by a 128-bit digest)."""
     ids = written(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.md5("text").alias("_m")), "texts")
     first = ids.groupBy("_m").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    later = ids.join(first, "_m").filter("doc_id > _first").select("doc_id")
+    later = ids.join(first, "_m").filter("doc_id > _first").select("doc_id", "_m")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d, _ = P.ids_of(b)
-            yield from notes(COPY, d, np.zeros(len(d), P.U), bits)
+            yield from notes(COPY, d, np.array([int(m[:16], 16) for m in b.column("_m").to_pylist()], P.U), bits)
 
     return later.mapInArrow(send, NOTES)
 
 
+def are_copies(ids: np.ndarray, there: np.ndarray, texts: P.Texts, answers: pa.Table) -> np.ndarray:
+    """Which rows are noted as copies: by id and text, as a doc_id may have several texts."""
+    docs, keys = read_notes(answers, COPY)
+    out = np.isin(ids, docs) & there
+    noted = set(zip(docs.tolist(), keys.tolist(), strict=True))
+    for i in np.flatnonzero(out):
+        text = texts.buf[texts.at[i]:texts.at[i + 1]].tobytes()
+        out[i] = (int(ids[i]), int(hashlib.md5(text).hexdigest()[:16], 16)) in noted
+    return out
+
+
 def block_hits(docs: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     """Notes (doc, block hash) of probes that hit a smaller document's block, and of blocks hit from a larger one."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +119,9 @@ def _has_note(docs: np.ndarray, keys: np.ndarray, table: pa.Table, kind: int) ->
 def candidates(table: pa.Table, answers: pa.Table, bits: int, window: int, block: int):
     """Of a group's documents: (words, rows that are copies, first word, row and hash of windows that hold a hit)."""
     ids, there = P.ids_of(table)
-    w = P.Words.of(P.Texts.of(table["text"]))
-    copy = np.isin(ids, read_notes(answers, COPY)[0]) & there
+    texts = P.Texts.of(table["text"])
+    w = P.Words.of(texts)
+    copy = are_copies(ids, there, texts, answers)
     word, row, h = w.windows(block)
     seen = np.zeros(len(w.hash) + 1, np.int64)
     hit = _has_note(ids[row], h >> P.U(64 - bits - 8 * KEY_BYTES), answers, HIT) & there[row] & ~copy[row]

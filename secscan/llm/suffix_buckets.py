@@ -117,7 +117,7 @@ def _open_strings(table: pa.Table, answers: pa.Table, bits: int, length: int, q:
     """Suffixes that need refinement: (ids, copies, texts, start, row, identifier at depth ``length``)."""
     ids, there = P.ids_of(table)
     texts = P.Texts.of(table["text"])
-    copy = np.isin(ids, B.read_notes(answers, B.COPY)[0]) & there
+    copy = B.are_copies(ids, there, texts, answers)
     start, row, place, gram, whole = _strings(texts, copy | ~there, length, q)
     new = np.diff(place, prepend=-1) != 0
     seen = B._has_note(ids[row[new]], gram[place[new]] >> P.U(64 - bits - 8 * KEY_BYTES), answers, B.HIT)

@@ -253,6 +253,15 @@ def test_byte_dedup(spark, edge, empty, texts, small):
         ("1", 0), ("2", len(_PROSE)), ("None", 0)]
 
 
+def test_copies_are_told_apart_by_text_where_a_doc_id_has_two(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id bigint, text string")
+    for dedup, size in ((block_anchors.dedup, lambda t: 60), (suffix_buckets.dedup, len)):
+        got = sorted((r.doc_id, r.text[0], r.n_removed) for r in dedup(docs).collect())
+        assert got == [(1, "a", 0), (2, "a", size(a)), (2, "b", 0), (3, "b", size(b))]
+    assert sorted((r.doc_id, r.text) for r in block_anchors.clean_documents(docs).collect()) == [(1, a), (2, b)]
+
+
 # ---------------------------------------------------------------- 9
 def test_language_model(spark, edge, empty, texts, small):
     for df, rows in ((edge, texts), (spark.createDataFrame(small, "doc_id bigint, text string"), small)):
