@@ -229,9 +229,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
         stay = ~(gone | whole_copy)
         texts = P.Texts.of(table["text"])
         buf, chosen = texts.buf.copy(), covered_bytes(w.start[stay], w.end[stay], len(texts.buf))
-        space = w.end[stay]
-        space = space[space < len(buf)]
-        space = space[P._SPACE[buf[space]]]
+        space = w.end[stay & (w.end < np.repeat(texts.at[1:], size))]  # a row's last word may have none
         buf[space], chosen[space] = 32, True
         removed = size - np.add.reduceat(np.append(stay, False), w.first[:-1]) * (size > 0)
         digest, kept = [], []

@@ -262,6 +262,16 @@ def test_copies_are_told_apart_by_text_where_a_doc_id_has_two(spark):
     assert sorted((r.doc_id, r.text) for r in block_anchors.clean_documents(docs).collect()) == [(1, a), (2, b)]
 
 
+def test_kept_text_takes_no_separator_from_the_next_row(spark):
+    import numpy as np
+    from secscan.llm import packed
+    group = packed.group_of(np.arange(1000), 8)
+    first, second = np.flatnonzero(group == group[0])[:2].tolist()  # neighbours in one group
+    docs = spark.createDataFrame([(first, "alpha beta"), (second, "\ngamma\t delta ")], "doc_id bigint, text string")
+    got = by_id(block_anchors.dedup(docs), "kept_text", "kept_sha256")
+    assert got == {i: (t, brute.sha(t)) for i, t in ((first, "alpha beta"), (second, "gamma delta"))}
+
+
 # ---------------------------------------------------------------- 9
 def test_language_model(spark, edge, empty, texts, small):
     for df, rows in ((edge, texts), (spark.createDataFrame(small, "doc_id bigint, text string"), small)):
