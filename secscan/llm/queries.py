@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secscan.llm import bagminhash, block_anchors, chat_format, decontaminate, host_reputation, kneser_ney, mixing, quality_rules, separator_scan, suffix_buckets
+from secscan.llm import (bagminhash, block_anchors, chat_format, decontaminate, host_reputation, kneser_ney, mixing, quality_rules,
+                         separator_scan, suffix_buckets, turn_repair, warc, whitening)
 from secscan.llm.common import table
 
 QUERIES: dict = {}
@@ -257,3 +258,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_kneser_ney")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_corpus(table(spark, sf_dir, "documents"))
+
+
+@register("op11_turn_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_warc")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
