@@ -56,14 +56,22 @@ def suffix_buckets(docs: list[tuple], length: int = 100) -> dict:
     return out
 
 
-def near_classes(docs: list[tuple], size: int = 5, threshold: float = 0.8) -> dict:
-    """doc_id -> smallest doc_id of its class, by the exact multiset similarity of all pairs that share a shingle."""
+def near_pairs(docs: list[tuple], size: int = 5, threshold: float = 0.8):
+    """(a, b, similarity) of all pairs at the threshold, by exact multiset similarity of all that share a shingle."""
     bags, having = {}, defaultdict(list)
     for d, t in docs:
         w = words(t)
         bags[d] = Counter(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter()
         for s in bags[d]:
             having[s].append(d)
+    for a, b in {(x, y) for ids in having.values() for x in ids for y in ids if x < y}:
+        total = sum((bags[a] | bags[b]).values())
+        if total and sum((bags[a] & bags[b]).values()) >= threshold * total:
+            yield a, b, sum((bags[a] & bags[b]).values()) / total
+
+
+def near_classes(docs: list[tuple], size: int = 5, threshold: float = 0.8) -> dict:
+    """doc_id -> smallest doc_id of its class."""
     label = {d: d for d, _ in docs}
 
     def root(x):
@@ -71,11 +79,9 @@ def near_classes(docs: list[tuple], size: int = 5, threshold: float = 0.8) -> di
             x = label[x]
         return x
 
-    for a, b in {(x, y) for ids in having.values() for x in ids for y in ids if x < y}:
-        total = sum((bags[a] | bags[b]).values())
-        if total and sum((bags[a] & bags[b]).values()) >= threshold * total:
-            x, y = sorted((root(a), root(b)))
-            label[y] = x
+    for a, b, _ in near_pairs(docs, size, threshold):
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
     return {d: root(d) for d, _ in docs}
 
 
