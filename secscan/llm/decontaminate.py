@@ -1,24 +1,35 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose surrounding punctuation and case; numbers, quantities, names and units become typed placeholders.  Windows
-of the canonical words of benchmark items are hashed and hash-joined with all windows of all documents.  Matches are
-put together by alignment, the placeholders' values on both sides are compared, and only alignments that rename
-values consistently (one to one within a type) count.  So a question is found verbatim or with other numbers and
-names, while texts that merely share a pattern with unrelated values are not.
+of the canonical words of benchmark items are hashed and hash-joined with all windows of all documents.  What matched
+is then compared word by word, and put together by alignment (a document's text, an item, and their shift):
+
+* a window whose placeholders all have the item's own values is verbatim and counts;
+* a window with other values counts if it lies in a stretch of ``least`` consecutive matched windows of its alignment
+  (all windows of an item that has fewer) in which values are renamed one to one within each type.
+
+So a question is found verbatim, with other numbers and names throughout, or with some edited here and there; texts
+that merely share a pattern with unrelated values are not.
 
 There are two canonical forms, each matched by itself.  In the strict one a name is a capitalised word inside a sentence
 and a number starts with a digit; in the loose one every capitalised word is a name, also one that opens a sentence, and
 number words of English up to 'ninety-nine' written as one word, and the larger units, are numbers.  A pair found in the
 strict form is reported as that form counts it; the loose one adds the pairs that only it finds.
 
+Documents that hold fewer windows than an item needs are left out before windows are matched with items, so a window
+that many items share costs a row per document, not per document and item.
+
 Defined results: null and empty texts on either side match nothing; an item with fewer words than a window is matched
-as a whole; items with the same template and the same words are one item, the one with the smallest id, as are
-windows repeated within an item.  Repeated doc_ids count as one document; rows without doc_id are never reported.
+as a whole; items with the same template and the same words are one item, the one with the smallest id; windows
+repeated within an item count once; rows with the same doc_id are judged each by its own text, and of a doc_id's rows
+the one with the most windows is reported; rows without doc_id are judged and cleaned, but not reported; an empty
+table on either side gives no rows; a very long text is one row of words, its windows are rows; other columns are
+not read, whatever their names, and ``clean_documents`` returns them unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from secscan.llm.common import words, written
@@ -70,12 +81,6 @@ def with_canonical(df: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
-def _windows(size: str) -> str:
-    """Hashes of all windows of ``size`` canonical words (SQL); the size is hashed too."""
-    return (f"CASE WHEN size(_canon) < {size} THEN CAST(array() AS array<bigint>) ELSE"
-            f" transform(sequence(0, size(_canon) - {size}), i -> xxhash64({size}, slice(_canon, i + 1, {size}))) END")
-
-
 def _window(i: str, n: int, form: int) -> str:
     """Hash of the window of n words from place ``i`` (SQL), n known beforehand; the form is hashed too."""
     parts = ", ".join(f"get({FORMS[form]}, {i} + {j})" for j in range(n))
@@ -83,84 +88,107 @@ def _window(i: str, n: int, form: int) -> str:
 
 
 def _fixed_windows(n: int, form: int = 0) -> str:
-    """As ``_windows`` for a size known beforehand, without building the slices."""
+    """Hashes of all windows of n canonical words (SQL)."""
     return (f"CASE WHEN size(_canon) < {n} THEN CAST(array() AS array<bigint>) ELSE"
             f" transform(sequence(0, size(_canon) - {n}), i -> {_window('i', n, form)}) END")
 
 
-def index(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(items, windows): items (item_id, _bare, _low, _canon, _loose, size), windows (h, item_id, form, ipos, size,
-    item_windows).
+def index(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """(h, item_id, form, ipos, rank, size, item_windows, need, iwords, ilow): the items' windows with their words.
 
-    Items of equal words are one; windows repeated within an item and form count once.
+    Items of equal words are one; windows repeated within an item and form count once; ``rank`` numbers the rest.
     """
-    items = with_canonical(benchmark.filter("text IS NOT NULL")).filter("size(_canon) > 0")
-    items = items.groupBy(F.xxhash64("_canon", "_low").alias("_same")).agg(F.min_by(
-        F.struct("item_id", "_bare", "_low", *FORMS), F.struct("item_id", F.col("text"))).alias("_i")).select("_i.*")
-    items = written(items.withColumn("size", F.least(F.lit(window), F.size("_canon"))), "benchmark-items")
+    items = with_canonical(benchmark.select("item_id", "text").filter("text IS NOT NULL")).filter("size(_canon) > 0")
+    items = items.groupBy(F.xxhash64("_canon", "_low").alias("_same"), "_canon", "_low").agg(F.min_by(
+        F.struct("item_id", "_loose"), "item_id").alias("_i")).select("_i.item_id", "_low", "_canon", "_i._loose")
+    items = items.withColumn("size", F.least(F.lit(window), F.size("_canon")))
     hashes = F.array(*[F.expr("CASE " + " ".join(
         f"WHEN size = {n} THEN {_fixed_windows(n, form)}" for n in range(1, window + 1)) + " END") for form in range(len(FORMS))])
-    w = items.select("item_id", "size", F.posexplode(hashes).alias("form", "_h")).select(
-        "item_id", "size", "form", F.posexplode("_h").alias("ipos", "h")).groupBy("h", "item_id", "form", "size").agg(
-        F.min("ipos").alias("ipos"))
-    n = w.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"))
-    return items, written(w.join(n, ["item_id", "form"]), "benchmark-windows")
+    w = items.select("*", F.posexplode(hashes).alias("form", "_h")).select("*", F.posexplode("_h").alias("ipos", "h"))
+    w = w.select("h", "item_id", "form", "size", "ipos", F.expr(f"slice(CASE form {' '.join(f'WHEN {k} THEN {c}' for k, c in enumerate(FORMS))} END, ipos + 1, size)").alias("iwords"),
+                 F.expr("slice(_low, ipos + 1, size)").alias("ilow"))
+    w = w.groupBy("item_id", "form", "h", "size").agg(F.min_by(F.struct("ipos", "iwords", "ilow"), "ipos").alias("_w")).select("item_id", "form", "h", "size", "_w.*")
+    own = Window.partitionBy("item_id", "form")
+    w = w.withColumn("rank", F.row_number().over(own.orderBy("ipos")) - 1).withColumn("item_windows", F.count(F.lit(1)).over(own))
+    return written(w.withColumn("need", F.least(F.lit(least), "item_windows").cast("int")), "benchmark-windows")
 
 
 def hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, pos, item_id, form, ipos, size, item_windows) for every document window that is an item's window.
+    """(doc_id, _row, pos, h, need) for every document window that is some item's window; need is the least that an
+    item with this window asks for.  ``_row`` tells rows with the same doc_id apart by their text.
 
     Only the hashes meet the index; its table on disk has a known size, from which Spark broadcasts it or shuffles.
     """
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [window]  # at most window values
-    d = with_canonical(docs.select("doc_id", "text").filter("text IS NOT NULL"))
+    short = windows.groupBy("h").agg(F.min("need").alias("need"))
+    d = with_canonical(docs.select("doc_id", "text").filter("text IS NOT NULL").withColumn("_row", F.xxhash64("text")))
     # one row per place first: hashes of its windows are then generated code, not a function run per array element;
     # outer, as a filter on the array's size would compute the words twice
-    place = d.select("doc_id", *FORMS, F.explode_outer(F.expr(
+    place = d.select("doc_id", "_row", *FORMS, F.explode_outer(F.expr(
         f"CASE WHEN size(_canon) >= {sizes[0]} THEN sequence(0, size(_canon) - {sizes[0]}) END")).alias("pos"))
     hashes = F.array(*[F.expr(f"CASE WHEN pos + {n} <= size(_canon) THEN {_window('pos', n, form)} END")
                        for n in sizes for form in range(len(FORMS))])
-    flat = place.select("doc_id", "pos", F.explode_outer(hashes).alias("h"))
-    return flat.join(windows, "h").select("doc_id", "pos", "item_id", "form", "ipos", "size", "item_windows")
+    flat = place.select("doc_id", "_row", "pos", F.explode_outer(hashes).alias("h"))
+    return flat.join(written(short, "benchmark-hashes"), "h").select("doc_id", "_row", "pos", "h", "need")
 
 
 _SLOTS = ("'<num>'", "'<qty>'", "'<name>'", "'<unit>'")
 
 
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """(doc_id, _row, item_id, form, shift, rank, need, item_windows, verbatim, slots): document windows that are an
+    item's window word by word; slots are its placeholders (type, the item's value, the document's)."""
+    windows = index(benchmark, window, least)
+    found = written(hits(docs, windows, window), "benchmark-hits")
+    # equal also where doc_id is null
+    row = [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("_row") == F.col("_r")]
+    enough = found.groupBy("doc_id", "_row").agg(F.countDistinct("h").alias("_n"), F.min("need").alias("_need"), F.sort_array(F.collect_set("pos")).alias("_at"))
+    enough = written(enough.filter("_n >= _need").select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "_at"), "benchmark-rows")
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").withColumn("_row", F.xxhash64("text")).join(enough, row)
+    texts = with_canonical(texts.dropDuplicates(["doc_id", "_row"]))
+    forms = ", ".join(f"slice({c}, p + 1, {window})" for c in FORMS)
+    at = texts.select("doc_id", "_row", F.explode(F.expr(f"transform(_at, p -> named_struct('pos', p, 'dlow', slice(_low, p + 1, {window}), 'dforms', array({forms})))")).alias("_p"))
+    at = written(at.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("_p.pos").alias("_pos"), "_p.dlow", "_p.dforms"), "benchmark-places")
+    both = found.drop("need").join(at, [*row, F.col("pos") == F.col("_pos")]).join(windows, "h")
+    both = both.filter("slice(get(dforms, form), 1, size) = iwords")
+    slots = F.expr(f"""transform(filter(sequence(0, size - 1), i -> get(iwords, i) IN ({', '.join(_SLOTS)})),
+        i -> named_struct('t', get(iwords, i), 'x', get(ilow, i), 'y', get(dlow, i)))""")
+    both = both.withColumn("slots", slots).withColumn("verbatim", F.expr("forall(slots, p -> p.x = p.y)"))
+    return both.select("doc_id", "_row", "item_id", "form", (F.col("pos") - F.col("ipos")).alias("shift"), "rank", "need", "item_windows", "verbatim", "slots")
+
+
+def leaking_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """(doc_id, _row, item_id, n_windows, item_windows, kind) per row of ``docs`` and item, kind 2 verbatim or 1 renamed."""
+    line = ["doc_id", "_row", "item_id", "form", "need", "item_windows", "shift"]
+    lines = matched(docs, benchmark, window, least).groupBy(*line).agg(F.sort_array(F.collect_set(F.struct("rank", "verbatim", "slots"))).alias("w"))
+    # places where a stretch of ``need`` consecutive windows starts that renames one to one
+    fine = F.expr("""filter(sequence(0, size(w) - need), k -> get(w, k + need - 1).rank - get(w, k).rank = need - 1 AND
+        size(array_distinct(flatten(transform(slice(w, k + 1, need), v -> v.slots)))) = size(array_distinct(flatten(transform(slice(w, k + 1, need),
+            v -> transform(v.slots, p -> named_struct('t', p.t, 'x', p.x)))))) AND
+        size(array_distinct(flatten(transform(slice(w, k + 1, need), v -> v.slots)))) = size(array_distinct(flatten(transform(slice(w, k + 1, need),
+            v -> transform(v.slots, p -> named_struct('t', p.t, 'y', p.y)))))))""")
+    lines = lines.withColumn("_s", F.when(F.expr("size(w) >= need"), fine).otherwise(F.array().cast("array<int>")))
+    counted = F.expr("filter(w, (v, i) -> v.verbatim OR exists(_s, k -> k <= i AND i < k + need))")
+    each = lines.select(*line, F.explode(counted).alias("v")).groupBy("doc_id", "_row", "item_id", "form").agg(
+        F.countDistinct("v.rank").alias("n_windows"), F.countDistinct(F.expr("CASE WHEN v.verbatim THEN v.rank END")).alias("_same"),
+        F.first("need").alias("need"), F.first("item_windows").alias("item_windows")).filter("n_windows >= need")
+    kind = F.expr("CASE WHEN _same >= need THEN 2 ELSE 1 END")
+    return each.withColumn("kind", kind).groupBy("doc_id", "_row", "item_id").agg(
+        F.min_by(F.struct("n_windows", "item_windows", "kind"), "form").alias("_f")).select("doc_id", "_row", "item_id", "_f.*")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """One row per document and item: doc_id, item_id, n_windows found, item_windows, kind.
 
-    Windows are counted in the first form that finds enough of them.  kind is 'verbatim' if an alignment keeps all slot values, else 'renamed'.
-    """
-    items, windows = index(benchmark, window)
-    found = written(hits(docs, windows, window).withColumn("shift", F.col("pos") - F.col("ipos")), "benchmark-hits")
-    pair = ["doc_id", "item_id", "form"]
-    enough = found.groupBy(*pair).agg(
-        F.countDistinct("ipos").alias("_n"), F.first("item_windows").alias("item_windows")).filter(
-        f"_n >= least({least}, item_windows)").drop("_n")
-    lines = found.join(enough.drop("item_windows"), pair).groupBy(*pair, "shift").agg(
-        F.min("ipos").alias("a"), F.max(F.expr("ipos + size")).alias("b"), F.collect_set("ipos").alias("ips"))
-    lines = written(lines, "benchmark-lines")
-    texts = docs.select("doc_id", "text").join(lines.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = with_canonical(texts).select("doc_id", F.col("_low").alias("_dlow"), F.array(*FORMS).alias("_dforms"))
-    item = items.select("item_id", F.col("_low").alias("_ilow"), F.array(*FORMS).alias("_iforms"))
-    both = lines.join(texts, "doc_id").join(item, "item_id").withColumn("_icanon", F.expr("get(_iforms, form)")).withColumn(
-        "_dcanon", F.expr("get(_dforms, form)")).withColumn("_pairs", F.expr(f"""
-        array_distinct(transform(filter(sequence(a, b - 1), i -> get(_icanon, i) IN ({', '.join(_SLOTS)})
-                                        AND get(_icanon, i) = get(_dcanon, i + shift)),
-            i -> named_struct('t', get(_icanon, i), 'x', get(_ilow, i), 'y', get(_dlow, i + shift))))"""))
-    kind = F.expr("""CASE WHEN forall(_pairs, p -> p.x = p.y) THEN 2
-        WHEN size(array_distinct(transform(_pairs, p -> named_struct('t', p.t, 'x', p.x)))) = size(_pairs)
-         AND size(array_distinct(transform(_pairs, p -> named_struct('t', p.t, 'y', p.y)))) = size(_pairs) THEN 1 ELSE 0 END""")
-    good = both.withColumn("_k", kind).filter("_k > 0").select(*pair, "_k", F.explode("ips").alias("ipos"))
-    each = good.groupBy(*pair).agg(F.countDistinct("ipos").alias("n_windows"), F.max("_k").alias("_k")).join(
-        enough, pair).filter(f"n_windows >= least({least}, item_windows)")
-    return each.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("n_windows", "item_windows", "_k"), "form").alias("_f")).select(
-        "doc_id", "item_id", "_f.n_windows", "_f.item_windows",
-        F.when(F.col("_f._k") == 2, "verbatim").otherwise("renamed").alias("kind"))
+    Windows are counted in the first form that finds enough of them.  kind is 'verbatim' if enough windows keep all
+    values, else 'renamed'."""
+    rows = leaking_rows(docs.filter("doc_id IS NOT NULL"), benchmark, window, least)
+    return rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "kind", "item_windows")).alias("_f")).select(
+        "doc_id", "item_id", "_f.n_windows", "_f.item_windows", F.when(F.col("_f.kind") == 2, "verbatim").otherwise("renamed").alias("kind"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, all their columns unchanged."""
-    bad = written(leaks(docs, benchmark).select("doc_id").distinct(), "leaking-documents")
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows without a leak, all their columns unchanged."""
+    bad = written(leaking_rows(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).distinct(), "leaking-rows")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left_anti").select(
+        *[F.col(f"`{c}`") for c in docs.columns])

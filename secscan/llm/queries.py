@@ -184,42 +184,56 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canon_sql(src: str, key: str) -> str:
-    """Bare, lower-cased and canonical words of table ``src``."""
+    """Lower-cased words and both canonical forms of table ``src``, a row per form."""
     edge = decontaminate.EDGE.replace("'", "''")
     units = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
-    return f"""{src}_l AS (SELECT {key}, text, raw, list_transform(raw, lambda w: trim(w, '{edge}')) AS bare FROM
-  (SELECT {key}, text, {W_SQL} AS raw FROM {src} WHERE text IS NOT NULL) x),
-{src}_c AS (SELECT {key}, text, list_transform(bare, lambda w: lower(w)) AS low, list_transform(bare, lambda w, i: CASE WHEN w = '' THEN ''
-  WHEN left(w, 1) BETWEEN '0' AND '9' THEN CASE WHEN regexp_matches(lower(w), '^[0-9][0-9.,]*$') THEN '<num>' ELSE '<qty>' END
-  WHEN left(lower(w), 1) <> left(w, 1) AND substr(lower(w), 2, 1) = substr(w, 2, 1) AND i > 1 AND right(raw[i - 1], 1) NOT IN ('.', '!', '?', ':') THEN '<name>'
-  WHEN lower(w) IN ({units}) THEN '<unit>' ELSE lower(w) END) AS canon FROM {src}_l)"""
+    numbers = ", ".join(f"'{n}'" for n in decontaminate.NUMBERS)
+    capital = "left(lower(w), 1) <> left(w, 1) AND substr(lower(w), 2, 1) = substr(w, 2, 1)"
+    inside = "i > 1 AND right(raw[i - 1], 1) NOT IN ('.', '!', '?', ':')"
+    head = """CASE WHEN w = '' THEN ''
+  WHEN left(w, 1) BETWEEN '0' AND '9' THEN CASE WHEN regexp_matches(lower(w), '^[0-9][0-9.,]*$') THEN '<num>' ELSE '<qty>' END"""
+    return f"""{src}_l AS (SELECT {key}, rid, raw, list_transform(raw, lambda w: trim(w, '{edge}')) AS bare FROM
+  (SELECT {key}, row_number() OVER () AS rid, {W_SQL} AS raw FROM {src} WHERE text IS NOT NULL) x),
+{src}_c AS (SELECT {key}, rid, list_transform(bare, lambda w: lower(w)) AS low, list_transform(bare, lambda w, i: {head}
+  WHEN {capital} AND {inside} THEN '<name>'
+  WHEN lower(w) IN ({units}) THEN '<unit>' ELSE lower(w) END) AS canon, list_transform(bare, lambda w, i: {head}
+  WHEN lower(w) IN ({numbers}) THEN '<num>' WHEN {capital} AND {inside} THEN '<name>'
+  WHEN lower(w) IN ({units}) THEN '<unit>' WHEN {capital} THEN '<name>' ELSE lower(w) END) AS loose FROM {src}_l)"""
 
 
 Q3_SQL = f"""
 WITH {_canon_sql("benchmark", "item_id")}, {_canon_sql("documents", "doc_id")},
-items AS (SELECT min(item_id) AS item_id, low, canon, least({decontaminate.WINDOW}, len(canon)) AS size FROM benchmark_c WHERE len(canon) > 0 GROUP BY low, canon),
-iw AS (SELECT item_id, size, min(i) AS ipos, array_to_string(canon[i:i + size - 1], ' ') AS h
-       FROM items, unnest(generate_series(1, len(canon) - size + 1)) AS u(i) GROUP BY item_id, size, array_to_string(canon[i:i + size - 1], ' ')),
-w AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS item_windows FROM iw),
+items AS (SELECT min(item_id) AS item_id, low, canon, any_value(loose) AS loose, least({decontaminate.WINDOW}, len(canon)) AS size FROM benchmark_c WHERE len(canon) > 0 GROUP BY low, canon),
+it AS (SELECT item_id, low, 0 AS form, canon AS c, size FROM items UNION ALL SELECT item_id, low, 1, loose, size FROM items),
+d AS (SELECT doc_id, rid, low, 0 AS form, canon AS c FROM documents_c UNION ALL SELECT doc_id, rid, low, 1, loose FROM documents_c),
+iw AS (SELECT item_id, form, size, min(i) AS ipos, array_to_string(c[i:i + size - 1], ' ') AS h
+       FROM it, unnest(generate_series(1, len(c) - size + 1)) AS u(i) GROUP BY item_id, form, size, array_to_string(c[i:i + size - 1], ' ')),
+w AS (SELECT *, count(*) OVER (PARTITION BY item_id, form) AS item_windows, least({decontaminate.LEAST}, count(*) OVER (PARTITION BY item_id, form)) AS need,
+             row_number() OVER (PARTITION BY item_id, form ORDER BY ipos) AS rank FROM iw),
 sizes AS (SELECT DISTINCT size FROM w),
-dw AS (SELECT doc_id, s.size, i AS pos, array_to_string(canon[i:i + s.size - 1], ' ') AS h
-       FROM documents_c, sizes s, unnest(generate_series(1, len(canon) - s.size + 1)) AS u(i)),
-hit AS (SELECT doc_id, pos, item_id, ipos, size, item_windows, pos - ipos AS shift FROM dw JOIN w USING (h, size)),
-enough AS (SELECT doc_id, item_id, first(item_windows) AS item_windows FROM hit GROUP BY doc_id, item_id
-           HAVING count(DISTINCT ipos) >= least({decontaminate.LEAST}, first(item_windows))),
-ln AS (SELECT doc_id, item_id, shift, min(ipos) AS a, max(ipos + size) AS b, list(DISTINCT ipos) AS ips
-       FROM hit JOIN enough USING (doc_id, item_id) GROUP BY doc_id, item_id, shift),
-slots AS (SELECT DISTINCT l.doc_id, l.item_id, l.shift, it.canon[i] AS t, it.low[i] AS x, d.low[i + l.shift] AS y
-          FROM ln l JOIN items it USING (item_id) JOIN documents_c d USING (doc_id), unnest(generate_series(l.a, l.b - 1)) AS u(i)
-          WHERE it.canon[i] IN ('<num>', '<qty>', '<name>', '<unit>') AND it.canon[i] = d.canon[i + l.shift]),
-k AS (SELECT l.doc_id, l.item_id, l.shift, any_value(l.ips) AS ips, CASE WHEN count(s.t) = 0 OR bool_and(s.x = s.y) THEN 2
-        WHEN count(DISTINCT (s.t, s.x)) = count(s.t) AND count(DISTINCT (s.t, s.y)) = count(s.t) THEN 1 ELSE 0 END AS kind
-      FROM ln l LEFT JOIN slots s USING (doc_id, item_id, shift) GROUP BY l.doc_id, l.item_id, l.shift),
-g AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows, max(kind) AS kind
-      FROM (SELECT doc_id, item_id, kind, unnest(ips) AS ipos FROM k WHERE kind > 0) x GROUP BY doc_id, item_id)
+dw AS (SELECT doc_id, rid, form, s.size, i AS pos, array_to_string(c[i:i + s.size - 1], ' ') AS h
+       FROM d, sizes s, unnest(generate_series(1, len(c) - s.size + 1)) AS u(i) WHERE doc_id IS NOT NULL),
+hit AS (SELECT doc_id, rid, item_id, form, pos - ipos AS shift, rank, need, item_windows, ipos, size FROM dw JOIN w USING (h, size, form)),
+slot AS (SELECT h.rid, h.item_id, h.form, h.shift, h.rank, it.c[i] AS t, it.low[i] AS x, d.low[i + h.shift] AS y
+         FROM hit h JOIN it USING (item_id, form) JOIN d USING (rid, form), unnest(generate_series(h.ipos, h.ipos + h.size - 1)) AS u(i)
+         WHERE it.c[i] IN ('<num>', '<qty>', '<name>', '<unit>')),
+win AS (SELECT h.*, coalesce(s.same, TRUE) AS same FROM hit h LEFT JOIN (
+          SELECT rid, item_id, form, shift, rank, bool_and(x = y) AS same FROM slot GROUP BY ALL) s USING (rid, item_id, form, shift, rank)),
+full_from AS (SELECT a.rid, a.item_id, a.form, a.shift, a.rank, a.need FROM hit a JOIN hit b USING (rid, item_id, form, shift)
+              WHERE b.rank BETWEEN a.rank AND a.rank + a.need - 1 GROUP BY ALL HAVING count(*) = a.need),
+fine AS (SELECT f.* FROM full_from f LEFT JOIN slot s ON s.rid = f.rid AND s.item_id = f.item_id AND s.form = f.form AND s.shift = f.shift
+           AND s.rank BETWEEN f.rank AND f.rank + f.need - 1
+         GROUP BY ALL HAVING count(DISTINCT (s.t, s.x, s.y)) FILTER (WHERE s.t IS NOT NULL) = count(DISTINCT (s.t, s.x)) FILTER (WHERE s.t IS NOT NULL)
+           AND count(DISTINCT (s.t, s.x, s.y)) FILTER (WHERE s.t IS NOT NULL) = count(DISTINCT (s.t, s.y)) FILTER (WHERE s.t IS NOT NULL)),
+counted AS (SELECT * FROM win v WHERE same OR EXISTS (SELECT 1 FROM fine f WHERE f.rid = v.rid AND f.item_id = v.item_id AND f.form = v.form
+              AND f.shift = v.shift AND v.rank BETWEEN f.rank AND f.rank + f.need - 1)),
+g AS (SELECT doc_id, rid, item_id, form, need, item_windows, count(DISTINCT rank) AS n_windows,
+             CASE WHEN count(DISTINCT rank) FILTER (WHERE same) >= need THEN 2 ELSE 1 END AS kind
+      FROM counted GROUP BY doc_id, rid, item_id, form, need, item_windows HAVING count(DISTINCT rank) >= need),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY form) AS rn FROM g) x WHERE rn = 1),
+one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, kind DESC, item_windows DESC) AS rn2 FROM best)
 SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(item_windows AS BIGINT) AS item_windows,
-       CASE kind WHEN 2 THEN 'verbatim' ELSE 'renamed' END AS kind
-FROM g JOIN enough USING (doc_id, item_id) WHERE n_windows >= least({decontaminate.LEAST}, item_windows)"""
+       CASE kind WHEN 2 THEN 'verbatim' ELSE 'renamed' END AS kind FROM one WHERE rn2 = 1"""
 
 
 @register("op3_decontamination", Q3_SQL)

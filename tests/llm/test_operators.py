@@ -116,17 +116,58 @@ def test_decontamination_finds_renamed_questions(spark, edge, empty):
     question = "Every morning in Ohio the farmer Alice packs 12 boxes with 7 apples and gives 12 boxes to Bob at noon sharp"
     renamed = question.replace("12", "31").replace(" 7 ", " 9 ").replace("Alice", "Carla").replace("Bob", "Dieter")
     mixed = question.replace("packs 12", "packs 31").replace("Alice", "Bob")
+    clash = renamed.replace("with 9", "with 31").replace("Dieter", "Carla")
     bench = spark.createDataFrame([(1, question), (2, None), (3, ""), (4, "short item here"), (5, question)], "item_id bigint, text string")
     docs = spark.createDataFrame([
         (1, "Before. " + question + ". After"), (2, "Before. " + renamed + ". After"), (3, "Before. " + mixed + ". After"),
-        (4, None), (5, ""), (6, "this short item here is found"), (7, _PROSE), (None, question)], "doc_id bigint, text string")
+        (4, None), (5, ""), (6, "this short item here is found"), (7, _PROSE), (None, question), (8, question.replace("12", "31", 1)),
+        (9, question.replace("12", "31", 1) + " then" * 200), (10, clash)], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, bench).collect()}
-    assert got == {(1, 1): "verbatim", (2, 1): "renamed", (6, 4): "verbatim"}
-    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {3, 4, 5, 7, None}
+    # 3, 8 and 9 keep 13 words as they are behind the edited value; 10 makes two values equal within every 13 words
+    assert got == {(1, 1): "verbatim", (2, 1): "renamed", (3, 1): "verbatim", (6, 4): "verbatim", (8, 1): "verbatim", (9, 1): "verbatim"}
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {4, 5, 7, 10}
     assert decontaminate.leaks(edge, bench).count() == 0 == decontaminate.leaks(empty, bench).count()
     assert decontaminate.leaks(edge, bench.limit(0)).count() == 0
 
 
+def test_decontamination_tells_rows_of_a_doc_id_apart(spark):
+    question = "Every morning in Ohio the farmer Alice packs 12 boxes with 7 apples and gives 12 boxes to Bob at noon sharp"
+    bench = spark.createDataFrame([(1, question, "x")], "item_id bigint, text string, shift string")
+    rows = [(5, "hello"), (5, question.replace("12", "31", 1)), (5, "hello"), (6, question), (6, question.replace("12", "31")), (7, "fine")]
+    docs = spark.createDataFrame([(*r, 1, "w") for r in rows], "doc_id bigint, text string, _row int, rank string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_windows) for r in decontaminate.leaks(docs.drop("_row"), bench).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(5, 1): "verbatim", (6, 1): "verbatim"} and got[6, 1][1] == 15
+    kept = decontaminate.clean_documents(docs, bench)
+    assert sorted(r.text for r in kept.collect()) == ["fine", "hello", "hello"] and kept.columns == docs.columns
+
+
+def test_decontamination_equals_sql_on_difficult_tables(spark, tmp_path):
+    """Renamed, half-edited and loosely matching copies of items, so that both forms and both kinds occur."""
+    import random
+
+    from pyspark.sql import Row
+    rng = random.Random(4)
+    names, plain = ["Tom", "Ann", "Bob", "Eve", "Ohio"], "the has buys more and then gives to some red old apples boxes for of".split()
+    def word():
+        return rng.choice([*plain, *plain, rng.choice(names), str(rng.randrange(9)), rng.choice(["three", "five"]), "km", "Km", "12kg"])
+    items = [" ".join(word() + rng.choice(["", "", "", ".", ","]) for _ in range(rng.choice([3, 9, 16, 25]))) for _ in range(25)]
+    docs = []
+    for i, text in enumerate(items * 6):
+        new = {n: rng.choice(names) for n in names} | {str(k): str(rng.randrange(9)) for k in range(9)} | {"three": "five"}
+        out = [w if rng.random() < 0.3 else "".join(new.get(p, p) for p in [w.rstrip(".,"), w[len(w.rstrip(".,")):]]) for w in text.split()]
+        docs.append(Row(doc_id=i % 140, text="so " * rng.randrange(3) + " ".join(out) + " end"))
+    spark.createDataFrame(docs).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([Row(item_id=i, text=t) for i, t in enumerate(items)]).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = queries.op3(spark, str(tmp_path)).toPandas()
+    ok, msg = compare(got, con.execute(queries.ORACLES["op3_decontamination"]).fetchdf())
+    assert ok, msg
+    assert set(got.kind) == {"verbatim", "renamed"} and len(got) > 50
+
+
 def test_decontamination_finds_names_that_open_sentences_and_number_words(spark):
     tom = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have now?"
     lead = "Sarah walks to the old market hall. Peter carries three heavy baskets and Sarah pays twenty-one coins for the fish"
@@ -134,11 +175,12 @@ def test_decontamination_finds_names_that_open_sentences_and_number_words(spark)
     docs = spark.createDataFrame([
         (1, "Q: " + tom.replace("Tom", "Ann")), (2, "so " + tom.replace("Tom", "Ann").replace("3", "four")),
         (3, lead.replace("Sarah", "Maria").replace("Peter", "Hugo").replace("three", "five").replace("twenty-one", "30")),
-        (4, lead.lower()), (5, lead.replace("Sarah", "Maria", 1).replace("three", "five").replace("Peter", "Sarah")), (6, tom)],
-        "doc_id bigint, text string")
+        (4, lead.lower()), (5, lead.replace("Sarah", "Maria", 1).replace("three", "five").replace("Peter", "Sarah")), (6, tom),
+        (7, lead.replace("Sarah", "Maria").replace("three", "five").replace("Peter", "Maria"))], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, bench).collect()}
-    assert got == {(1, 1): "renamed", (2, 1): "renamed", (3, 2): "renamed", (4, 2): "verbatim", (6, 1): "verbatim"}
-    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {5}
+    # 5 renames its first 13 words one to one, 7 gives two people one name within every 13 words
+    assert got == {(1, 1): "renamed", (2, 1): "renamed", (3, 2): "renamed", (4, 2): "verbatim", (5, 2): "renamed", (6, 1): "verbatim"}
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {7}
 
 
 # ---------------------------------------------------------------- 4
@@ -149,23 +191,48 @@ def test_near_classes(spark, edge, empty, texts, small):
     assert bagminhash.classes(empty).count() == 0
     odd = spark.createDataFrame([(None, _PROSE), (1, _PROSE), (1, _PROSE)], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.class_id) for r in bagminhash.classes(odd).filter("doc_id IS NOT NULL").collect()) == [(1, 1), (1, 1)]
-    assert bagminhash.keep_documents(odd).count() == 3
-
-
-def test_near_classes_in_passes(spark):
-    """A band with many documents goes through passes with one centre; classes are those of all pairs."""
-    base = [f"b{i}" for i in range(120)]
-    rows = []
-    for d in range(60):
-        w = list(base)
-        for j in range(d % 4):
-            w[(d * 7 + j * 31) % 120] = f"e{d}_{j}"
-        rows.append((d, " ".join(w)))
+    assert sorted(str(r.doc_id) for r in bagminhash.keep_documents(odd).collect()) == ["1", "None"]
+
+
+def test_near_copies_where_a_doc_id_has_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = a.replace("a59", "z")
+    rows = [(1, a), (2, near), (2, b), (2, b), (3, b + " tail"), (4, a), (5, ""), (5, None), (6, a + " end"), (6, near)]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id bigint, text string, kind string, node int")
+    got = sorted((r.doc_id, r.class_id) for r in bagminhash.classes(docs).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (2, 2), (3, 2), (4, 1), (5, 5), (5, 5), (6, 1), (6, 1)]
+    assert sorted((r.doc_id, r.text or "") for r in bagminhash.keep_documents(docs).collect()) == [(1, a), (2, b), (5, "")]
+    assert bagminhash.keep_documents(docs).columns == docs.columns
+
+
+def _edited(n, edits, seed, size=120):
+    """Texts that are one base text with several words changed, each at places of its own."""
+    import random
+    rng = random.Random(seed)
+    for d in range(n):
+        w = [f"b{i}" for i in range(size)]
+        for j, at in enumerate(rng.sample(range(size), edits(d, rng))):
+            w[at] = f"e{d}_{j}" if rng.random() < 0.7 else f"s{rng.randrange(30)}"
+        yield d, " ".join(w[rng.randrange(8):])
+
+
+@pytest.mark.parametrize("edits", [lambda d, r: d % 4, lambda d, r: 1 + d % 6, lambda d, r: r.randrange(3, 12)])
+def test_near_classes_of_one_template(spark, edits):
+    """All documents share bands, but few pairs reach the threshold; classes are those of all pairs."""
+    rows = list(_edited(150, edits, 7))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    none = spark.createDataFrame([], "doc_id bigint, rep bigint")
-    got = {r.node: r.label for r in bagminhash.near_classes(docs, none, 0.8, 5, 32, 5, spread=0).collect()}
+    got = by_id(bagminhash.classes(docs, bands=64, rows=1), "class_id")
     want = brute.near_classes(rows)
-    assert {d: got.get(d, d) for d, _ in rows} == want and len(set(want.values())) < 60
+    assert got == {d: (c,) for d, c in want.items()} and len(set(want.values())) > 5
+
+
+def test_recall_of_bands(spark):
+    """Pairs of the given table at 0.8 and more, by exact similarity, that end in one class."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = by_id(bagminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")), "class_id")
+    pairs = [(a, b) for a, b, _ in brute.near_pairs(rows)]
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert len(pairs) > 20 and found >= 0.99 * len(pairs)
 
 
 def test_signatures_estimate_weighted_similarity():
