@@ -49,23 +49,24 @@ def basename(path: Column) -> Column:
 
 
 def entropy(s: Column) -> Column:
-    """Shannon entropy (bits per character) of a string, over code points."""
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    n = F.size(chars)
-    distinct = F.array_distinct(chars)
-    return F.when(n == 0, F.lit(0.0)).otherwise(
-        F.aggregate(
-            distinct, F.lit(0.0),
-            lambda acc, c: acc - (
-                (F.size(F.filter(chars, lambda x: x == c)) / n)
-                * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n)),
-        ))
+    """Shannon entropy (bits per character) of a string, over code points, from the run lengths of its sorted ones."""
+    def done(acc: Column) -> Column:
+        return acc["sum"] + F.when(acc["run"] > 0, acc["run"] * F.log2(acc["run"])).otherwise(0.0)
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["prev"] == c
+        return F.struct(c.alias("prev"), F.when(same, acc["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, acc["sum"]).otherwise(done(acc)).alias("sum"))
+
+    start = F.struct(F.lit("").alias("prev"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    chars = F.array_sort(F.filter(F.split(s, ""), lambda c: c != ""))
+    n = F.length(s)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - F.aggregate(chars, start, step, done) / n)
 
 
 def is_high_entropy_secret(value: Column) -> Column:
     n = F.length(value)
-    h = entropy(value)
-    return ((n >= 12) & (((n >= 32) & (h > 3.2)) | ((n >= 20) & (h > 3.6)) | ((n >= 12) & (h > 4.0))))
+    least = F.when(n >= 32, 3.2).when(n >= 20, 3.6).otherwise(4.0)
+    return (n >= 12) & (entropy(value) > least)
 
 
 def repo_name(url: Column) -> Column:

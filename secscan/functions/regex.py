@@ -79,3 +79,52 @@ def sql_literal(text: str) -> str:
     and to DuckDB through this helper.
     """
     return "'" + text.replace("'", "''") + "'"
+
+
+def spark_literal(text: str) -> str:
+    """String literal of Spark SQL, whatever the text holds."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
+
+
+def _required(seq) -> list[list[str]]:
+    """Sets of strings of a parsed pattern; every match holds one string of each set."""
+    from re import _constants as S
+    found, run = [], ""
+    for op, arg in seq:
+        if op is S.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            found.append([run])
+            run = ""
+        if op is S.SUBPATTERN:
+            found += _required(arg[-1])
+        elif op in (S.MAX_REPEAT, S.MIN_REPEAT, S.POSSESSIVE_REPEAT) and arg[0] >= 1:
+            found += _required(arg[2])
+        elif op is S.ATOMIC_GROUP:
+            found += _required(arg)
+        elif op is S.BRANCH:
+            each = [_best(_required(b)) for b in arg[1]]
+            if all(each):
+                found.append(sorted({s for one in each for s in one}))
+    if run:
+        found.append([run])
+    return found
+
+
+def _best(sets: list[list[str]]) -> list[str]:
+    return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=[])
+
+
+def required_literals(pattern: str, ignore_case: bool) -> list[str]:
+    """Strings of which every match of the pattern holds at least one; empty if none of two characters is known.
+
+    Texts without any of them need not meet the pattern at all.  Lower-case where the pattern ignores case."""
+    from re import _parser
+    try:
+        best = _best(_required(_parser.parse(pattern)))
+    except re.error:
+        return []
+    if not best or min(map(len, best)) < 2:
+        return []
+    return sorted({s.lower() if ignore_case else s for s in best})

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from secscan.functions import columns as C
+
 CODE_LIMIT = 12_000  # FIXED VALUE: characters of code sent per file.
 # FIXED VALUES: explanation template keys, in lookup order.
 TEMPLATE_KEYS = ("SQL Injection", "Hardcoded Secret", "XSS")
@@ -39,40 +41,92 @@ def finding_prompts(findings: DataFrame, kind: str = "explain") -> DataFrame:
     return findings.withColumn("prompt", text)
 
 
-RESPONSE_SCHEMA = "struct<why_dangerous:string,fixed_code:string,confidence_score:int,risk_level:string>"
-
-
-def parse_responses(responses: DataFrame, schema: str = RESPONSE_SCHEMA) -> DataFrame:
-    """Fenced JSON, else first '{' .. last '}'; bad JSON -> null fields."""
-    body = F.coalesce(F.col("body"), F.lit(""))
-    fenced = F.regexp_extract(body, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braces = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    text = F.when(fenced != "", fenced).otherwise(braces)
-    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    return responses.withColumn("parsed", F.when(text != "", parsed))
+#: fields of a parsed answer and their types
+RESPONSE_FIELDS = {"why_dangerous": "string", "attack_scenario": "string", "fixed_code": "string", "explanation": "string",
+                   "confidence_score": "int", "risk_level": "string"}
+#: where JSON may be in an answer, in the order it is looked for
+FORMS = ("whole", "fence", "object", "array")
+
+
+def _candidates(body: Column) -> Column:
+    """The texts that may be JSON: the whole answer, what its code fence holds, its outermost {...}, its outermost [...]."""
+    text = F.regexp_replace(F.coalesce(body, F.lit("")), r"^\s+|\s+$", "")
+    lines = F.split(text, "\n", -1)
+    fence = F.when(text.startswith("```") & (F.size(lines) > 2), F.array_join(F.slice(lines, 2, F.size(lines) - 2), "\n"))
+    return F.array(text, fence, F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.regexp_extract(text, r"(?s)(\[.*\])", 1))
+
+
+def parse_responses(responses: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+    """``parsed`` (the first of the forms that is JSON, as a variant), ``form`` (which it was; null for broken and
+    empty answers) and ``items``: the answer's objects, one or the elements of its array.  ``fields`` are read from the
+    first one into the struct ``answer``; a field that is missing or of another type is null."""
+    tried = responses.withColumn("_c", _candidates(F.col("body")))
+    # the parser passes over what stands behind a value, so a text is JSON if it is the only element of an array
+    tried = tried.withColumn("_v", F.transform("_c", lambda c: F.transform(
+        F.array(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")),
+        lambda e: F.when(F.size(e) == 1, F.get(e, F.lit(0))))[0]))
+    at = F.try_element_at(F.filter(F.sequence(F.lit(0), F.lit(len(FORMS) - 1)), lambda i: F.get("_v", i).isNotNull()), F.lit(1))
+    tried = tried.withColumn("_at", at).withColumn("parsed", F.get("_v", F.col("_at")))
+    tried = tried.withColumn("form", F.get(F.array(*[F.lit(f) for f in FORMS]), F.col("_at")))
+    many = F.try_variant_get("parsed", "$", "array<variant>")
+    tried = tried.withColumn("items", F.filter(F.coalesce(many, F.array("parsed")), lambda v: F.schema_of_variant(v).startswith("OBJECT")))
+    first = F.get("items", F.lit(0))
+    answer = F.struct(*[F.try_variant_get(first, f"$.{n}", k).alias(n) for n, k in (fields or RESPONSE_FIELDS).items()])
+    return tried.withColumn("answer", F.when(F.size("items") > 0, answer)).drop("_c", "_v", "_at")
 
 
 def merge_enrichment(findings: DataFrame, parsed: DataFrame, id_col: str = "finding_key") -> DataFrame:
     """Left join by id; first response per id wins; empty text falls back
     to the original; a source tag only on rows that got an answer."""
-    w = Window.partitionBy(id_col).orderBy("seq")
-    first = parsed.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1") \
-        .select(F.col(id_col), F.col("parsed.why_dangerous").alias("_why"))
+    first = parsed.groupBy(id_col).agg(F.min_by(F.struct(F.col("answer.why_dangerous").alias("why")), "seq").alias("_a")).select(
+        F.col(id_col), F.col("_a.why").alias("_why"))
     j = findings.join(first, id_col, "left")
     why = F.coalesce(F.nullif(F.col("_why"), F.lit("")), F.col("message"))
     return j.withColumn("explanation", why).withColumn(
         "source", F.when(F.nullif(F.col("_why"), F.lit("")).isNotNull(), F.lit("model"))).drop("_why")
 
 
+#: what is said of a finding without a model, by the first key that its rule's name holds; our own wording
+EXPLANATIONS = {
+    "SQL Injection": ("Text from outside becomes part of a statement, so whoever sends it decides what the database does.",
+                      "A form field that closes the quoted value and adds a condition that is always true lists every row.",
+                      ("Bind values as parameters.", "Check input against what is expected.", "Give the account only the rights it needs."),
+                      "A database holds what the application is there to protect.", "CWE-89"),
+    "Hardcoded Secret": ("Everybody who can read the code can use the secret, also from old revisions.",
+                         "A copy of the repository is searched for keys, and one of them opens a paid service.",
+                         ("Read secrets from a store at run time.", "Replace a secret that was ever committed.", "Keep files with secrets out of version control."),
+                         "The secret works without any further step.", "CWE-798"),
+    "XSS": ("Markup from one user runs as script in the page of another.", "A comment with a script sends the reader's session to its author.",
+            ("Write text instead of markup.", "Escape by context.", "Restrict where scripts may come from."),
+            "It acts with the rights of whoever looks at the page.", "CWE-79"),
+}
+GENERIC_EXPLANATION = ("The pattern behind {0} can be turned against the application.", "A scanner finds the place, and an input made for it does the rest.",
+                       ("Follow the remediation of the finding.", "Review what reaches this code.", "Scan on every change."),
+                       "The rating follows the rule's own.", None)
+
+
+def explanation(rule_name: Column) -> Column:
+    """why_dangerous, attack_scenario, best_practices, severity_rationale, references of a rule by its name."""
+    def one(t: tuple) -> Column:
+        why, attack, practices, rating, cwe = t
+        return F.struct(F.replace(F.lit(why), F.lit("{0}"), rule_name).alias("why_dangerous"), F.lit(attack).alias("attack_scenario"),
+                        F.array(*[F.lit(p) for p in practices]).alias("best_practices"), F.lit(rating).alias("severity_rationale"),
+                        F.array(C.cwe_link(F.lit(cwe))).alias("references"))
+
+    out = one(GENERIC_EXPLANATION)
+    for key in reversed(TEMPLATE_KEYS):
+        out = F.when(F.lower(rule_name).contains(key.lower()), one(EXPLANATIONS[key])).otherwise(out)
+    return out
+
+
 def static_explanations(spark: SparkSession, findings: DataFrame) -> DataFrame:
-    """First template (in list order) whose key occurs in the rule name,
-    case-insensitive, else the generic one.  The template list is fixed, so
-    the lookup compiles to one CASE expression (no join)."""
-    name = F.lower(F.coalesce(F.col("rule_name"), F.lit("")))
+    """``template`` (the first key, in list order, that occurs in the rule name, any case; else generic) and its
+    fields as the struct ``static``.  The list is fixed, so the lookup compiles to one CASE expression (no join)."""
+    name = F.coalesce(F.col("rule_name"), F.lit(""))
     expr = F.lit("generic")
     for key in reversed(TEMPLATE_KEYS):
-        expr = F.when(name.contains(key.lower()), F.lit(key)).otherwise(expr)
-    return findings.withColumn("template", expr)
+        expr = F.when(F.lower(name).contains(key.lower()), F.lit(key)).otherwise(expr)
+    return findings.withColumn("template", expr).withColumn("static", explanation(name))
 
 
 def bulk_explanations(findings: DataFrame, n: int = 5, by: str = "repo", order=("seq",)) -> DataFrame:
@@ -105,10 +159,14 @@ def fix_risk(fixes: DataFrame) -> DataFrame:
 
 
 def static_fix(findings: DataFrame) -> DataFrame:
-    """Fallback fix text with the whole snippet (trimmed)."""
+    """The fields of a fix without a model, with the whole snippet: fixed_code, explanation, breaking_changes,
+    security_improvement."""
     snip = F.trim(F.coalesce(F.col("snippet"), F.lit("")))
-    return findings.withColumn("fixed_code", F.concat(F.lit("# TODO: secure fix for "), F.col("rule_name"),
-                                                      F.lit("\n# Original code:\n# "), snip))
+    name = F.coalesce(F.col("rule_name"), F.lit("Unknown"))
+    return findings.withColumn("fixed_code", F.concat(F.lit("# TODO: replace ("), name, F.lit(")\n"), F.regexp_replace(snip, "(?m)^", "# "))) \
+        .withColumn("explanation", F.format_string("Replace the code behind %s as its remediation says.", name)) \
+        .withColumn("breaking_changes", F.lit("Check the callers before it is applied.")) \
+        .withColumn("security_improvement", F.format_string("Closes %s.", name))
 
 
 def line_changes(fixes: DataFrame, key=("fix_id",)) -> DataFrame:

@@ -1,228 +1,43 @@
-"""Items C5-C11: code facts and the rules that judge them.
+"""Items C5-C11 as tables of their own: code facts and the rules that judge them.
 
-JavaScript (C5-C7) is re-aimed: no syntax tree per row.  Statements are read
-from comment-stripped JS/TS lines with RE2-compatible regexes (so the DuckDB
-oracle can run the very same patterns), one fact per (rule, severity, line).
-Taint (C7) is a per-file fold over assignment facts in source order.
-
-Python (C9-C11) is read the same way: calls and asserts on executable lines,
-several per line, judged by column expressions.
+JavaScript (C5-C7) is re-aimed: no syntax tree per row, but patterns over a file's text without comments (see
+``jsfacts``), so statements may span lines and every occurrence is a row.  Python (C9-C11) is read from code lines
+(``pyfacts``).  The whole scan takes the same facts from the same columns, in one pass over a file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secscan.functions import columns as C
-from secscan.operators import corpus as A
+from secscan.operators import rules as B
+from secscan.operators import scan as N
 from secscan.sources import catalogue as K
 
-IDENT = r"[A-Za-z_$][A-Za-z0-9_$]*"
-LIT_ARG = r"""^\s*("[^"]*"|'[^']*'|`[^`]*`|null)\s*(,|\)|;|$)"""
-PLAIN_LIT_ARG = r"""^\s*("[^"]*"|'[^']*'|`[^`$]*`)\s*(,|\)|$)"""
-
-# Statement patterns (shared by Spark and the oracle; no lookaround).
-P_EVAL = r"(^|[^A-Za-z0-9_$.])eval\s*\("
-P_TIMER = r"""(^|[^A-Za-z0-9_$.])(setTimeout|setInterval)\s*\(\s*["'`]"""
-P_NEWFN = r"(^|[^A-Za-z0-9_$.])new\s+Function([^A-Za-z0-9_$]|$)"
-P_XSS_ASSIGN = r"\.(innerHTML|outerHTML|insertAdjacentHTML)\s*\+?=([^=].*|)$"
-P_DOCWRITE = r"(^|[^A-Za-z0-9_$.])document\s*\.\s*(write|writeln)\s*\((.*)$"
-P_FS = (r"(^|[^A-Za-z0-9_$.])(fs|promises|fsPromises)\s*\.\s*(" + "|".join(K.FS_METHODS) + r")\s*\((.*)$")
-P_PATHJOIN = r"(^|[^A-Za-z0-9_$.])(path|nodePath)\s*\.\s*join\s*\(([^)]*)"
-P_RAND = r"Math\s*\.\s*random\s*\(\s*\)"
-P_RAND_NAME = r"(" + IDENT + r")\s*[:=]\s*Math\s*\.\s*random\s*\(\s*\)\s*([;,)}\]]|$)"
-P_SQL = r"\.\s*(" + "|".join(K.SQL_METHODS) + r")\s*\((.*)$"
-P_ARG_IDENT = r"^\s*(" + IDENT + r")\s*(,|\)|$)"
-SQL_LITERAL_ARG = r"""^\s*("[^"]*"|'[^']*')\s*(,|\)|$)"""
-P_PATH_ARG = r"^\s*" + IDENT + r"(\s*\.\s*" + IDENT + r")*\s*(\(.*)?$"
-RANDOM_CONTEXT = "(?i)(" + "|".join(K.RANDOM_CONTEXT_NAMES) + ")"
-
-# Assignment facts for taint.
-P_DECL = r"(^|[^A-Za-z0-9_$.])(const|let|var)\s+(" + IDENT + r")\s*=([^=].*)$"
-P_DESTRUCT = r"(^|[^A-Za-z0-9_$.])(const|let|var)\s*\{([^}]*)\}\s*=([^=].*)$"
-P_ASSIGN = r"(^|[^A-Za-z0-9_$.\s]\s*|^\s*)(" + IDENT + r")\s*=([^=].*)$"
-P_SOURCE = r"^\s*req\s*\.\s*(body|query|params|headers)\s*(;|,|\)|$)"
-
+STRUCTURAL = ("repo", "path", "line_no", "rule_id", "severity")
 
-def js_lines(files: DataFrame) -> DataFrame:
-    """Comment-stripped (//) lines of JS/TS files with their numbers."""
-    js = files.filter(F.col("path").rlike(K.T_FAMILIES["js"]))
-    return A.executable_lines(js, "doubleslash", keep=("repo", "path"))
 
-
-def _fact(rule: str, sev: str, cond: Column, name: Column | None = None) -> Column:
-    return F.when(cond, F.struct(F.lit(rule).alias("rule_id"), F.lit(sev).alias("severity"),
-                                 (name if name is not None else F.lit("")).alias("detail")))
+def _struct(files: DataFrame, rules: list[K.Rule]) -> DataFrame:
+    return N.scan_t(files, rules, ("struct",))
 
 
 def code_sinks(files: DataFrame) -> DataFrame:
-    """C5 + C6: one row per (rule, severity, line) of a JS/TS file."""
-    ln = F.col("line")
-    xss_rhs = F.regexp_extract(ln, P_XSS_ASSIGN, 2)
-    doc_args = F.regexp_extract(ln, P_DOCWRITE, 3)
-    fs_args = F.regexp_extract(ln, P_FS, 4)
-    join_args = F.split(F.regexp_extract(ln, P_PATHJOIN, 3), ",")
-    rand_name = F.regexp_extract(ln, P_RAND_NAME, 1)
-    facts = F.array(
-        _fact("VG-EVAL-001", "HIGH", ln.rlike(P_EVAL)),
-        _fact("VG-EVAL-001", "MEDIUM", ln.rlike(P_TIMER)),
-        _fact("VG-EVAL-001", "HIGH", ln.rlike(P_NEWFN)),
-        _fact("VG-XSS-001", "HIGH", ln.rlike(P_XSS_ASSIGN) & ~xss_rhs.rlike(LIT_ARG)),
-        _fact("VG-XSS-001", "HIGH", ln.rlike(P_DOCWRITE) & ~doc_args.rlike(r"^\s*(\)|$)")
-              & ~doc_args.rlike(LIT_ARG)),
-        _fact("VG-PATH-001", "HIGH", ln.rlike(P_FS) & ~fs_args.rlike(r"^\s*(\)|$)")
-              & ~fs_args.rlike(PLAIN_LIT_ARG)),
-        _fact("VG-PATH-001", "MEDIUM", ln.rlike(P_PATHJOIN)
-              & F.exists(join_args, lambda a: a.rlike(P_PATH_ARG))),
-        _fact("VG-RAND-001", "MEDIUM", ln.rlike(P_RAND) & rand_name.rlike(RANDOM_CONTEXT), rand_name),
-        _fact("VG-RAND-001", "INFO", ln.rlike(P_RAND) & ~rand_name.rlike(RANDOM_CONTEXT), rand_name),
-    )
-    lines = js_lines(files)
-    return (lines.select("repo", "path", "line_no", F.filter(facts, lambda x: x.isNotNull()).alias("_f"))
-            .filter(F.size("_f") > 0)
-            .select("repo", "path", "line_no", F.explode("_f").alias("f"))
-            .select("repo", "path", "line_no", "f.rule_id", "f.severity", "f.detail"))
-
-
-# ---------------------------------------------------------------- C7 taint
-def assignments(files: DataFrame) -> DataFrame:
-    """Facts (repo, path, line_no, k, lhs, kind, rhs_kind, rhs_name).
-
-    kind: decl | assign.  rhs_kind: source | ident | other.  Destructuring
-    declarations produce one decl fact per bound name."""
-    lines = js_lines(files)
-    ln = F.col("line")
-
-    def rhs_kind(rhs: Column) -> Column:
-        return (F.when(rhs.rlike(P_SOURCE), F.lit("source"))
-                .when(rhs.rlike(r"^\s*" + IDENT + r"\s*(;|$)"), F.lit("ident")).otherwise(F.lit("other")))
-
-    def rhs_name(rhs: Column) -> Column:
-        return F.regexp_extract(rhs, r"^\s*(" + IDENT + r")", 1)
-
-    decl_rhs = F.regexp_extract(ln, P_DECL, 4)
-    decl = lines.filter(ln.rlike(P_DECL)).select(
-        "repo", "path", "line_no", F.lit(0).alias("k"), F.regexp_extract(ln, P_DECL, 3).alias("lhs"),
-        F.lit("decl").alias("kind"), rhs_kind(decl_rhs).alias("rhs_kind"), rhs_name(decl_rhs).alias("rhs_name"))
-    d_rhs = F.regexp_extract(ln, P_DESTRUCT, 4)
-    props = F.split(F.regexp_extract(ln, P_DESTRUCT, 3), ",")
-    names = F.filter(F.transform(props, lambda p: F.regexp_extract(p, r"(" + IDENT + r")\s*$", 1)),
-                     lambda n: (n != "") & ~F.exists(props, lambda q: q.contains("...") & q.contains(n)))
-    destr = lines.filter(ln.rlike(P_DESTRUCT)).select(
-        "repo", "path", "line_no", F.posexplode(names).alias("k", "lhs"), F.lit("decl").alias("kind"),
-        rhs_kind(d_rhs).alias("rhs_kind"), rhs_name(d_rhs).alias("rhs_name"))
-    a_rhs = F.regexp_extract(ln, P_ASSIGN, 3)
-    assign = lines.filter(ln.rlike(P_ASSIGN) & ~ln.rlike(P_DECL) & ~ln.rlike(P_DESTRUCT)).select(
-        "repo", "path", "line_no", F.lit(0).alias("k"), F.regexp_extract(ln, P_ASSIGN, 2).alias("lhs"),
-        F.lit("assign").alias("kind"), rhs_kind(a_rhs).alias("rhs_kind"), rhs_name(a_rhs).alias("rhs_name"))
-    return decl.unionByName(destr).unionByName(assign)
-
-
-def taint_state(facts: DataFrame) -> DataFrame:
-    """Final tainted names per file: a fold over the file's facts in source
-    order.  Declarations taint (source or tainted copy) but never un-taint;
-    plain assignments taint or un-taint.  The fold is per file (the facts of
-    one file are bounded by the file size gate), grouped on (repo, path)."""
-    ev = F.array_sort(F.collect_list(F.struct("line_no", "k", "lhs", "kind", "rhs_kind", "rhs_name")))
-
-    def step(acc, e):
-        taints = (e["rhs_kind"] == "source") | ((e["rhs_kind"] == "ident") & F.array_contains(acc, e["rhs_name"]))
-        return (F.when(taints, F.array_union(acc, F.array(e["lhs"])))
-                .when(e["kind"] == "assign", F.array_remove(acc, e["lhs"]))
-                .otherwise(acc))
-
-    return facts.groupBy("repo", "path").agg(
-        F.aggregate(ev, F.array().cast("array<string>"), step).alias("tainted"))
-
-
-def sql_sinks(files: DataFrame) -> DataFrame:
-    """Sink calls with the kind of their first argument."""
-    lines = js_lines(files)
-    ln = F.col("line")
-    arg = F.regexp_extract(ln, P_SQL, 2)
-    kind = (F.when(arg.rlike(SQL_LITERAL_ARG), F.lit("literal"))
-            .when(arg.rlike(r"^\s*`[^`]*\$\{"), F.lit("template"))
-            .when(arg.rlike(r"^[^,)]*\+"), F.lit("concat"))
-            .when(arg.rlike(P_ARG_IDENT), F.lit("ident"))
-            .otherwise(F.lit("other")))
-    return lines.filter(ln.rlike(P_SQL)).select("repo", "path", "line_no", kind.alias("arg_kind"),
-                                               F.regexp_extract(arg, P_ARG_IDENT, 1).alias("arg_name"))
+    """C5 + C6: one row per occurrence of a dangerous construct in a JS/TS file."""
+    return _struct(files, [r for r in B.default_rules("T") if r.id != "VG-SQL-001"])
 
 
 def taint_flow(files: DataFrame) -> DataFrame:
-    """VG-SQL-001 where the first argument is a template with
-    expressions, a '+' concatenation, or a tainted identifier."""
-    sinks = sql_sinks(files).filter(F.col("arg_kind").isin("template", "concat", "ident"))
-    state = taint_state(assignments(files))
-    j = sinks.join(state, ["repo", "path"], "left")
-    hit = (F.col("arg_kind") != "ident") | F.coalesce(F.array_contains("tainted", F.col("arg_name")), F.lit(False))
-    return j.filter(hit).select("repo", "path", "line_no", F.lit("VG-SQL-001").alias("rule_id"),
-                                F.lit("CRITICAL").alias("severity"), "arg_kind")
+    """VG-SQL-001 where the first argument is a template with expressions, a '+' concatenation, or a tainted name;
+    ``arg_kind`` says which."""
+    rows = N.scan_t(files, [r for r in B.default_rules("T") if r.id == "VG-SQL-001"], ("struct",), keep_cap=True)
+    return rows.select(*STRUCTURAL, F.col("cap").alias("arg_kind"))
 
 
 def structural_findings(files: DataFrame) -> DataFrame:
-    """C5 + C6 + C7 as finding rows (repo, path, line_no, rule_id, severity)."""
-    a = code_sinks(files).select("repo", "path", "line_no", "rule_id", "severity")
-    b = taint_flow(files).select("repo", "path", "line_no", "rule_id", "severity")
-    return a.unionByName(b)
-
-
-# ---------------------------------------------------------------- C9-C11 Python facts
-#: a dotted name and its opening bracket
-P_CALL = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\s*\("
-P_ASSERT = r"^\s*assert\s+(.*)$"
-
-
-def py_facts(files: DataFrame) -> DataFrame:
-    """Calls and asserts on the executable lines of Python files, one row each.
-
-    ``args`` is the text after the bracket up to the next call on the line; ``nested`` says that the first argument is
-    itself a call.  Names are read line by line, so a call whose bracket opens on the next line is not seen."""
-    lines = A.executable_lines(files.filter(C.suffix_ext(F.col("path")) == "py"), "hash", keep=("repo", "path"))
-    found = lines.filter(F.col("line").rlike(P_CALL) | F.col("line").rlike(P_ASSERT)).select(
-        "repo", "path", "line_no", "line", F.regexp_extract_all("line", F.lit(P_CALL), 1).alias("_names"),
-        F.split("line", P_CALL, -1).alias("_rest"))
-    call = F.transform("_names", lambda n, i: F.struct(
-        F.lit("call").alias("kind"), i.alias("pos"), n.alias("func"), F.get("_rest", i + 1).alias("args"),
-        ((F.trim(F.get("_rest", i + 1)) == "") & (i + 1 < F.size("_names"))).alias("nested")))
-    check = F.struct(F.lit("assert").alias("kind"), F.lit(-1).alias("pos"), F.lit("").alias("func"),
-                     F.regexp_extract("line", P_ASSERT, 1).alias("args"), F.lit(False).alias("nested"))
-    both = F.when(F.col("line").rlike(P_ASSERT), F.concat(F.array(check), call)).otherwise(call)
-    return found.select("repo", "path", "line_no", F.explode(both).alias("f")).select("repo", "path", "line_no", "f.*")
-
-
-def _py_sink(func: Column, value) -> Column:
-    """First sink in list order that the name equals, or whose last part follows a dot in it."""
-    expr = F.lit(None).cast("string")
-    for s in reversed(K.PY_SINKS):
-        expr = F.when((func == s) | func.endswith("." + s.rsplit(".", 1)[-1]), F.lit(value(s))).otherwise(expr)
-    return expr
-
-
-def py_dangerous_calls(facts: DataFrame) -> DataFrame:
-    """Calls of a sink."""
-    rule = _py_sink(F.col("func"), lambda s: "AST-PY-" + s.replace(".", "_").upper()[:15])
-    severity = _py_sink(F.col("func"), lambda s: "CRITICAL" if s in K.PY_CRITICAL_SINKS else "HIGH")
-    return facts.filter("kind = 'call'").select("repo", "path", "line_no", "pos", rule.alias("rule_id"),
-                                                severity.alias("severity")).filter("rule_id IS NOT NULL")
-
-
-def py_dynamic_sql(facts: DataFrame) -> DataFrame:
-    """SQL-like call with a concatenated, f-string or call argument."""
-    sqlish = F.lower("func").rlike("execute|cursor|query|raw")
-    dynamic = F.col("nested") | F.col("args").contains("+") | F.col("args").rlike("^\\s*[fF][\"']")
-    return facts.filter((F.col("kind") == "call") & sqlish & dynamic).select(
-        "repo", "path", "line_no", "pos", F.lit("AST-PY-SQL001").alias("rule_id"), F.lit("CRITICAL").alias("severity"))
-
-
-def py_assert_guard(facts: DataFrame) -> DataFrame:
-    """C11: assert used as an access check."""
-    return facts.filter((F.col("kind") == "assert") & F.lower("args").rlike("auth|user|admin|login|permission")).select(
-        "repo", "path", "line_no", "pos", F.lit("AST-PY-ASSERT001").alias("rule_id"), F.lit("MEDIUM").alias("severity"))
+    """C5 + C6 + C7."""
+    return _struct(files, B.default_rules("T")).select(*STRUCTURAL)
 
 
 def py_findings(files: DataFrame) -> DataFrame:
-    """C9 + C10 + C11 as finding rows; ``pos`` tells several on one line apart."""
-    facts = py_facts(files)
-    return py_dangerous_calls(facts).unionByName(py_dynamic_sql(facts)).unionByName(py_assert_guard(facts))
+    """C9 + C10 + C11 as finding rows, all of them; ``pos`` tells several on one line apart."""
+    return N.py_facts(files, B.default_rules("P"))

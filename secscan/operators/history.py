@@ -5,12 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HISTORY_COLUMNS = ("id", "repo_name", "ts", "score", "passed", "total_findings", "critical", "high", "medium", "low")
+HISTORY_COLUMNS = ("id", "repo_url", "repo_name", "ts", "score", "grade", "passed", "total_findings", "critical", "high", "medium", "low",
+                   "files_scanned", "lines_scanned", "duration_ms", "scan_json")
+#: the summary as scan_json holds it
+SUMMARY = ("struct<repo_url:string,repo_name:string,score:struct<score:int,grade:string,passed:boolean,penalty:bigint>,"
+           "summary:map<string,bigint>,stats:struct<files_scanned:bigint,lines_scanned:bigint,duration_ms:bigint>,affected_files:array<string>>")
+
+
+def report_rows(scores: DataFrame, stats: DataFrame, affected: DataFrame) -> DataFrame:
+    """The report of every scanned repository as a history row (``HISTORY_COLUMNS`` without id).
+
+    ``scores``: repo, repo_url, ts, duration_ms, score, grade, passed, penalty and counts by severity; ``stats``: repo,
+    files_total, lines_scanned; ``affected``: repo, first (paths).  INFO is counted in the total and in scan_json, it has
+    no column."""
+    j = scores.join(stats.select("repo", F.col("files_total").alias("files_scanned"), "lines_scanned"), "repo", "left").join(
+        affected.select("repo", F.col("first").alias("_affected")), "repo", "left").fillna(0, subset=["files_scanned", "lines_scanned"])
+    counts = F.create_map(*[x for c in ("critical", "high", "medium", "low", "info") for x in (F.lit(c.upper()), F.col(c))])
+    summary = F.struct("repo_url", F.col("repo").alias("repo_name"), F.struct("score", "grade", "passed", "penalty").alias("score"), counts.alias("summary"),
+                       F.struct("files_scanned", "lines_scanned", "duration_ms").alias("stats"),
+                       F.coalesce("_affected", F.array().cast("array<string>")).alias("affected_files"))
+    return j.select("repo_url", F.col("repo").alias("repo_name"), "ts", "score", "grade", "passed",
+                    (F.col("critical") + F.col("high") + F.col("medium") + F.col("low") + F.col("info")).alias("total_findings"),
+                    "critical", "high", "medium", "low", "files_scanned", "lines_scanned", "duration_ms", F.to_json(summary).alias("scan_json"))
+
+
+def summaries(history: DataFrame) -> DataFrame:
+    """History rows with scan_json opened as the struct ``summary``."""
+    return history.withColumn("summary", F.from_json("scan_json", SUMMARY))
 
 
 def append_scan(reports: DataFrame, path: str) -> None:
-    """H1: flatten report rows (INFO counted in the total, no own column) and
-    append them to the history table at ``path`` (shared storage).  All columns are required."""
+    """H1: append report rows to the history table at ``path`` (shared storage).  All columns are required."""
     if missing := [c for c in HISTORY_COLUMNS if c not in reports.columns]:
         raise ValueError(f"report rows lack {', '.join(missing)}")
     reports.select(*HISTORY_COLUMNS).write.mode("append").parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +88,42 @@ def rules_for_extension(rules: DataFrame) -> DataFrame:
 
 
 def custom_rule(rule_id: str, pattern: str, languages, severity: str = "MEDIUM", name: str | None = None,
-                message: str | None = None, cwe: str | None = None, ignore_case: bool = True) -> K.Rule:
-    """A user rule for the engine P line pass."""
-    return K.Rule("P", rule_id, name or rule_id, severity, cwe, ("custom",), "ext", "raw", pattern, ignore_case,
-                  message or f"Custom rule {rule_id} matched.", tuple(languages))
+                message: str | None = None, cwe: str | None = None, ignore_case: bool = True, engine: str = "P",
+                owasp: str | None = None, remediation: str | None = None) -> K.Rule:
+    """A user rule for the line pass of an engine, on files with the given extensions."""
+    return K.Rule(engine, rule_id, name or rule_id, severity, cwe, ("custom",), "ext", "raw", pattern, ignore_case,
+                  message or f"Custom rule {rule_id} matched.", tuple(languages), owasp, remediation=remediation)
+
+
+#: a scan's rule set is an array in its plan
+MOST_RULES = 10_000
+
+
+def default_rules(engine: str) -> list[K.Rule]:
+    """The enabled rules of an engine, as shipped."""
+    rules = K.T_RULES if engine == "T" else K.P_RULES + K.P_CONTENT_RULES + K.PY_FACT_RULES
+    return [r for r in rules if r.enabled]
+
+
+def rule_set(spark: SparkSession, engine: str, ids: Sequence[str] = (), config: DataFrame | None = None,
+             custom: Sequence[K.Rule] = ()) -> list[K.Rule]:
+    """B5 + B6 + B8: the rules a scan runs: registry and custom rows, configured, then selected.
+
+    The catalogue is worked on as a table and collected once; more than ``MOST_RULES`` rows are an error, as is an id
+    that occurs twice.  A configuration row of an unknown id changes nothing."""
+    rows = [r for r in K.all_rules() + K.PY_FACT_RULES if r.engine == engine] + list(custom)
+    by_id = {r.id: r for r in rows}
+    if len(by_id) < len(rows):
+        raise ValueError(f"rule ids occur twice: {sorted(i for i in by_id if sum(r.id == i for r in rows) > 1)}")
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"{len(rows)} rules; a scan takes {MOST_RULES}")
+    table = rules_all(spark, rows)
+    if config is not None:
+        wanted = config.filter(F.col("rule_id").isin(*by_id))
+        table = apply_rule_config(table, wanted.groupBy("rule_id").agg(
+            F.bool_or("disabled").alias("disabled"), F.bool_or("enabled").alias("enabled"), F.max("severity").alias("severity")))
+    chosen = select_rules(table, ids).select("id", "severity").orderBy("rule_order").collect()
+    out = [dataclasses.replace(by_id[r.id], severity=r.severity, enabled=True) for r in chosen]
+    if engine == "P":  # an unknown severity counts as medium there
+        out = [r if r.severity in K.SEVERITIES else dataclasses.replace(r, severity="MEDIUM") for r in out]
+    return out

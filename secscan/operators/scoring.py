@@ -15,12 +15,11 @@ from secscan.sources import catalogue as K
 
 SEV_COLS = {s: s.lower() for s in K.SEVERITIES}
 
-# FIXED VALUES: grade labels of the decay score and descriptions of the density grade.
-DECAY_LABELS = {"A": "Excellent", "B": "Good", "C": "Fair — Action recommended", "D": "Poor",
-                "F": "Critical — Immediate action"}
-GRADE_TEXT = {"A": "Excellent – Very low risk detected", "B": "Good – Minor issues found, review recommended",
-              "C": "Fair – Moderate vulnerabilities, action required",
-              "D": "Poor – Significant security issues detected", "F": "Critical – Immediate remediation required"}
+# What the grades of the two scores mean, our own wording.
+DECAY_LABELS = {"A": "Hardly anything found", "B": "Some findings of little weight", "C": "Findings to work on", "D": "Serious findings",
+                "F": "Findings that need work at once"}
+GRADE_TEXT = {"A": "Few findings for its size", "B": "A few findings, look through them", "C": "Findings of medium weight, plan to fix them",
+              "D": "Heavy findings, fix them soon", "F": "Heavy findings in many places, fix them now"}
 
 
 def _map_lookup(key: Column, mapping: dict, default=None) -> Column:

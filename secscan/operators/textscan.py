@@ -1,163 +1,39 @@
-"""Items C1-C4, C12-C20: detection over files and lines.
+"""Items C1-C4, C12-C19: detection over files and lines.
 
-Design: the catalogue is compiled on the driver into ONE projection per file
-row.  Each file row is split into lines once; only the rules of the file's
-family are tried on its lines (extension gating, the reference's rule index);
-every pattern is a literal, so Spark compiles it once per task.  Snippets,
-captured message parts and per-file de-duplication are computed inside the
-same row, so a full scan has no shuffle at all until findings are aggregated
-per repository.  Work per row is bounded by the size gate (1 MiB / 500 kB).
+What a file holds is found by ``operators.scan`` in the file's own row; these are its parts as operators of their own,
+and what is done with finding rows afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secscan.functions import columns as C
-from secscan.functions import regex as RX
 from secscan.operators import corpus as A
 from secscan.operators import rules as B
+from secscan.operators import scan as N
 from secscan.sources import catalogue as K
 
 FINDING_COLUMNS = ("engine", "repo", "path", "line_no", "col", "rule_id", "rule_name", "severity", "message",
-                   "cwe", "pass", "snippet")
-
-
-# ---------------------------------------------------------------- helpers
-def _java(rule: K.Rule) -> str:
-    if rule.engine == "T":
-        return RX.js_to_java(rule.pattern, rule.ignore_case)
-    return RX.py_to_java(rule.pattern, rule.ignore_case)
-
-
-def _snippet_t(lines: Column, n: Column) -> Column:
-    """Engine T context: lines n-1 .. n+2 (1-based), clipped."""
-    start = F.greatest(n - 1, F.lit(1))
-    end = F.least(n + 2, F.size(lines))
-    return F.array_join(F.slice(lines, start, end - start + 1), "\n")
-
-
-def _snippet_p(lines: Column, n: Column) -> Column:
-    """Engine P context: lines n-3 .. n+3 (1-based), clipped."""
-    start = F.greatest(n - 3, F.lit(1))
-    end = F.least(n + 3, F.size(lines))
-    return F.when(end >= start, F.array_join(F.slice(lines, start, F.greatest(end - start + 1, F.lit(0))), "\n")) \
-        .otherwise(F.lit(""))
-
-
-# ---------------------------------------------------------------- line projection
-def _rule_hits(rules_gates, text: Column) -> Column:
-    """ONE codegen'd projection: array of rule ids whose gate holds and whose
-    literal pattern matches ``text``; nulls filtered."""
-    arr = F.array(*[F.when(gate & text.rlike(_java(r)), F.lit(r.id)) for r, gate in rules_gates])
-    return F.filter(arr, lambda x: x.isNotNull())
-
-
-def _captures(rules, text: Column) -> Column:
-    """{1} of the message, evaluated only on finding rows."""
-    expr = F.lit("")
-    for r in rules:
-        if "{1}" in r.message:
-            expr = F.when(F.col("rule_id") == r.id, F.regexp_extract(text, _java(r), 1)).otherwise(expr)
-    return expr
-
-
-def _catalogue(spark: SparkSession) -> DataFrame:
-    return F.broadcast(B.rules_all(spark).select(
-        F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "severity", "cwe",
-        F.col("message").alias("_tmpl")))
-
-
-def _finish_rows(spark: SparkSession, rows: DataFrame, engine: str) -> DataFrame:
-    """Attach catalogue columns (broadcast: fixed, small number of rows)."""
-    out = rows.join(_catalogue(spark), "rule_id", "left")
-    msg = F.replace(F.replace(F.col("_tmpl"), F.lit("{line}"), F.col("line_no").cast("string")),
-                    F.lit("{1}"), F.coalesce(F.col("cap"), F.lit("")))
-    sev = C.known_severity(F.col("severity")) if engine == "P" else F.col("severity")
-    cwe = F.when(F.col("pass") == 1, F.col("cwe")) if engine == "P" else F.col("cwe")
-    return out.select(
-        F.lit(engine).alias("engine"), "repo", "path", F.col("line_no").cast("int").alias("line_no"),
-        F.col("col").cast("int").alias("col"), "rule_id", "rule_name", sev.alias("severity"),
-        F.when(F.lit(engine == "P"), F.col("_tmpl")).otherwise(msg).alias("message"),
-        cwe.alias("cwe"), F.col("pass").cast("int").alias("pass"))
+                   "cwe", "owasp", "remediation", "pass", "snippet")
 
 
 # ---------------------------------------------------------------- engine T
-def t_family_flags(path: Column) -> dict[str, Column]:
-    flags = {fam: path.rlike(p) for fam, p in K.T_FAMILIES.items()}
-    flags["docker"] = F.lower(path).contains("dockerfile")
-    flags["tf"] = F.lower(path).endswith(".tf")
-    return flags
-
-
 def t_prepare(files: DataFrame, ignore=(), max_bytes: int | None = None) -> DataFrame:
     """A2 + A3 + A4 for engine T: ``oversize`` is reported, nothing is skipped for its size."""
     return A.size_gate(A.drop_ignored_paths(A.scannable_files(files, "T"), ignore, "T"), "T", max_bytes)
 
 
-_T_RAW_FAMS = ("java", "cpp", "php", "rb", "go", "dart", "docker", "tf")
-
-
-def t_line_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
-    """C1 + C2 + C13 + C15 as rows (repo, path, line_no, col, rule_id, cap, pass).
-
-    Family flags and the XML-hardening marker are computed once per file,
-    before the explode; every line then runs one projection of literal
-    patterns gated by those flags."""
-    rules = [r for r in (rules or K.T_RULES) if r.scope in ("raw", "exec") and r.enabled]
-    f = files
-    flags = t_family_flags(F.col("path"))
-    marker = F.lit(False)
-    for m in K.XML_HARDENING_MARKERS:
-        marker = marker | F.col("content").contains(m)
-    base = f.select("repo", "path", "content", *[flags[k].alias(f"_f_{k}") for k in (*_T_RAW_FAMS, "py")],
-                    marker.alias("_marker"))
-    raw_rules = [r for r in rules if r.gate in _T_RAW_FAMS]
-    raw_lines = base.filter(F.greatest(*[F.col(f"_f_{k}") for k in _T_RAW_FAMS])) \
-        .select("repo", "path", *[f"_f_{k}" for k in _T_RAW_FAMS], "_marker",
-                F.posexplode(A.split_lines(F.col("content"), "T")).alias("_pos", "line"))
-    gates = []
-    for r in raw_rules:
-        g = F.col(f"_f_{r.gate}")
-        if r.id == "JAVA-004":
-            g = g & ~F.col("_marker")
-        gates.append((r, g))
-    raw_hits = raw_lines.select("repo", "path", (F.col("_pos") + 1).alias("line_no"), "line",
-                                _rule_hits(gates, F.col("line")).alias("_ids")) \
-        .filter(F.size("_ids") > 0)
-    py_rules = [r for r in rules if r.gate == "py"]
-    py_lines = A.executable_lines(base.filter(F.col("_f_py")), "hash", keep=("repo", "path"))
-    py_hits = py_lines.select("repo", "path", "line_no", "line",
-                              _rule_hits([(r, F.lit(True)) for r in py_rules], F.col("line")).alias("_ids")) \
-        .filter(F.size("_ids") > 0)
-    hits = raw_hits.unionByName(py_hits)
-    rows = hits.select("repo", "path", "line_no", "line", F.explode("_ids").alias("rule_id"))
-    return rows.select("repo", "path", F.col("line_no").cast("int").alias("line_no"), F.lit(0).alias("col"),
-                       "rule_id", _captures(rules, F.col("line")).alias("cap"), F.lit(1).alias("pass"))
-
-
-def t_entropy_findings(files: DataFrame) -> DataFrame:
-    """Quoted literal values passing the entropy test -> VG-SEC-001."""
-    lit_re = r"""["']([^"'\s]{12,})["']"""
-    lines = A.explode_lines(files, "T", keep=("repo", "path"))
-    cand = lines.filter(F.col("line").rlike(lit_re))
-    vals = F.regexp_extract_all(F.col("line"), F.lit(lit_re), 1)
-    hit = cand.filter(F.exists(vals, lambda v: C.is_high_entropy_secret(v)))
-    return hit.select("repo", "path", "line_no", F.lit(0).alias("col"), F.lit("VG-SEC-001").alias("rule_id"),
-                      F.lit("").alias("cap"), F.lit(1).alias("pass"))
-
-
 def scan_raw_lines(spark: SparkSession, files: DataFrame, rules: list[K.Rule] | None = None,
                    prepared: bool = False) -> DataFrame:
     """Engine T text rules (C1, C2, C13, C15) as finding rows."""
-    f = files if prepared else t_prepare(files)
-    return _finish_rows(spark, t_line_findings(f, rules), "T")
+    return N.scan_t(files if prepared else t_prepare(files), B.default_rules("T") if rules is None else rules, ("raw", "exec"))
 
 
 def entropy_secrets(spark: SparkSession, files: DataFrame, prepared: bool = False) -> DataFrame:
-    f = files if prepared else t_prepare(files)
-    return _finish_rows(spark, t_entropy_findings(f), "T")
+    """Quoted literal values passing the entropy test -> VG-SEC-001."""
+    return N.scan_t(files if prepared else t_prepare(files), B.default_rules("T"), ("entropy",))
 
 
 # ---------------------------------------------------------------- engine P
@@ -166,91 +42,21 @@ def p_prepare(files: DataFrame) -> DataFrame:
     return A.drop_ignored_paths(A.scannable_files(files, "P"), (), "P")
 
 
-def p_line_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
-    """Pass 1 (C3): rules gated by extension, each (rule, line) once."""
-    rules = [r for r in (rules or K.P_RULES) if r.enabled]
-    lines = files.select("repo", "path", C.suffix_ext(F.col("path")).alias("_ext"),
-                         F.posexplode(A.split_lines(F.col("content"), "P")).alias("_pos", "line"))
-    gates = [(r, F.col("_ext").isin(*r.languages)) for r in rules]
-    hits = lines.select("repo", "path", (F.col("_pos") + 1).cast("int").alias("line_no"),
-                        _rule_hits(gates, F.col("line")).alias("_ids")).filter(F.size("_ids") > 0)
-    return hits.select("repo", "path", "line_no", F.lit(0).alias("col"), F.explode("_ids").alias("rule_id"),
-                       F.lit("").alias("cap"), F.lit(1).alias("pass"))
-
-
-def _newlines(s: Column) -> Column:
-    return F.size(F.split(s, "\n", -1)) - 1
-
-
-def _sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
-
-
-def _empty_hits() -> Column:
-    return F.array().cast("array<struct<rule_id:string,line_no:int,col:int>>")
-
-
-def content_matches(content: Column, rule: K.Rule) -> Column:
-    """All non-overlapping matches of a whole-content pattern with line (from
-    the count of '\\n' before the match) and column (characters since the
-    last '\\n'), like a ``finditer`` loop."""
-    p = _java(rule)
-    pieces = F.split(content, p, -1)
-    ms = F.regexp_extract_all(content, F.lit(p), 0)
-    plen = F.transform(pieces, lambda x: F.length(x))
-    pnl = F.transform(pieces, _newlines)
-    mlen = F.transform(ms, lambda x: F.length(x))
-    mnl = F.transform(ms, _newlines)
-    line_len = F.transform(F.split(content, "\n", -1), lambda x: F.length(x) + 1)
-
-    def one(k):
-        start = _sum(F.slice(plen, 1, k + 1)) + _sum(F.slice(mlen, 1, k))
-        line = _sum(F.slice(pnl, 1, k + 1)) + _sum(F.slice(mnl, 1, k)) + 1
-        col = start - _sum(F.slice(line_len, 1, line - 1))
-        return F.struct(F.lit(rule.id).alias("rule_id"), line.cast("int").alias("line_no"),
-                        col.cast("int").alias("col"))
-
-    return F.when(F.size(ms) > 0, F.transform(F.sequence(F.lit(0), F.size(ms) - 1), one)).otherwise(_empty_hits())
-
-
-def scan_multiline_hits(content: Column, rules: list[K.Rule] | None = None) -> Column:
-    """C4 + in-file part of C16: first match per (rule, line) wins."""
-    rules = [r for r in (rules or K.P_CONTENT_RULES) if r.enabled]
-    allm = F.concat(*[content_matches(content, r) for r in rules])
-    order = F.transform(F.arrays_zip(allm.alias("m"), F.sequence(F.lit(0), F.greatest(F.size(allm) - 1, F.lit(0)))
-                                     .alias("k")),
-                        lambda z: F.struct(z["m"]["rule_id"].alias("r"), z["m"]["line_no"].alias("ln"),
-                                           z["k"].alias("k"), z["m"].alias("m")))
-    srt = F.array_sort(F.filter(order, lambda x: x["m"].isNotNull()))
-    first = F.filter(srt, lambda x, i: (i == 0) | (srt[i - 1]["r"] != x["r"]) | (srt[i - 1]["ln"] != x["ln"]))
-    return F.transform(first, lambda x: x["m"])
-
-
 def p_content_findings(files: DataFrame, rules: list[K.Rule] | None = None) -> DataFrame:
-    """Pass 2 (C4) as rows; only js-like files are read."""
-    js = files.filter(C.suffix_ext(F.col("path")).isin(*K.P_CONTENT_EXTENSIONS))
-    return js.select("repo", "path", F.explode(scan_multiline_hits(F.col("content"), rules)).alias("h")) \
-        .select("repo", "path", F.col("h.line_no").alias("line_no"), F.col("h.col").alias("col"),
-                F.col("h.rule_id").alias("rule_id"), F.lit("").alias("cap"), F.lit(2).alias("pass"))
+    """C4: whole-content rules, the first match per rule and line, on prepared files."""
+    return N.scan_p(files, B.default_rules("P") if rules is None else rules, ("content",))
 
 
-def scan_ext_rules(spark: SparkSession, files: DataFrame, passes=(1, 2), prepared: bool = False) -> DataFrame:
-    """Engine P findings (C3 + C4 + C16 + C19) as rows, without snippets."""
-    f = files if prepared else p_prepare(files)
-    parts = []
-    if 1 in passes:
-        parts.append(p_line_findings(f))
-    if 2 in passes:
-        parts.append(p_content_findings(f))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return _finish_rows(spark, rows, "P")
+def scan_ext_rules(spark: SparkSession, files: DataFrame, passes=(1, 2), prepared: bool = False,
+                   rules: list[K.Rule] | None = None) -> DataFrame:
+    """Engine P findings of line rules (pass 1) and whole-content rules (pass 2)."""
+    parts = tuple(name for k, name in ((1, "ext"), (2, "content")) if k in passes)
+    return N.scan_p(files if prepared else p_prepare(files), B.default_rules("P") if rules is None else rules, parts)
 
 
 # ---------------------------------------------------------------- C18 snippets
 def snippets(findings: DataFrame, files: DataFrame, engine: str = "P") -> DataFrame:
-    """Attach context lines to findings.
+    """Attach context lines to findings that come without (a scan's own rows have them).
 
     Findings are grouped per file (small) and joined to their file rows; the context is sliced from the file's own
     lines, so no line table is shuffled.  How the join is done is left to Spark's statistics; with the files table
@@ -259,17 +65,10 @@ def snippets(findings: DataFrame, files: DataFrame, engine: str = "P") -> DataFr
     cols = [c for c in findings.columns if c not in ("repo", "path")]
     side = findings.groupBy("repo", "path").agg(F.collect_list(F.struct(*cols)).alias("_f"))
     j = files.select("repo", "path", "content").join(side, ["repo", "path"])
-    lines = A.split_lines(F.col("content"), "P" if engine == "P" else "T")
-    ex = j.select("repo", "path", lines.alias("_lines"), F.explode("_f").alias("w"))
-    ln = F.col("w.line_no")
-    if engine == "P":
-        one = F.regexp_replace(F.coalesce(F.try_element_at(F.col("_lines"), F.when((ln >= 1) & (ln <= F.size("_lines")),
-                                                                              ln)), F.lit("")),
-                               r"(?U)^\s+|\s+$", "")
-        snip = F.when(F.col("w.pass") == 2, one).otherwise(_snippet_p(F.col("_lines"), ln))
-    else:
-        snip = _snippet_t(F.col("_lines"), ln)
-    return ex.select("repo", "path", *[F.col("w." + c).alias(c) for c in cols], snip.alias("snippet"))
+    j = N.fixed(j, _lines=A.split_lines(F.col("content"), engine)).drop("content")
+    around = N.context("h.line_no", 1, 2) if engine == "T" else f"if(h.pass = 2, {N.own_line('h.line_no')}, {N.context('h.line_no', 3, 3)})"
+    return j.select("repo", "path", F.explode(F.expr(f"transform(_f, h -> {N.with_field('h', cols, 'snippet', around)})")).alias("w")).select(
+        "repo", "path", "w.*")
 
 
 # ---------------------------------------------------------------- C16 / C17
@@ -293,6 +92,15 @@ def finding_ids(findings: DataFrame, scheme: str = "P") -> DataFrame:
         "finding_key", F.sha2(whole.cast("binary"), 256))
 
 
+def finding_keys(findings: DataFrame) -> DataFrame:
+    """C17: ``finding_key`` of findings of every grain, the same from scan to scan: a digest of where and what, and which
+    of equal ones it is.  Equal ones are numbered per (repo, path, rule, line), in the order of their other columns."""
+    from pyspark.sql import Window
+    own = Window.partitionBy("repo", "path", "rule_id", "line_no").orderBy("col", "message", "severity", "snippet")
+    whole = F.concat_ws("\n", "repo", "path", F.col("line_no").cast("string"), "rule_id", F.col("_k").cast("string"))
+    return findings.withColumn("_k", F.row_number().over(own)).withColumn("finding_key", F.sha2(whole.cast("binary"), 256)).drop("_k")
+
+
 def running_ids(findings: DataFrame, order_cols=("path", "line_no", "rule_id")) -> DataFrame:
     """T: VG-00001 ... per repo in a fixed order (the reference's order is
     file-discovery order; ours is path, line, rule).

@@ -1,11 +1,10 @@
-"""Registered queries: dependencies (D), views (F), enrichment (G), history (H)."""
+"""Registered queries: views (F), enrichment (G), history (H)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secscan.operators import deps as D
 from secscan.plans import sqlgen as G
 from secscan.plans.scan_queries import P_FINDINGS_SQL
 from secscan.sources.fixtures import fixture, with_fixtures
@@ -23,86 +22,6 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-# ====================================================================== D
-_MAPS = '{"dependencies":"MAP(VARCHAR,VARCHAR)","devDependencies":"MAP(VARCHAR,VARCHAR)","peerDependencies":"MAP(VARCHAR,VARCHAR)"}'
-_EMPTY = "CAST(MAP {} AS MAP(VARCHAR, VARCHAR))"
-
-DEPS_SQL = f"""
-m AS (SELECT * FROM manifests
-      WHERE string_split(path, '/')[-1] = 'package.json' AND len(string_split(path, '/')) - 1 <= 4
-        AND len(list_filter(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1),
-                            lambda d: d IN ('node_modules', '.git', 'dist'))) = 0),
-j AS (SELECT repo, path, CASE WHEN json_valid(content) THEN json_transform(content, {G.q(_MAPS)}) END AS j FROM m),
-mm AS (SELECT repo, path, map_concat(coalesce(j.dependencies, {_EMPTY}), coalesce(j.devDependencies, {_EMPTY}),
-                                     coalesce(j.peerDependencies, {_EMPTY})) AS mm FROM j),
-raw AS (SELECT repo, path, unnest(map_keys(mm)) AS name, unnest(map_values(mm)) AS spec FROM mm),
-deps AS (SELECT repo, path, name,
-                trim(string_split(string_split(regexp_replace(spec, '^[\\^~>=<\\s]+', ''), ' ')[1], '||')[1]) AS version,
-                'npm' AS ecosystem FROM raw),
-deps2 AS (SELECT * FROM deps WHERE version <> '' AND version <> '*' AND NOT starts_with(version, 'file:'))"""
-
-
-def _vkey(col: str) -> str:
-    return (f"array_to_string(list_transform(list_slice(list_concat(string_split(regexp_extract({col}, "
-            f"'^(\\d+(?:\\.\\d+)*)', 1), '.'), ['0', '0', '0']), 1, 3), lambda p: lpad(CASE WHEN p = '' THEN '0' "
-            f"ELSE p END, 9, '0')), '.')")
-
-
-def _deps(spark, sf_dir) -> DataFrame:
-    return D.dependencies(D.manifests(fixture(spark, sf_dir, "manifests")))
-
-
-@register("dependencies", with_fixtures(f"{DEPS_SQL}\nSELECT repo, path, name, version, ecosystem FROM deps2",
-                                        "manifests"))
-def q_dependencies(spark, sf_dir):
-    return _deps(spark, sf_dir)
-
-
-VULN_SQL = DEPS_SQL + f""",
-vuln AS (SELECT d.repo, d.path, d.name, d.version, d.ecosystem, a.id, a.introduced, a.fixed
-         FROM deps2 d JOIN advisories a ON d.ecosystem = a.ecosystem AND d.name = a.name
-          AND {_vkey('d.version')} >= {_vkey('a.introduced')}
-          AND (a.fixed IS NULL OR {_vkey('d.version')} < {_vkey('a.fixed')}))"""
-
-
-@register("vulnerable_dependencies", with_fixtures(
-    VULN_SQL + "\nSELECT repo, path, name, version, ecosystem, id, introduced, fixed FROM vuln",
-    "manifests", "advisories"))
-def q_vulnerable(spark, sf_dir):
-    return D.vulnerable_dependencies(_deps(spark, sf_dir), fixture(spark, sf_dir, "advisories")) \
-        .select("repo", "path", "name", "version", "ecosystem", "id", "introduced", "fixed")
-
-
-_NUM = "^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)"
-
-
-@register("dependency_findings", with_fixtures(VULN_SQL + f""",
-info AS (SELECT id AS adv_id, summary, details, fixed AS fixed_version,
-                CASE WHEN upper(db_severity) = 'CRITICAL' THEN 'CRITICAL' WHEN upper(db_severity) = 'HIGH' THEN 'HIGH'
-                     WHEN upper(db_severity) IN ('MODERATE', 'MEDIUM') THEN 'MEDIUM' WHEN upper(db_severity) = 'LOW' THEN 'LOW'
-                     WHEN len(list_filter(list_transform(string_split(coalesce(scores, ''), ','),
-                              lambda s: regexp_extract(s, {G.q(_NUM)}, 1)), lambda x: x <> '')) > 0 THEN
-                       (CASE WHEN CAST(list_filter(list_transform(string_split(coalesce(scores, ''), ','),
-                              lambda s: regexp_extract(s, {G.q(_NUM)}, 1)), lambda x: x <> '')[1] AS DOUBLE) >= 9.0 THEN 'CRITICAL'
-                             WHEN CAST(list_filter(list_transform(string_split(coalesce(scores, ''), ','),
-                              lambda s: regexp_extract(s, {G.q(_NUM)}, 1)), lambda x: x <> '')[1] AS DOUBLE) >= 7.0 THEN 'HIGH'
-                             WHEN CAST(list_filter(list_transform(string_split(coalesce(scores, ''), ','),
-                              lambda s: regexp_extract(s, {G.q(_NUM)}, 1)), lambda x: x <> '')[1] AS DOUBLE) >= 4.0 THEN 'MEDIUM'
-                             ELSE 'LOW' END)
-                     ELSE 'MEDIUM' END AS severity
-         FROM advisories)
-SELECT v.repo, v.path, 'VG-SCA-001' AS rule_id, i.severity,
-       v.name || '@' || v.version || ' has a known vulnerability: ' || v.id AS message,
-       coalesce(i.summary, substr(i.details, 1, 250), 'Vulnerability ' || v.id || ' affects ' || v.name || '.') AS description,
-       CASE WHEN i.fixed_version IS NOT NULL THEN 'Upgrade ' || v.name || ' to version ' || i.fixed_version || ' or later.'
-            ELSE 'Review and update ' || v.name || '.' END AS remediation,
-       'CWE-1104' AS cwe, CAST(1 AS INTEGER) AS line_no
-FROM vuln v JOIN info i ON v.id = i.adv_id""", "manifests", "advisories"))
-def q_dependency_findings(spark, sf_dir):
-    adv = fixture(spark, sf_dir, "advisories")
-    return D.dependency_findings(D.vulnerable_dependencies(_deps(spark, sf_dir), adv), adv)
-
-
 # ====================================================================== E at volume (findings_synth)
 from secscan.functions import columns as C  # noqa: E402
 from secscan.operators import enrich as GE  # noqa: E402
@@ -347,19 +266,23 @@ def q_bulk(spark, sf_dir):
         "repo", "path", "line_no", "rule_id", "seq")
 
 
-@register("static_explanations", with_fixtures("""
-SELECT seq, line_no, coalesce(
-  CASE WHEN contains(lower(rule_name), 'sql injection') THEN 'SQL Injection'
-       WHEN contains(lower(rule_name), 'hardcoded secret') THEN 'Hardcoded Secret'
-       WHEN contains(lower(rule_name), 'xss') THEN 'XSS' END, 'generic') AS template
+def _template_sql(value) -> str:
+    return " ".join(f"WHEN contains(lower(rule_name), {G.q(k.lower())}) THEN {G.q(value(k))}" for k in GE.TEMPLATE_KEYS)
+
+
+@register("static_explanations", with_fixtures(f"""
+SELECT seq, line_no, CASE {_template_sql(lambda k: k)} ELSE 'generic' END AS template,
+  CASE {_template_sql(lambda k: GE.EXPLANATIONS[k][0])} ELSE 'The pattern behind ' || rule_name || ' can be turned against the application.' END AS why_dangerous,
+  CAST(3 AS INTEGER) AS practices,
+  CASE {_template_sql(lambda k: f"https://cwe.mitre.org/data/definitions/{GE.EXPLANATIONS[k][4][4:]}.html")} ELSE 'https://owasp.org/www-project-top-ten/' END AS reference
 FROM (SELECT seq, line_no, CASE CAST(seq % 5 AS INTEGER) WHEN 0 THEN 'SQL Injection via x' WHEN 1 THEN 'Hardcoded Secret'
-        WHEN 2 THEN 'DOM XSS and SQL Injection' WHEN 3 THEN 'xss' ELSE 'Other' END AS rule_name FROM findings_synth) f""",
-    "findings_synth"))
+        WHEN 2 THEN 'DOM XSS and SQL Injection' WHEN 3 THEN 'xss' ELSE 'Other' END AS rule_name FROM findings_synth) f""", "findings_synth"))
 def q_static_expl(spark, sf_dir):
     f = _fs(spark, sf_dir).select("seq", "line_no", F.expr(
         "CASE CAST(seq % 5 AS INT) WHEN 0 THEN 'SQL Injection via x' WHEN 1 THEN 'Hardcoded Secret' "
         "WHEN 2 THEN 'DOM XSS and SQL Injection' WHEN 3 THEN 'xss' ELSE 'Other' END").alias("rule_name"))
-    return GE.static_explanations(spark, f).select("seq", "line_no", "template")
+    return GE.static_explanations(spark, f).select("seq", "line_no", "template", "static.why_dangerous", F.size("static.best_practices").alias("practices"),
+                                                   F.get("static.references", F.lit(0)).alias("reference"))
 
 
 # ====================================================================== A10 / A11 / B / G1 / I
@@ -374,19 +297,19 @@ _GH = "^https://github\\.com/[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+(/.*)?$"
 @register("valid_repo_urls", with_fixtures(f"""
 SELECT id, url, error IS NULL AS valid, error FROM (
   SELECT id, url, CASE
-    WHEN NOT starts_with(trim(url), 'https://') THEN 'URL must use HTTPS'
-    WHEN NOT regexp_matches(trim(url), {G.q(_GH)}) THEN 'Invalid GitHub repository URL format'
-    WHEN regexp_extract(trim(url), '^https://([^/?#]*)', 1) <> 'github.com' THEN 'Only github.com URLs are allowed'
+    WHEN NOT starts_with(trim(url), 'https://') THEN 'The address does not start with https://'
+    WHEN NOT regexp_matches(trim(url), {G.q(_GH)}) THEN 'The address is not that of a repository on github.com'
+    WHEN regexp_extract(trim(url), '^https://([^/?#]*)', 1) <> 'github.com' THEN 'The host is not github.com'
     WHEN len(string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')) < 2
-      THEN 'URL must point to a repository (owner/repo)'
+      THEN 'The address names no owner and repository'
     WHEN lower(string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[1]
                || '/' || string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[2])
          IN ('torvalds/linux', 'microsoft/windows')
-      THEN 'Repository ''' || string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[1]
+      THEN string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[1]
                || '/' || string_split(regexp_replace(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')[2]
-               || ''' is blocked (too large or restricted)'
+               || ' is not scanned'
     WHEN contains(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1), '..')
-      OR contains(lower(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1)), '%2e%2e') THEN 'Path traversal detected in URL'
+      OR contains(lower(regexp_extract(trim(url), '^https://[^/?#]*([^?#]*)', 1)), '%2e%2e') THEN 'The path leads upwards'
   END AS error FROM repo_urls) x""", "repo_urls"))
 def q_valid_urls(spark, sf_dir):
     return A.valid_repo_urls(fixture(spark, sf_dir, "repo_urls")).select("id", "url", "valid", "error")
@@ -495,14 +418,14 @@ def q_finding_prompts(spark, sf_dir):
 
 
 @register("latest_diagnostics", with_fixtures("""
-SELECT repo, path, line_no, rule_id, seq FROM findings_synth f WHERE seq % 2 = 0 AND NOT EXISTS (
+SELECT repo, path, line_no, rule_id, seq FROM findings_synth f WHERE seq % 7 <> 1 AND NOT EXISTS (
   SELECT 1 FROM findings_synth b WHERE b.seq % 7 = 1 AND b.repo = f.repo AND b.path = f.path)
 UNION ALL SELECT repo, path, line_no, rule_id, seq FROM findings_synth WHERE seq % 7 = 1 AND line_no <> 3""", "findings_synth"))
 def q_latest_diagnostics(spark, sf_dir):
     """Files of the batch whose only finding is on line 3 come as scanned and clean."""
     f = _fs(spark, sf_dir).select("repo", "path", "line_no", "rule_id", "seq")
     batch = f.filter("seq % 7 = 1").withColumn("rule_id", F.when(F.col("line_no") != 3, F.col("rule_id")))
-    return I.latest_diagnostics(f.filter("seq % 2 = 0"), batch)
+    return I.latest_diagnostics(f.filter("seq % 7 != 1"), batch)
 
 
 _KEY_SQL = "sha256(repo || chr(10) || path || chr(10) || line_no || chr(10) || rule_id)"
@@ -529,10 +452,10 @@ def q_provider_fallback(spark, sf_dir):
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY finding_key ORDER BY provider, body) AS rn FROM answers) x WHERE rn = 1)
 SELECT repo, path, line_no, rule_id, seq, coalesce(nullif(b.body, ''), rule_id) AS explanation,
        CASE WHEN b.body <> '' THEN 'model' END AS source
-FROM (SELECT *, {_KEY_SQL} AS finding_key FROM findings_synth WHERE seq % 4 <> 3) f LEFT JOIN (
+FROM (SELECT *, {_KEY_SQL} AS finding_key FROM findings_synth) f LEFT JOIN (
   SELECT * FROM best WHERE finding_key <= '8') b USING (finding_key)""", "findings_synth"))
 def q_merge_enrichment(spark, sf_dir):
-    f = S.finding_ids(_fs(spark, sf_dir)).filter("seq % 4 != 3").withColumn("message", F.col("rule_id"))
+    f = S.finding_ids(_fs(spark, sf_dir)).withColumn("message", F.col("rule_id"))
     parsed = _answers(spark, sf_dir).filter("finding_key <= '8'").select(
-        "finding_key", F.struct("provider", "body").alias("seq"), F.struct(F.col("body").alias("why_dangerous")).alias("parsed"))
+        "finding_key", F.struct("provider", "body").alias("seq"), F.struct(F.col("body").alias("why_dangerous")).alias("answer"))
     return GE.merge_enrichment(f, parsed).select("repo", "path", "line_no", "rule_id", "seq", "explanation", "source")

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from secscan.functions import columns as C
 from secscan.operators import corpus as A
+from secscan.operators import deps as D
 from secscan.operators import rules as B
 from secscan.operators import scoring as E
 from secscan.operators import textscan as S
 from secscan.plans import sqlgen as G
+from secscan.plans.dependency_queries import DEPENDENCY_FINDINGS_SQL
 from secscan.sources import catalogue as K
 from secscan.sources.fixtures import fixture, with_fixtures
 
@@ -184,7 +186,7 @@ SELECT f.repo, f.path, f.line_no, f.rule_id, s.severity, f.pass, f.snippet,
 FROM p_findings f JOIN sev s USING (rule_id)""", "code_files"))
 def q_scan_ext_rules(spark, sf_dir):
     files = S.p_prepare(code_files(spark, sf_dir))
-    f = S.finding_ids(S.snippets(S.scan_ext_rules(spark, files, prepared=True), files, "P"))
+    f = S.finding_ids(S.scan_ext_rules(spark, files, prepared=True))
     return f.select("repo", "path", "line_no", "rule_id", "severity", "pass", "snippet", "finding_id")
 
 
@@ -199,6 +201,8 @@ def q_scan_multiline(spark, sf_dir):
 
 
 from secscan.operators import facts as FX  # noqa: E402
+from secscan.operators import scan as N  # noqa: E402
+from secscan.plans import line_patterns as LP  # noqa: E402
 
 
 def _py_case(value) -> str:
@@ -212,8 +216,8 @@ py_code AS (SELECT repo, path, line_no, line FROM (
    FROM (SELECT repo, path, CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS raw
          FROM (SELECT repo, path, {G.t_split('content')} AS arr FROM p_files WHERE ext = 'py') a) b) c
    WHERE trim(line) <> ''),
-py_names AS (SELECT repo, path, line_no, regexp_extract_all(line, {G.q(FX.P_CALL)}, 1) AS names,
-   regexp_split_to_array(line, {G.q(FX.P_CALL)}) AS rest FROM py_code),
+py_names AS (SELECT repo, path, line_no, regexp_extract_all(line, {G.q(LP.P_CALL)}, 1) AS names,
+   regexp_split_to_array(line, {G.q(LP.P_CALL)}) AS rest FROM py_code),
 py_calls AS (SELECT repo, path, line_no, i - 1 AS pos, names[i] AS func, rest[i + 1] AS args,
    trim(rest[i + 1]) = '' AND i < len(names) AS nested FROM py_names, unnest(generate_series(1, len(names))) AS u(i)),
 py_found AS (
@@ -222,7 +226,7 @@ py_found AS (
   UNION ALL SELECT repo, path, line_no, pos, 'AST-PY-SQL001', 'CRITICAL' FROM py_calls
     WHERE regexp_matches(lower(func), 'execute|cursor|query|raw') AND (nested OR contains(args, '+') OR regexp_matches(args, '^\\s*[fF]["'']'))
   UNION ALL SELECT repo, path, line_no, -1, 'AST-PY-ASSERT001', 'MEDIUM' FROM py_code
-    WHERE regexp_matches(lower(regexp_extract(line, {G.q(FX.P_ASSERT)}, 1)), 'auth|user|admin|login|permission')),
+    WHERE regexp_matches(lower(regexp_extract(line, {G.q(LP.P_ASSERT)}, 1)), 'auth|user|admin|login|permission')),
 py_findings AS (SELECT repo, path, line_no, CAST(pos AS INTEGER) AS pos, rule_id, severity FROM py_found WHERE rule_id IS NOT NULL)"""
 
 
@@ -232,19 +236,18 @@ def q_py_findings(spark, sf_dir):
 
 
 def scan_corpus_p(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """C20 for engine P: line rules, whole-content rules and Python facts; ``files`` are prepared."""
-    cols = ("repo", "path", "line_no", "rule_id", "severity")
-    return S.scan_ext_rules(spark, files, prepared=True).select(*cols).unionByName(FX.py_findings(files).select(*cols))
+    """C20 for engine P: line rules, whole-content rules and Python facts, once per rule and line; ``files`` are prepared."""
+    return N.scan_p(files, B.default_rules("P"))
 
 
 P_ALL_SQL = P_FINDINGS_SQL + f""",{PY_FINDINGS_SQL},
 p_all AS (SELECT f.repo, f.path, f.line_no, f.rule_id, s.severity FROM p_findings f JOIN sev s USING (rule_id)
-          UNION ALL SELECT repo, path, line_no, rule_id, severity FROM py_findings)"""
+          UNION ALL SELECT DISTINCT repo, path, line_no, rule_id, severity FROM py_findings)"""
 
 
 @register("scan_corpus_p", with_fixtures(P_ALL_SQL + "\nSELECT * FROM p_all", "code_files"))
 def q_scan_corpus_p(spark, sf_dir):
-    return scan_corpus_p(spark, S.p_prepare(code_files(spark, sf_dir)))
+    return scan_corpus_p(spark, S.p_prepare(code_files(spark, sf_dir))).select("repo", "path", "line_no", "rule_id", "severity")
 
 
 def _decay_sql() -> str:
@@ -392,54 +395,54 @@ js_lines AS (SELECT repo, path, line_no, line FROM (
              WHERE trim(line) <> ''),
 sink_facts AS (
   SELECT repo, path, line_no, 'VG-EVAL-001' AS rule_id, 'HIGH' AS severity FROM js_lines
-    WHERE regexp_matches(line, {G.q(FX.P_EVAL)})
-  UNION ALL SELECT repo, path, line_no, 'VG-EVAL-001', 'MEDIUM' FROM js_lines WHERE regexp_matches(line, {G.q(FX.P_TIMER)})
-  UNION ALL SELECT repo, path, line_no, 'VG-EVAL-001', 'HIGH' FROM js_lines WHERE regexp_matches(line, {G.q(FX.P_NEWFN)})
+    WHERE regexp_matches(line, {G.q(LP.P_EVAL)})
+  UNION ALL SELECT repo, path, line_no, 'VG-EVAL-001', 'MEDIUM' FROM js_lines WHERE regexp_matches(line, {G.q(LP.P_TIMER)})
+  UNION ALL SELECT repo, path, line_no, 'VG-EVAL-001', 'HIGH' FROM js_lines WHERE regexp_matches(line, {G.q(LP.P_NEWFN)})
   UNION ALL SELECT repo, path, line_no, 'VG-XSS-001', 'HIGH' FROM js_lines
-    WHERE regexp_matches(line, {G.q(FX.P_XSS_ASSIGN)})
-      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_XSS_ASSIGN)}, 2), {G.q(FX.LIT_ARG)})
+    WHERE regexp_matches(line, {G.q(LP.P_XSS_ASSIGN)})
+      AND NOT regexp_matches(regexp_extract(line, {G.q(LP.P_XSS_ASSIGN)}, 2), {G.q(LP.LIT_ARG)})
   UNION ALL SELECT repo, path, line_no, 'VG-XSS-001', 'HIGH' FROM js_lines
-    WHERE regexp_matches(line, {G.q(FX.P_DOCWRITE)})
-      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_DOCWRITE)}, 3), '^\\s*(\\)|$)')
-      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_DOCWRITE)}, 3), {G.q(FX.LIT_ARG)})
+    WHERE regexp_matches(line, {G.q(LP.P_DOCWRITE)})
+      AND NOT regexp_matches(regexp_extract(line, {G.q(LP.P_DOCWRITE)}, 3), '^\\s*(\\)|$)')
+      AND NOT regexp_matches(regexp_extract(line, {G.q(LP.P_DOCWRITE)}, 3), {G.q(LP.LIT_ARG)})
   UNION ALL SELECT repo, path, line_no, 'VG-PATH-001', 'HIGH' FROM js_lines
-    WHERE regexp_matches(line, {G.q(FX.P_FS)})
-      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_FS)}, 4), '^\\s*(\\)|$)')
-      AND NOT regexp_matches(regexp_extract(line, {G.q(FX.P_FS)}, 4), {G.q(FX.PLAIN_LIT_ARG)})
+    WHERE regexp_matches(line, {G.q(LP.P_FS)})
+      AND NOT regexp_matches(regexp_extract(line, {G.q(LP.P_FS)}, 4), '^\\s*(\\)|$)')
+      AND NOT regexp_matches(regexp_extract(line, {G.q(LP.P_FS)}, 4), {G.q(LP.PLAIN_LIT_ARG)})
   UNION ALL SELECT repo, path, line_no, 'VG-PATH-001', 'MEDIUM' FROM js_lines
-    WHERE regexp_matches(line, {G.q(FX.P_PATHJOIN)})
-      AND len(list_filter(string_split(regexp_extract(line, {G.q(FX.P_PATHJOIN)}, 3), ','),
-                          lambda a: regexp_matches(a, {G.q(FX.P_PATH_ARG)}))) > 0
+    WHERE regexp_matches(line, {G.q(LP.P_PATHJOIN)})
+      AND len(list_filter(string_split(regexp_extract(line, {G.q(LP.P_PATHJOIN)}, 3), ','),
+                          lambda a: regexp_matches(a, {G.q(LP.P_PATH_ARG)}))) > 0
   UNION ALL SELECT repo, path, line_no, 'VG-RAND-001',
-         CASE WHEN regexp_matches(regexp_extract(line, {G.q(FX.P_RAND_NAME)}, 1), {G.q(FX.RANDOM_CONTEXT)})
+         CASE WHEN regexp_matches(regexp_extract(line, {G.q(LP.P_RAND_NAME)}, 1), {G.q(LP.RANDOM_CONTEXT)})
               THEN 'MEDIUM' ELSE 'INFO' END
-    FROM js_lines WHERE regexp_matches(line, {G.q(FX.P_RAND)})),
+    FROM js_lines WHERE regexp_matches(line, {G.q(LP.P_RAND)})),
 facts AS (
-  SELECT repo, path, line_no, 0 AS k, regexp_extract(line, {G.q(FX.P_DECL)}, 3) AS lhs, 'decl' AS kind,
-         regexp_extract(line, {G.q(FX.P_DECL)}, 4) AS rhs FROM js_lines WHERE regexp_matches(line, {G.q(FX.P_DECL)})
+  SELECT repo, path, line_no, 0 AS k, regexp_extract(line, {G.q(LP.P_DECL)}, 3) AS lhs, 'decl' AS kind,
+         regexp_extract(line, {G.q(LP.P_DECL)}, 4) AS rhs FROM js_lines WHERE regexp_matches(line, {G.q(LP.P_DECL)})
   UNION ALL
-  SELECT repo, path, line_no, 0, regexp_extract(line, {G.q(FX.P_ASSIGN)}, 2), 'assign',
-         regexp_extract(line, {G.q(FX.P_ASSIGN)}, 3) FROM js_lines
-  WHERE regexp_matches(line, {G.q(FX.P_ASSIGN)}) AND NOT regexp_matches(line, {G.q(FX.P_DECL)})
-    AND NOT regexp_matches(line, {G.q(FX.P_DESTRUCT)})),
+  SELECT repo, path, line_no, 0, regexp_extract(line, {G.q(LP.P_ASSIGN)}, 2), 'assign',
+         regexp_extract(line, {G.q(LP.P_ASSIGN)}, 3) FROM js_lines
+  WHERE regexp_matches(line, {G.q(LP.P_ASSIGN)}) AND NOT regexp_matches(line, {G.q(LP.P_DECL)})
+    AND NOT regexp_matches(line, {G.q(LP.P_DESTRUCT)})),
 typed AS (SELECT repo, path, line_no, k, lhs, kind,
-                 CASE WHEN regexp_matches(rhs, {G.q(FX.P_SOURCE)}) THEN 'source'
-                      WHEN regexp_matches(rhs, {G.q('^\\s*' + FX.IDENT + '\\s*(;|$)')}) THEN 'ident' ELSE 'other' END AS rk,
-                 regexp_extract(rhs, {G.q('^\\s*(' + FX.IDENT + ')')}, 1) AS rn FROM facts),
+                 CASE WHEN regexp_matches(rhs, {G.q(LP.P_SOURCE)}) THEN 'source'
+                      WHEN regexp_matches(rhs, {G.q('^\\s*' + LP.IDENT + '\\s*(;|$)')}) THEN 'ident' ELSE 'other' END AS rk,
+                 regexp_extract(rhs, {G.q('^\\s*(' + LP.IDENT + ')')}, 1) AS rn FROM facts),
 taint AS (SELECT repo, path, list_reduce(list(struct_pack(lhs := lhs, kind := kind, rk := rk, rn := rn) ORDER BY line_no, k),
             lambda acc, e: CASE WHEN e.rk = 'source' OR (e.rk = 'ident' AND list_contains(acc, e.rn))
                                 THEN list_distinct(list_append(acc, e.lhs))
                                 WHEN e.kind = 'assign' THEN list_filter(acc, lambda x: x <> e.lhs) ELSE acc END,
             CAST([] AS VARCHAR[])) AS tainted
           FROM typed GROUP BY repo, path),
-sinks AS (SELECT repo, path, line_no, regexp_extract(line, {G.q(FX.P_SQL)}, 2) AS arg FROM js_lines
-          WHERE regexp_matches(line, {G.q(FX.P_SQL)})),
+sinks AS (SELECT repo, path, line_no, regexp_extract(line, {G.q(LP.P_SQL)}, 2) AS arg FROM js_lines
+          WHERE regexp_matches(line, {G.q(LP.P_SQL)})),
 sink_kind AS (SELECT repo, path, line_no,
-     CASE WHEN regexp_matches(arg, {G.q(FX.SQL_LITERAL_ARG)}) THEN 'literal'
+     CASE WHEN regexp_matches(arg, {G.q(LP.SQL_LITERAL_ARG)}) THEN 'literal'
           WHEN regexp_matches(arg, '^\\s*`[^`]*\\$\\{{') THEN 'template'
           WHEN regexp_matches(arg, '^[^,)]*\\+') THEN 'concat'
-          WHEN regexp_matches(arg, {G.q(FX.P_ARG_IDENT)}) THEN 'ident' ELSE 'other' END AS arg_kind,
-     regexp_extract(arg, {G.q(FX.P_ARG_IDENT)}, 1) AS arg_name FROM sinks),
+          WHEN regexp_matches(arg, {G.q(LP.P_ARG_IDENT)}) THEN 'ident' ELSE 'other' END AS arg_kind,
+     regexp_extract(arg, {G.q(LP.P_ARG_IDENT)}, 1) AS arg_name FROM sinks),
 sql_inj AS (SELECT s.repo, s.path, s.line_no, 'VG-SQL-001' AS rule_id, 'CRITICAL' AS severity, s.arg_kind
             FROM sink_kind s LEFT JOIN taint t USING (repo, path)
             WHERE s.arg_kind IN ('template', 'concat')
@@ -460,14 +463,20 @@ def q_taint_flow(spark, sf_dir):
     return FX.taint_flow(S.t_prepare(code_files(spark, sf_dir)))
 
 
+#: engine T's findings of every grain, with the file they are in
+T_ALL_SQL = f"""{T_FINDINGS_SQL},{ENTROPY_SQL},{_js_prelude()},
+all_f AS (SELECT repo, path, line_no, rule_id, severity FROM t_text UNION ALL SELECT repo, path, line_no, rule_id, severity FROM t_secret
+          UNION ALL SELECT repo, path, line_no, rule_id, severity FROM sink_facts
+          UNION ALL SELECT repo, path, line_no, rule_id, severity FROM sql_inj
+          UNION ALL SELECT repo, path, line_no, rule_id, severity FROM dep_findings)"""
+
+
 def _density_sql() -> str:
     pen = " ".join(f"WHEN {G.q(s)} THEN {v}" for s, v in K.DENSITY_PENALTY.items())
     cnt = ", ".join(f"CAST(count(f.severity) FILTER (WHERE f.severity = {G.q(s)}) AS BIGINT) AS {s.lower()}"
                     for s in K.SEVERITIES)
-    return f"""{T_FINDINGS_SQL},{ENTROPY_SQL},{_js_prelude()},
-all_f AS (SELECT repo, severity FROM t_text UNION ALL SELECT repo, severity FROM t_secret
-          UNION ALL SELECT repo, severity FROM sink_facts UNION ALL SELECT repo, severity FROM sql_inj),
-nfiles AS (SELECT repo, CAST(count(*) AS BIGINT) AS files FROM t_files GROUP BY repo),
+    return f"""{DEPENDENCY_FINDINGS_SQL},{T_ALL_SQL},
+nfiles AS (SELECT repo, CAST(count(*) AS BIGINT) AS files FROM (SELECT repo FROM t_files UNION ALL SELECT repo FROM manifests) z GROUP BY repo),
 agg AS (SELECT n.repo, n.files, coalesce(sum(CASE f.severity {pen} ELSE 0 END), 0) AS raw, {cnt}
         FROM nfiles n LEFT JOIN all_f f USING (repo) GROUP BY n.repo, n.files),
 sc AS (SELECT *, least(100.0, raw / greatest(1.0, log10(files + 1))) AS clamped FROM agg)
@@ -482,19 +491,71 @@ SELECT repo, files, {", ".join(s.lower() for s in K.SEVERITIES)},
 FROM sc"""
 
 
-def t_scan(spark: SparkSession, files: DataFrame, prepared: bool = False) -> DataFrame:
-    """C20 for engine T: text rules + entropy secrets + structural facts."""
-    f = files if prepared else S.t_prepare(files)
-    text = S.scan_raw_lines(spark, f, prepared=True).select("repo", "path", "line_no", "rule_id", "severity")
-    sec = S.entropy_secrets(spark, f, prepared=True).select("repo", "path", "line_no", "rule_id", "severity")
-    st = FX.structural_findings(f)
-    return text.unionByName(sec).unionByName(st)
+def scan_corpus_t(spark: SparkSession, files: DataFrame, manifests: DataFrame, records: DataFrame) -> DataFrame:
+    """C20 for engine T: findings of lines, statements and manifests (prepared ``files``; ``manifests`` with advisory
+    ``records``) under one schema, each with a key that stays the same from scan to scan (C17)."""
+    adv = D.advisories(records)
+    deps = D.dependency_findings(D.vulnerable_dependencies(D.dependencies(D.manifests(manifests)), adv), adv)
+    code = N.scan_t(files, B.default_rules("T")).withColumn("grain", F.when(F.col("rule_id").isin(*STATEMENT_RULES), "statement").otherwise("line"))
+    deps = deps.select(F.lit("T").alias("engine"), "repo", "path", "line_no", F.lit(0).alias("col"), "rule_id", F.lit("Vulnerable dependency").alias("rule_name"),
+                       "severity", "message", "cwe", "owasp", "remediation", F.lit(1).alias("pass"), "snippet", F.lit("manifest").alias("grain"))
+    return S.finding_keys(code.unionByName(deps))
+
+
+STATEMENT_RULES = tuple(r.id for r in K.T_RULES if r.scope == "struct")
+
+
+def t_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_corpus_t(spark, S.t_prepare(code_files(spark, sf_dir)), fixture(spark, sf_dir, "manifests"), fixture(spark, sf_dir, "advisory_records"))
+
+
+@register("scan_corpus_t", with_fixtures(f"{DEPENDENCY_FINDINGS_SQL},{T_ALL_SQL}" + """
+SELECT repo, path, line_no, rule_id, severity, CASE WHEN rule_id = 'VG-SCA-001' THEN 'manifest'
+       WHEN rule_id IN ('VG-SQL-001', 'VG-XSS-001', 'VG-EVAL-001', 'VG-PATH-001', 'VG-RAND-001') THEN 'statement' ELSE 'line' END AS grain FROM all_f""",
+    "code_files", "manifests", "advisory_records"))
+def q_scan_corpus_t(spark, sf_dir):
+    return t_corpus(spark, sf_dir).select("repo", "path", "line_no", "rule_id", "severity", "grain")
+
 
+@register("finding_keys", with_fixtures(f"{DEPENDENCY_FINDINGS_SQL},{T_ALL_SQL}" + """
+SELECT rule_id, CAST(count(*) AS BIGINT) AS findings, CAST(count(*) AS BIGINT) AS keys FROM all_f GROUP BY rule_id""",
+    "code_files", "manifests", "advisory_records"))
+def q_finding_keys(spark, sf_dir):
+    """No two findings of a scan share a key."""
+    return t_corpus(spark, sf_dir).groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("finding_key").alias("keys"))
 
-@register("density_score", with_fixtures(_density_sql(), "code_files"))
+
+@register("density_score", with_fixtures(f"{_density_sql()}", "code_files", "manifests", "advisory_records"))
 def q_density_score(spark, sf_dir):
     f = S.t_prepare(code_files(spark, sf_dir))
-    findings = t_scan(spark, f, prepared=True)
-    counts = f.groupBy("repo").agg(F.count(F.lit(1)).cast("bigint").alias("files"))
-    return E.density_score(findings, counts).select(
+    counts = f.select("repo").unionByName(fixture(spark, sf_dir, "manifests").select("repo")).groupBy("repo").agg(F.count(F.lit(1)).cast("bigint").alias("files"))
+    return E.density_score(t_corpus(spark, sf_dir), counts).select(
         "repo", "files", "critical", "high", "medium", "low", "info", "score", "penalty", "grade", "passed")
+
+
+# ====================================================================== B5 + B6 + B8 in a scan
+CONFIG = (("CS-SEC-002", True, False, None), ("CS-EXEC-001", True, True, None), ("CS-CRYPTO-001", False, False, "LOW"), ("NO-SUCH-RULE", True, False, "HIGH"))
+CUSTOM = B.custom_rule("ACME-001", r"return\s+0", ("py", ".js", "go"), "HIGH", "Returns zero", "A function ends in zero.", "CWE-393", owasp="A04",
+                       remediation="Return a value that says what happened.")
+
+
+def configured_rules(spark: SparkSession) -> list[K.Rule]:
+    config = spark.createDataFrame(list(CONFIG), "rule_id string, disabled boolean, enabled boolean, severity string")
+    return B.rule_set(spark, "P", config=config, custom=(CUSTOM,))
+
+
+def _config_sql() -> str:
+    """The same rules written out by hand: one gone, one back on, one with another severity, one more."""
+    rules = [r for r in K.P_RULES if r.id != "CS-SEC-002"] + [CUSTOM]
+    meta = ", ".join(f"({G.q(r.id)}, {G.q('LOW' if r.id == 'CS-CRYPTO-001' else r.severity)}, {G.q(r.name)}, {G.q(r.message)}, "
+                     f"{G.q(r.owasp) if r.owasp else 'NULL'}, {G.q(K.remediation(r))})" for r in rules)
+    return f"""{_ctes(*P_PRELUDE, _p_lines_cte())},
+hits1 AS ({G.p_line_hits_sql(rules=rules)})
+SELECT h.repo, h.path, h.line_no, h.rule_id, m.severity, m.rule_name, m.message, m.owasp, m.remediation
+FROM hits1 h JOIN (VALUES {meta}) AS m(rule_id, severity, rule_name, message, owasp, remediation) USING (rule_id)"""
+
+
+@register("scan_with_config", with_fixtures(_config_sql(), "code_files"))
+def q_scan_with_config(spark, sf_dir):
+    rows = S.scan_ext_rules(spark, code_files(spark, sf_dir), passes=(1,), rules=configured_rules(spark))
+    return rows.select("repo", "path", "line_no", "rule_id", "severity", "rule_name", "message", "owasp", "remediation")

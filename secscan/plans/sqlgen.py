@@ -86,11 +86,11 @@ def t_files_cte(source: str = "code_files", max_bytes: int = K.T_MAX_FILE_BYTES)
     AND NOT regexp_matches(path, {q(ign)})"""
 
 
-def p_line_hits_sql(lines: str = "p_lines") -> str:
+def p_line_hits_sql(lines: str = "p_lines", rules: list[K.Rule] | None = None) -> str:
     parts = []
-    for r in K.P_RULES:
+    for r in rules or K.P_RULES:
         parts.append(f"SELECT repo, path, line_no, {q(r.id)} AS rule_id FROM {lines} "
-                     f"WHERE ext IN {in_list(r.languages)} AND {rule_condition(r, 'line')}")
+                     f"WHERE ext IN {in_list([e.lstrip('.') for e in r.languages])} AND {rule_condition(r, 'line')}")
     return "\n  UNION ALL ".join(parts)
 
 

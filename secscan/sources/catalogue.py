@@ -1,11 +1,12 @@
 """Rule catalogue rows (item B1).
 
-The catalogue is data: every rule is one row.  Detection code never branches on
-a rule id; it builds one Spark projection from these rows on the driver.
+The catalogue is data: every rule is one row.  Text rules are applied as an array
+of these rows; structural rules (scopes struct, entropy, pyfact) have their facts in
+code, under the rule's id.
 
-FIXED VALUES.  Rule ids, severities, CWE numbers, tags, extension lists and the
-regular expressions below must equal the scanned behaviour exactly, so they are
-stated verbatim, in registry order.  Names and message texts are our own short
+FIXED VALUES.  Rule ids, names, severities, CWE numbers, tags, extension lists and
+the regular expressions below must equal the scanned behaviour exactly, so they are
+stated verbatim, in registry order.  Message and remediation texts are our own short
 wording.  Patterns of engine "T" are JavaScript regular expressions, patterns of
 engine "P" are Python ``re`` expressions; ``secscan.functions.regex`` turns them
 into the Java dialect Spark runs.
@@ -32,6 +33,8 @@ class Rule:
     languages: tuple[str, ...] = field(default=())
     owasp: str | None = None
     enabled: bool = True
+    unless: tuple[str, ...] = ()   # silent in files that hold one of these
+    remediation: str | None = None
 
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
@@ -55,6 +58,9 @@ T_FAMILIES = {
 _T = "T"
 _P = "P"
 
+# FIXED VALUES: markers that silence JAVA-004 for the whole file.
+XML_HARDENING_MARKERS = ("FEATURE_SECURE_PROCESSING", "disallow-doctype-decl", "external-general-entities")
+
 # FIXED VALUES: engine T rules, registry order.  {1} = first capture group,
 # {line} = 1-based line number in messages.
 T_RULES: list[Rule] = [
@@ -108,7 +114,7 @@ T_RULES: list[Rule] = [
          "java", "raw", r"""ObjectInputStream|\.readObject\s*\(""", False, "Object deserialization on line {line}."),
     Rule(_T, "JAVA-004", "Java XML External Entity (XXE)", "HIGH", "CWE-611", ("xxe", "java", "xml", "owasp-a05"),
          "java", "raw", r"""DocumentBuilderFactory|SAXParserFactory|XMLInputFactory|TransformerFactory""", False,
-         "XML factory without visible hardening on line {line}."),
+         "XML factory without visible hardening on line {line}.", unless=XML_HARDENING_MARKERS),
     Rule(_T, "JAVA-005", "Java Hardcoded Secret", "HIGH", "CWE-798", ("secrets", "java", "credentials", "owasp-a02"),
          "java", "raw", r'(?:password|passwd|secret|apiKey|api_key|token|authToken|privateKey)\s*=\s*"[^"]{4,}"',
          True, "Credential literal on line {line}."),
@@ -181,9 +187,6 @@ T_RULES: list[Rule] = [
          "Cloud key literal in configuration."),
 ]
 
-# FIXED VALUES: markers that silence JAVA-004 for the whole file.
-XML_HARDENING_MARKERS = ("FEATURE_SECURE_PROCESSING", "disallow-doctype-decl", "external-general-entities")
-
 # FIXED VALUES: engine P line rules, registry order, all case-insensitive.
 P_RULES: list[Rule] = [
     Rule(_P, "CS-SQL-001", "SQL Injection via String Concatenation", "CRITICAL", "CWE-89", (), "ext", "raw",
@@ -303,7 +306,6 @@ FS_METHODS = ("readFile", "readFileSync", "writeFile", "writeFileSync", "appendF
               "createReadStream", "createWriteStream", "readdir", "readdirSync", "mkdir", "mkdirSync", "rmdir",
               "rmdirSync")
 SQL_METHODS = ("query", "execute", "run", "raw", "rawQuery")
-TAINT_SOURCES = ("req.body", "req.query", "req.params", "req.headers")
 
 # FIXED VALUES: Python sinks of the syntax pass (C9), in list order.
 PY_SINKS = ("eval", "exec", "compile", "pickle.loads", "marshal.loads", "subprocess.call", "subprocess.Popen",
@@ -312,5 +314,44 @@ PY_SINKS = ("eval", "exec", "compile", "pickle.loads", "marshal.loads", "subproc
 PY_CRITICAL_SINKS = ("eval", "exec", "os.system")
 
 
+def py_sink_id(sink: str) -> str:
+    return "AST-PY-" + sink.replace(".", "_").upper()[:15]
+
+
+#: findings of the Python syntax pass; not in the registry, so not selectable there, but in a scan's rule set
+PY_FACT_RULES: list[Rule] = [
+    *(Rule(_P, py_sink_id(s), f"Call of {s}", "CRITICAL" if s in PY_CRITICAL_SINKS else "HIGH", None, (), "py", "pyfact", None, False,
+           f"{s} is called.") for s in PY_SINKS),
+    Rule(_P, "AST-PY-SQL001", "Query text built at run time", "CRITICAL", None, (), "py", "pyfact", None, False,
+         "A query call gets a concatenated, formatted or computed text."),
+    Rule(_P, "AST-PY-ASSERT001", "Assert as access check", "MEDIUM", None, (), "py", "pyfact", None, False,
+         "An access check is an assert, which optimised runs leave out."),
+]
+
+# Advice by weakness, our own wording.
+REMEDIES = {
+    "CWE-16": "Set the option to its safe value.", "CWE-22": "Resolve the path and check that it stays inside the folder it belongs to.",
+    "CWE-78": "Call the program with a list of arguments and no shell.", "CWE-79": "Write text, not markup, or escape what comes from outside.",
+    "CWE-89": "Pass values as bound parameters of a prepared statement.", "CWE-94": "Do not make code out of data.",
+    "CWE-95": "Parse the data instead of evaluating it.", "CWE-120": "Use calls that take the size of the target.",
+    "CWE-200": "Keep internal details out of what users get.", "CWE-250": "Run as a user with no more rights than needed.",
+    "CWE-259": "Read the password from a secret store.", "CWE-284": "Restrict access to those who need it.",
+    "CWE-295": "Check certificates against trusted authorities.", "CWE-312": "Encrypt the value before it is stored.",
+    "CWE-319": "Use an encrypted connection.", "CWE-327": "Use a current algorithm.", "CWE-338": "Use a generator made for secrets.",
+    "CWE-502": "Use a data format that cannot hold objects.", "CWE-532": "Leave the value out of logs.",
+    "CWE-601": "Redirect to known addresses only.", "CWE-611": "Switch external entities off in the parser.",
+    "CWE-798": "Read the value from a secret store and replace the leaked one.", "CWE-918": "Allow requests to known hosts only.",
+    "CWE-1104": "Move to a release that is maintained.",
+}
+REMEDY = "Use the safe alternative that the message points to."
+
+
+def remediation(rule: Rule) -> str:
+    return rule.remediation or REMEDIES.get(rule.cwe or "", REMEDY)
+
+
 def all_rules() -> list[Rule]:
     return T_RULES + P_RULES + P_CONTENT_RULES
+
+
+DEFAULT_SEVERITY = {r.id: r.severity for r in T_RULES + P_RULES + P_CONTENT_RULES + PY_FACT_RULES}

@@ -151,24 +151,57 @@ FROM events
 
 FIXTURE_SQL["manifests"] = """
 SELECT concat('org/b', CAST(p_size AS STRING)) AS repo,
-       concat('m', CAST(p_partkey AS STRING), '/package.json') AS path,
+       concat(CASE WHEN p_partkey % 11 = 0 THEN 'a/b/c/d/e/' ELSE '' END, CASE WHEN p_partkey % 17 = 0 THEN 'node_modules/' ELSE '' END,
+              'm', CAST(p_partkey AS STRING), '/package.json') AS path,
+       CASE WHEN p_partkey % 29 = 0 THEN '{"dependencies":{"alpha":' ELSE
        concat('{"dependencies":{"alpha":"^', CAST(p_partkey % 4 AS STRING), '.', CAST(p_size % 7 AS STRING),
-              '.1","beta":"~2.0.0"},"devDependencies":{"alpha":">=', CAST(p_partkey % 3 AS STRING),
-              '.2.0 <9","gamma":"*"}}') AS content
+              '.1","beta":"~2.0.0","delta":"1.2.', CAST(p_partkey % 5 AS STRING), '.', CAST(p_partkey % 13 AS STRING),
+              '","eps":"2.0.0-rc.', CAST(p_partkey % 12 AS STRING), '","pkg', CAST(p_partkey % 40 AS STRING), '":"', CAST(p_partkey % 3 AS STRING), '.',
+              CAST(p_size % 9 AS STRING), '.', CAST(p_partkey % 6 AS STRING), CASE WHEN p_partkey % 5 = 0 THEN concat('-beta.', CAST(p_partkey % 4 AS STRING)) ELSE '' END,
+              '"},"devDependencies":{"alpha":">=', CAST(p_partkey % 3 AS STRING), '.2.0 <9","gamma":"*","zeta":"',
+              CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'latest' WHEN 1 THEN 'git+https://example.org/z.git#v1' WHEN 2 THEN '1.x' ELSE 'v3.0.0+build.5' END,
+              '"},"peerDependencies":{"eta":"12345678901234567890.0.', CAST(p_partkey % 3 AS STRING), '"}}') END AS content
 FROM part
 """
 
-# Advisory rows: one row per affected range (own test data, joined to the
-# dependencies derived from `part`, so the join grows with that table).
-FIXTURE_SQL["advisories"] = """
-SELECT * FROM (VALUES
-  ('ADV-0001', 'npm', 'alpha', 'Prototype pollution in alpha', NULL, 'MODERATE', '', '1.0.0', '2.5.0'),
-  ('ADV-0002', 'npm', 'alpha', NULL, 'Unchecked input reaches a shell call in alpha helpers.', NULL, 'x,9.1', '0.0.0', '1.2.5'),
-  ('ADV-0003', 'npm', 'beta', NULL, NULL, NULL, 'abc', '2.0.0', NULL),
-  ('ADV-0004', 'npm', 'gamma', 'Gamma issue', NULL, 'HIGH', '', '0.0.0', '1.0.0'),
-  ('ADV-0005', 'npm', 'beta', 'Beta low', NULL, NULL, '5.0', '0.1.0', '1.9.0'),
-  ('ADV-0006', 'npm', 'alpha', 'Alpha 2.x issue', NULL, 'LOW', '7.5', '2.0.0', '2.2.1')
-) AS a(id, ecosystem, name, summary, details, db_severity, scores, introduced, fixed)
+
+def _osv(id_: str, name: str, ranges: str, more: str = "", versions: str = "[]") -> str:
+    return (f'{{"id":"{id_}"{more},"affected":[{{"package":{{"ecosystem":"npm","name":"{name}"}},"ranges":{ranges},"versions":{versions}}}]}}')
+
+
+def _range(*events: str, kind: str = "SEMVER") -> str:
+    return f'{{"type":"{kind}","events":[{",".join("{" + e + "}" for e in events)}]}}'
+
+
+_ADVISORIES = (
+    _osv("ADV-0001", "alpha", "[" + _range('"introduced":"1.0.0"', '"fixed":"1.2.0"') + "," + _range('"introduced":"2.0.0"', '"fixed":"2.5.0"') + "]",
+         ',"summary":"Prototype pollution in alpha","database_specific":{"severity":"MODERATE"}'),
+    _osv("ADV-0002", "alpha", "[" + _range('"fixed":"1.2.5"', '"introduced":"0"') + "]",
+         ',"details":"Unchecked input reaches a shell call in alpha helpers. ' + "More text. " * 40 + '","severity":[{"type":"X","score":"x"},{"type":"C","score":"9.1"}]'),
+    _osv("ADV-0003", "beta", "[" + _range('"introduced":"2.0.0"') + "]", ',"severity":[{"type":"C","score":"abc"}]'),
+    _osv("ADV-0004", "gamma", "[" + _range('"introduced":"0"', '"fixed":"1.0.0"') + "]", ',"database_specific":{"severity":"HIGH"}'),
+    _osv("ADV-0005", "delta", "[" + _range('"introduced":"1.2.1.4"', '"fixed":"1.2.3.10"', kind="ECOSYSTEM") + "]", ',"severity":[{"type":"C","score":"5.0"}]'),
+    _osv("ADV-0006", "eps", "[" + _range('"introduced":"2.0.0-rc.3"', '"fixed":"2.0.0-rc.10"') + "]", ',"summary":"Early eps releases","database_specific":{"severity":"LOW"}'),
+    _osv("ADV-0007", "eps", "[" + _range('"introduced":"1.0.0"', '"last_affected":"2.0.0-rc.2"') + "]", ',"severity":[{"type":"C","score":"7.5"}]'),
+    _osv("ADV-0008", "zeta", "[" + _range('"introduced":"0123abc"', kind="GIT") + "," + _range('"introduced":"3"', '"fixed":"3.0.1"') + "]",
+         ',"summary":"Zeta by tag"', '["latest"]'),
+    _osv("ADV-0009", "eta", "[" + _range('"introduced":"12345678901234567890.0.1"', '"fixed":"12345678901234567891"') + "]"),
+    '{"id":"ADV-0010","affected":[{"package":{"ecosystem":"PyPI","name":"alpha"},"ranges":[' + _range('"introduced":"0"') + "]}]}",
+    '{"id": broken',
+)
+
+# Advisory records in JSON: a fixed few of special forms, and one per supplier, so both sides of the join grow.
+FIXTURE_SQL["advisory_records"] = f"""
+SELECT * FROM (VALUES {_values((a,) for a in _ADVISORIES)}) AS a(body)
+UNION ALL
+SELECT concat('{{"id":"ADV-S', CAST(s_suppkey AS STRING), '","summary":"Pkg issue ', CAST(s_suppkey AS STRING),
+              '","database_specific":{{"severity":"', CASE CAST(s_suppkey % 3 AS INT) WHEN 0 THEN 'critical' WHEN 1 THEN 'Low' ELSE '' END,
+              '"}},"severity":[{{"type":"C","score":"', CAST(s_suppkey % 10 AS STRING), '.5"}}],"affected":[',
+              '{{"package":{{"ecosystem":"npm","name":"pkg', CAST(s_suppkey % 40 AS STRING), '"}},"ranges":[{{"type":"SEMVER","events":[{{"fixed":"1.',
+              CAST(s_suppkey % 8 AS STRING), '.3"}},{{"introduced":"1.0.0-beta.2"}},{{"introduced":"0"}},{{"fixed":"0.', CAST(s_suppkey % 7 AS STRING), '"}}]}}],"versions":["2.7.1"]}},',
+              '{{"package":{{"ecosystem":"npm","name":"pkg', CAST((s_suppkey + s_suppkey % 2) % 40 AS STRING), '"}},"ranges":[{{"type":"ECOSYSTEM","events":[{{"introduced":"2.',
+              CAST(s_suppkey % 5 AS STRING), '"}},{{"last_affected":"2.6.1"}}]}}]}}]}}') AS body
+FROM supplier
 """
 
 FIXTURE_SQL["fixes"] = """
@@ -184,6 +217,19 @@ SELECT l_orderkey * 10 + l_linenumber AS fix_id,
 FROM lineitem
 """
 
+# Files with indented lines, and four fixes for each: overlapping, adjacent, behind the end, reversed.
+FIXTURE_SQL["indented_files"] = f"""
+SELECT repo, path, replace(content, '. ', concat('.', chr(10), '    ')) AS content FROM ({FIXTURE_SQL["code_files"]}) c
+"""
+
+FIXTURE_SQL["file_fixes"] = f"""
+SELECT repo, path, concat(path, '#', CAST(k AS STRING)) AS fix_id,
+       CAST(1 + (length(content) * 7 + k * 3) % 11 AS INT) AS start_line,
+       CAST(1 + (length(content) * 7 + k * 3) % 11 + (length(content) + k * k) % 5 - 1 AS INT) AS end_line,
+       concat('first(', CAST(k AS STRING), ')', chr(10), chr(10), '  second()', CASE WHEN k = 2 THEN chr(10) ELSE '' END) AS fixed_code
+FROM ({FIXTURE_SQL["code_files"]}) c CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k)
+"""
+
 FIXTURE_SQL["repo_urls"] = """
 SELECT c_custkey AS id,
        CASE CAST(c_custkey % 8 AS INT)
@@ -206,6 +252,28 @@ SELECT conv_id, turn, role, text FROM conversations
 """
 
 
+# Requests with a hot key: a third of all rows.
+FIXTURE_SQL["hot_requests"] = """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id % 50 END AS key, event_id * 200 + (event_id * event_id) % 1700 AS ts_ms
+FROM events
+"""
+
+# Answers of a model in every form: an object, fenced, within prose, an array, broken, empty, null, no JSON.
+FIXTURE_SQL["responses"] = """
+SELECT conv_id, turn, CASE CAST((conv_id + turn * 3) % 9 AS INT)
+   WHEN 0 THEN concat('{"why_dangerous":"', role, ' ', CAST(length(text) AS STRING), '","confidence_score":', CAST(turn AS STRING), '}')
+   WHEN 1 THEN concat('```json', chr(10), '{"why_dangerous":"', role, '",', chr(10), '"fixed_code":"a {b} [c]"}', chr(10), '```')
+   WHEN 2 THEN concat('Sure: {"why_dangerous":"', role, '","confidence_score":"high"} hope it helps')
+   WHEN 3 THEN concat('Found [{"why_dangerous":"first"}, {"why_dangerous":"', role, '"}, 7] in all')
+   WHEN 4 THEN concat('{"why_dangerous":"', role, '"')
+   WHEN 5 THEN ''
+   WHEN 6 THEN NULL
+   WHEN 7 THEN concat('  [{"explanation":"', CAST(length(text) AS STRING), '"}]  ')
+   ELSE concat('no answer for ', role) END AS body
+FROM conversations
+"""
+
+
 def register_base_views(spark: SparkSession, sf_dir: str, tables=BASE_TABLES) -> None:
     for t in tables:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)

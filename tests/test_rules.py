@@ -105,5 +105,5 @@ def test_report_sink_roundtrip(spark, tmp_path):
     A.report_sink(f, scores, str(tmp_path / "report"))
     A.rules_sink(B.rules_all(spark), str(tmp_path / "rules"))
     back = spark.read.json(str(tmp_path / "report" / "scores"))
-    assert sorted((r.repo, r.score) for r in back.select("repo", "score").collect()) == [("r1", 90), ("r2", 100)]
+    assert sorted((r.repo, r.score) for r in back.select("repo", "report.score").collect()) == [("r1", 90), ("r2", 100)]
     assert spark.read.json(str(tmp_path / "rules")).count() == 71
