@@ -21,23 +21,24 @@ HIT = "struct<rule_id:string,line_no:int,col:int,severity:string,cap:string,pass
 SOFT, MARK = "\ue000", "\ue001"
 DEPTH = 8
 
-IDENT = r"[A-Za-z_$][\w$]*"
+IDENT = r"[A-Za-z_$][\w$]*+"
 FREE = r"(?<![\w$.])"  # not within a name or behind a dot
-STRING = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
-TEMPLATE = r"`(?:[^`\\]|\\.)*+`"
+# runs are possessive and loops go from one special character to the next, so long texts need no deep recursion
+STRING = r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
+TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 #: strings that are not closed end with their line; templates must be closed
-TOKEN = (r"""(?s)"(?:[^"\\\n]|\\[^\n])*+(?:"|(?=\n)|\z|\\)|'(?:[^'\\\n]|\\[^\n])*+(?:'|(?=\n)|\z|\\)|`(?:[^`\\]|\\.)*+`"""
-         r"""|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/""")
+TOKEN = (r""""[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+(?:"|(?=\n)|\z|\\)|'[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+(?:'|(?=\n)|\z|\\)|"""
+         + TEMPLATE + r"""|//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/""")
 END = r"\s*(?:[,);]|\z)"
 
 
 def _nested(depth: int) -> str:
     inner = f"|{_nested(depth - 1)}" if depth else ""
-    return rf"""[(\[{{](?:[^()\[\]{{}}"'`]|{STRING}|{TEMPLATE}{inner})*+[)\]}}]"""
+    return rf"""[(\[{{](?:[^()\[\]{{}}"'`]++|{STRING}|{TEMPLATE}{inner})*+[)\]}}]"""
 
 
 NESTED = _nested(DEPTH)
-ARGUMENT = rf"""(?:[^()\[\]{{}},"'`]|{STRING}|{TEMPLATE}|{NESTED})*+"""
+ARGUMENT = rf"""(?:[^()\[\]{{}},"'`]++|{STRING}|{TEMPLATE}|{NESTED})*+"""
 
 EVAL = FREE + r"eval\s*\("
 TIMER = FREE + r"""(?:setTimeout|setInterval)\s*\(\s*["'`]"""
@@ -47,7 +48,7 @@ WRITE = FREE + rf"document\s*\.\s*(?:write|writeln)\s*\((?!\s*\))(?!\s*(?:{STRIN
 FILES = FREE + rf"(?:fs|promises|fsPromises)\s*\.\s*(?:{'|'.join(K.FS_METHODS)})\s*\((?!\s*\))(?!\s*(?:{STRING}|`[^`$]*`)\s*(?:[,)]|\z))"
 JOIN = FREE + r"(?:path|nodePath)\s*\.\s*join\s*\(([^)]*)"
 JOIN_PART = rf"^\s*{IDENT}(\s*\.\s*{IDENT})*\s*(\(.*)?$"
-RANDOM = rf"(?:({IDENT})\s*[:=]\s*)?Math\s*\.\s*random\s*\(\s*\)(?=(\s*(?:[;,)}}\]]|\n|\z))?)"
+RANDOM = rf"(?:(?<![\w$])({IDENT})\s*+[:=]\s*+)?Math\s*\.\s*random\s*\(\s*\)(?=(\s*(?:[;,)}}\]]|\n|\z))?)"
 RANDOM_CONTEXT = "(?i)(" + "|".join(K.RANDOM_CONTEXT_NAMES) + ")"
 SQL = rf"\.\s*(?:{'|'.join(K.SQL_METHODS)})\s*\((?=({ARGUMENT}))"
 #: a destructuring (its names in group 1, its value in 2), or a declaration or assignment (3 keyword, 4 name, 5 value)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from secscan.functions.regex import spark_literal as q
 from secscan.sources import catalogue as K
 
-#: a dotted name and its opening bracket
-P_CALL = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\s*\("
+#: a dotted name and its opening bracket; possessive, and not from within a name
+P_CALL = r"(?<![A-Za-z_])([A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)*+)\s*+\("
 P_ASSERT = r"^\s*assert\s+(.*)$"
 DYNAMIC, GUARD = "AST-PY-SQL001", "AST-PY-ASSERT001"
 SINK = "array<struct<name:string,tail:string,id:string,severity:string>>"

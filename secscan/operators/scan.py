@@ -98,11 +98,13 @@ def content_hits(rules: str) -> Column:
         x -> named_struct('rule_id', r.id, 'line_no', x.n, 'col', x.at - 1, 'severity', r.severity, 'cap', '', 'pass', 2))))""")
 
 
-def first_per_line(hits: Column) -> Column:
-    """C16 within a file: of several findings of a rule on a line the one of the earlier pass, then column, stays."""
+def first_per_line(df: DataFrame, hits: Column) -> DataFrame:
+    """C16 within a file: column _hits with, of several findings of a rule on a line, the one of the earlier pass, then
+    column."""
     order = F.array_sort(F.transform(hits, lambda h: F.struct(
         h["rule_id"].alias("rule_id"), h["line_no"].alias("line_no"), h["pass"].alias("pass"), h["col"].alias("col"), h["severity"].alias("severity"), h["cap"].alias("cap"))))
-    return F.filter(order, lambda h, i: (i == 0) | (F.get(order, i - 1)["rule_id"] != h["rule_id"]) | (F.get(order, i - 1)["line_no"] != h["line_no"]))
+    return fixed(fixed(df, _order=order), _hits=F.expr(
+        "filter(_order, (h, i) -> i = 0 OR get(_order, i - 1).rule_id != h.rule_id OR get(_order, i - 1).line_no != h.line_no)"))
 
 
 def context(n: str, before: int, after: int) -> str:
@@ -121,9 +123,16 @@ def own_line(n: str) -> str:
 
 
 def _rows(df: DataFrame, engine: str, rules: list[K.Rule], snippet: str, keep_cap: bool = False) -> DataFrame:
-    """Finding rows from column _hits."""
-    hit = df.select("repo", "path", F.explode(F.expr(f"transform(_hits, h -> {with_field('h', HIT_FIELDS, 'snippet', snippet)})")).alias("h"))
-    row = fixed(hit.select("repo", "path", "h.*"), m=F.try_element_at(meta_column(rules), F.col("rule_id")))
+    """Finding rows from column _hits; ``snippet`` is SQL over h, a hit.
+
+    Hits are put together by line, so the context of a line is made once, however many findings are on it."""
+    df = fixed(df.select("repo", "path", "_lines", F.array_sort(F.transform("_hits", lambda h: F.struct(
+        h["line_no"].alias("line_no"), h["pass"].alias("pass"), h.alias("h")))).alias("_sorted")), _starts=F.expr(
+        "filter(sequence(0, size(_sorted) - 1), i -> i = 0 OR get(_sorted, i).line_no != get(_sorted, i - 1).line_no OR get(_sorted, i).pass != get(_sorted, i - 1).pass)"))
+    groups = F.expr(f"""transform(transform(_starts, (s, k) -> struct(s AS s, get(_sorted, s) AS h, coalesce(get(_starts, k + 1), size(_sorted)) AS z)),
+        g -> named_struct('hs', slice(_sorted, g.s + 1, g.z - g.s), 'snippet', transform(array(g.h), h -> {snippet})[0]))""")
+    hit = df.select("repo", "path", F.inline(groups)).select("repo", "path", F.explode("hs.h").alias("h"), "snippet")
+    row = fixed(hit.select("repo", "path", "h.*", "snippet"), m=F.try_element_at(meta_column(rules), F.col("rule_id")))
     message = F.replace(F.replace(F.col("m.message"), F.lit("{line}"), F.col("line_no").cast("string")), F.lit("{1}"), F.coalesce("cap", F.lit("")))
     return row.select(F.lit(engine).alias("engine"), "repo", "path", "line_no", "col", "rule_id", F.col("m.name").alias("rule_name"), "severity",
                       message.alias("message"), F.col("m.cwe").alias("cwe"), F.col("m.owasp").alias("owasp"), F.col("m.remediation").alias("remediation"),
@@ -172,9 +181,10 @@ def scan_p(files: DataFrame, rules: list[K.Rule], parts=("ext", "content", "py")
                _whole=rule_column(_by_scope(rules, "content") if "content" in parts else []))
     hits = [_matching("_raw", "_rules", "array_contains(r.exts, _ext)"), content_hits("_whole")]
     if "py" in parts:
-        df = fixed(df, _code=F.when(F.col("_ext") == "py", A.code_lines(A.split_lines(F.col("_content"), "T"), "hash")).otherwise(_none("struct<n:int,l:string>")))
+        df = fixed(df, _feeds=F.when(F.col("_ext") == "py", A.split_lines(F.col("_content"), "T")))
+        df = fixed(df, _code=F.when(F.col("_ext") == "py", A.code_lines(F.col("_feeds"), "hash")).otherwise(_none("struct<n:int,l:string>")))
         hits.append(PY.hits("_code", [r for r in rules if r.scope == "pyfact"]))
-    df = fixed(df, _hits=first_per_line(F.concat(*hits))).filter("size(_hits) > 0")
+    df = first_per_line(df, F.concat(*hits)).filter("size(_hits) > 0")
     return _rows(df, "P", rules, f"if(h.pass = 2, {own_line('h.line_no')}, {context('h.line_no', 3, 3)})")
 
 
