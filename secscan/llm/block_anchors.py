@@ -94,6 +94,7 @@ def block_hits(docs: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
             yield from P.pack(ids[row[ok]], h[ok], bits, KEY_BYTES, fixed[ok])
 
     def meet(rows: pa.Table) -> pa.Table:
+        P.give_back()
         doc, key, fixed, _ = P.unpack(rows)
         order, cut, run = P.by_key(key)
         d, f = doc[order], fixed[order]
@@ -135,6 +136,7 @@ def candidates(table: pa.Table, answers: pa.Table, bits: int, window: int, block
 def later_windows(sent: DataFrame, answers: DataFrame, bits: int, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Answer bits, per group and bucket in the order sent: which candidate windows a smaller document has too."""
     def send(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        P.give_back()
         table = P.opened(left)
         got = []
         if table is not None:
@@ -143,6 +145,7 @@ def later_windows(sent: DataFrame, answers: DataFrame, bits: int, window: int =
         return pa.Table.from_batches(got, schema=P._ENTRIES)
 
     def meet(rows: pa.Table) -> pa.Table:
+        P.give_back()
         doc, key, _, row = P.unpack(rows)
         order, cut, run = P.by_key(key)
         d = doc[order]
@@ -219,6 +222,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
     fields = to_arrow_schema(schema)
 
     def cut(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        P.give_back()
         table = P.opened(left)
         if table is None:
             return fields.empty_table()

@@ -8,6 +8,8 @@ doc_id), where they meet the texts again.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -224,8 +226,20 @@ def ids_of(batch) -> tuple[np.ndarray, np.ndarray]:
     return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), there
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays for the tasks and steps that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator[pa.Table]:
     """Batches put together, or cut, to about ``size`` bytes of text; a longer text is a chunk of its own."""
+    yield from _chunks(batches, text, size)
+    give_back()
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator[pa.Table]:
     held, n = [], 0
     for b in batches:
         lengths = pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
