@@ -184,11 +184,13 @@ def difference(x: bytes, c: bytes) -> np.ndarray:
 
 @F.pandas_udf(T.LongType())
 def _common(x: pd.Series, y: pd.Series) -> pd.Series:
+    P.give_back()
     return pd.Series([common(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _difference(x: pd.Series, y: pd.Series) -> pd.Series:
+    P.give_back()
     return pd.Series([difference(a, b) for a, b in zip(x, y, strict=True)])
 
 
@@ -206,6 +208,15 @@ def measured(groups: DataFrame, sets: DataFrame) -> DataFrame:
         return written(with_bags(groups, sets, "node", "c").select("c", "node", "n", "n_c", (F.col("n") + F.col("n_c") - 2 * c).alias("d")), "compared")
 
 
+def remeasured(groups: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """``measured``, but for the pairs that ``known`` has already, and the centres themselves."""
+    done = known.select(F.col("c").alias("_c"), F.col("node").alias("_n"), "d")
+    rows = written(groups.join(done, (F.col("c") == F.col("_c")) & (F.col("node") == F.col("_n")), "left").select(
+        "c", "node", "n", "n_c", F.when(F.col("c") == F.col("node"), 0).otherwise(F.col("d")).alias("d")), "groups-known")
+    new = measured(rows.filter("d IS NULL").drop("d"), sets)
+    return written(rows.filter("d IS NOT NULL").union(new.select(*rows.columns)), "compared")
+
+
 def _linked(ratio: float) -> Column:
     """Whether a document reaches the threshold with its centre; a little slack for the ratio's last bits."""
     return F.col("d") <= ratio * (F.col("n") + F.col("n_c")) + 1e-9
@@ -287,18 +298,21 @@ def near_classes(docs: DataFrame, copies: DataFrame, threshold: float, size: int
     spark, ratio = docs.sparkSession, (1 - threshold) / (1 + threshold)
     with small_batches(spark, 2048):
         keys = written(band_keys(docs, bands, rows, size).join(copies.select("node"), "node", "left_anti"), "bands")
-    centre = keys.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.min_by(
-        F.struct(F.col("node").alias("c"), F.col("n").alias("n_c")), F.xxhash64("node")).alias("_z")).filter("_lo < _hi")
-    groups = written(keys.join(centre.select("key", "_z.c", "_z.n_c"), "key").select("c", "node", "n", "n_c").distinct(), "groups")
-    discard(keys)
+    # most keys are of one document: they go first, by two running bounds per key
+    many = written(keys.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("key"), "shared-bands")
+    live = written(keys.join(many, "key"), "open-bands")
+    discard(keys, many)
+    centre = live.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("c"), F.col("n").alias("n_c")), F.xxhash64("node")).alias("_z"))
+    groups = written(live.join(centre.select("key", "_z.c", "_z.n_c"), "key").select("c", "node", "n", "n_c").distinct(), "groups")
+    discard(live)
     with small_batches(spark, 2048):
         sets = written(bags(docs.join(groups.select("node").distinct(), "node", "left_semi"), size).join(copies.select("node"), "node", "left_anti"), "bags")
     first = measured(groups.filter("node != c"), sets)
     comp = merged(None, first.filter(_linked(ratio)).select(F.col("c").alias("a"), F.col("node").alias("b")))
-    discard(first)
     left = open_groups(groups, comp)
     discard(groups)
-    around = measured(regrouped(left, comp), sets)
+    around = remeasured(regrouped(left, comp), first, sets)
+    discard(first)
     comp = merged(comp, around.filter(_linked(ratio)).filter("node != c").select(F.col("c").alias("a"), F.col("node").alias("b")))
     s = F.col("d") - ratio * F.col("n")
     least = around.groupBy("c").agg(F.min_by(F.struct("node", s.alias("s")), F.struct(s, "node")).alias("_m"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secscan.llm.common import written
+from secscan.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,12 +18,16 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
         "node", F.least("node", "m").alias("label")), "labels")
     if labels.isEmpty():
+        discard(both)
         return labels
+    last = labels
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "m").alias("m"))
         up = labels.select(F.col("node").alias("m"), F.col("label").alias("up"))
         new = written(step.join(up, "m").select("node", F.col("label").alias("old"), F.least("m", "up").alias("label")), "labels")
-        labels = new.select("node", "label")
+        discard(last)
+        labels, last = new.select("node", "label"), new
         if new.filter("label < old").isEmpty():
+            discard(both)
             return labels
