@@ -12,14 +12,18 @@ once, twice, more often, and a(w) the number of different words before w,
 The first word follows a start mark, and each text ends with an end token that is predicted and counted like a word.
 An unseen context leaves p(w); an unseen word has the last term only.
 
-Defined results: null and empty texts are the end token alone.  Rows are scored one by one, repeated ids included.
-Without training texts every token has probability 1.
+Counts have 64 bits.  Words are numbered with 32: a corpus with more than 4.29e9 different words is an error.
+
+Defined results: null and empty texts are the end token alone; a very long text is a chunk of its own; rows are scored
+one by one, repeated ids included; a null id counts as the empty text in the split, so such rows are trained on; without
+training texts (an empty table) every token has probability 1; only doc_id and text are read, whatever other columns
+are called.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +37,8 @@ from secscan.llm import packed as P
 from secscan.llm.common import new_path, written
 
 CHUNK = 8 << 20
+#: files a task has open, however many buckets there are
+MOST_OPEN = 128
 END = P.U(0x5E0FD0C5E0FD0C55)
 
 COUNTS = "bucket int, n int, keys binary, counts binary"
@@ -76,23 +82,30 @@ def save(folder: str, name: str, values: np.ndarray) -> None:
 
 
 class Arrays:
-    """Memory-mapped arrays of a folder; files of a remote store are fetched once per worker."""
+    """Arrays of a folder, memory-mapped where it is a local mount and read whole (a bucket's size) where it is not; at
+    most ``MOST_OPEN`` are held at a time, those used last."""
 
     def __init__(self, folder: str) -> None:
         self.store, self.root = fs.FileSystem.from_uri(folder)
-        self.here, self.open = None, {}
+        self.open: OrderedDict[str, np.ndarray] = OrderedDict()
 
     def get(self, name: str, kind) -> np.ndarray:
-        if name not in self.open:
-            path = f"{self.root}/{name}"
-            if not isinstance(self.store, fs.LocalFileSystem):
-                self.here = self.here or tempfile.mkdtemp()
-                local = f"{self.here}/{name}"
-                fs.copy_files(path, local, source_filesystem=self.store, destination_filesystem=fs.LocalFileSystem())
-                path = local
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        while len(self.open) >= MOST_OPEN:
+            self.open.popitem(last=False)
+        path = f"{self.root}/{name}"
+        if isinstance(self.store, fs.LocalFileSystem):
             there = os.path.exists(path) and os.path.getsize(path)
-            self.open[name] = np.memmap(path, kind, "r") if there else np.zeros(0, kind)
-        return self.open[name]
+            found = np.memmap(path, kind, "r") if there else np.zeros(0, kind)
+        elif self.store.get_file_info(path).type == fs.FileType.File:
+            with self.store.open_input_file(path) as f:
+                found = np.frombuffer(f.read(), kind)
+        else:
+            found = np.zeros(0, kind)
+        self.open[name] = found
+        return found
 
 
 def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +153,7 @@ class Model:
             if len(known):
                 i = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
                 hit = known[i] == keys[at]
-                counts[at[hit]] = files.get(f"pair-counts-{b}", np.uint32)[i[hit]]
+                counts[at[hit]] = files.get(f"pair-counts-{b}", P.U)[i[hit]]
         return counts
 
     def facts(self, files: Arrays, numbers: np.ndarray, name: str, kind) -> np.ndarray:
@@ -182,7 +195,7 @@ def training(docs: DataFrame) -> Column:
 def _seen(kind: str, bucket: int, totals=(0, 0, 0, 0), ids=None, values=()) -> dict:
     row = {"kind": kind, "bucket": bucket, "n": 0 if ids is None else len(ids), **dict(zip("abcd", map(int, totals), strict=True)),
            "ids": None if ids is None else P.planes(ids.astype(P.U)), "v0": None, "v1": None, "v2": None, "v3": None}
-    return row | {f"v{i}": P.planes(v.astype(np.uint32)) for i, v in enumerate(values)}
+    return row | {f"v{i}": P.planes(v.astype(P.U)) for i, v in enumerate(values)}
 
 
 def learn(docs: DataFrame) -> Model:
@@ -222,7 +235,7 @@ def learn(docs: DataFrame) -> Model:
         bucket = rows["bucket"][0].as_py()
         keys, counts = merged(rows)
         save(folder, f"pairs-{bucket}", keys)
-        save(folder, f"pair-counts-{bucket}", counts.astype(np.uint32))
+        save(folder, f"pair-counts-{bucket}", counts)
         u, w = (keys >> P.U(32)).astype(np.int64), (keys & P.U(0xFFFFFFFF)).astype(np.int64)
         out = [_seen("pair-counts", bucket, [np.count_nonzero(counts == P.U(k)) for k in (1, 2, 3, 4)])]
         cut = np.flatnonzero(np.diff(u, prepend=-1))
@@ -244,7 +257,7 @@ def learn(docs: DataFrame) -> Model:
             at = (P.from_planes(r["ids"], r["n"]) - P.U(s * model.slice_size)).astype(np.int64)
             names = ("total", "one", "two", "more") if r["kind"] == "context" else ("before",)
             for i, name in enumerate(names):
-                facts[name][at] += P.from_planes(r[f"v{i}"], r["n"], np.uint32)  # ids are distinct within a row
+                facts[name][at] += P.from_planes(r[f"v{i}"], r["n"]).astype(np.int64)  # ids are distinct within a row
         for name, values in facts.items():
             save(folder, f"{name}-{s}", values)
         b = facts["before"]
