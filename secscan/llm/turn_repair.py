@@ -41,6 +41,7 @@ END_EDITS = ("", "IuIa", "Ia", "")
 FAR = 1 << 60
 STRETCH = 32
 BATCH_ROWS = 1024
+TASK_ROWS = 8192
 FINE, CUT, GO = 0, 1, 2
 BLANK, DUPLICATE, SHORT = 1, 2, 3
 
@@ -184,6 +185,13 @@ def lattice(rows: DataFrame) -> DataFrame:
     return written(narrow.select("conv_id", F.shiftright("place", 33).alias("part"), "place", code.alias("code"), "fault"), "turn-lattice")
 
 
+def spread(rows: DataFrame, n: int) -> DataFrame:
+    """Segments dealt over as many tasks as ``n`` rows are worth: the work is per row, and the rows are too small for
+    their bytes to say so."""
+    most = max(200, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(max(1, min(most, n // TASK_ROWS)), "conv_id", "part")
+
+
 def _codes(rows: pa.Table) -> tuple[pa.Table, list[int]]:
     rows = rows.sort_by("place")
     return rows, rows.column("code").to_pylist()
@@ -209,8 +217,8 @@ def segment_ends(narrow: DataFrame, kind: str) -> DataFrame:
         return pd.DataFrame({"conv_id": rows["conv_id"], "part": rows["part"], "ends": [[int(x) for x in e] for e in ends[::-1]],
                              "head": [i == 0 for i in range(n)], "tail": [i == n - 1 for i in range(n)]})
 
-    parts = narrow.join(several, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi")
-    between = parts.groupBy("conv_id", "part").applyInArrow(measure, f"conv_id {kind}, part bigint, between array<bigint>")
+    parts = written(narrow.join(several, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi"), "turn-parts")
+    between = spread(parts, parts.count()).groupBy("conv_id", "part").applyInArrow(measure, f"conv_id {kind}, part bigint, between array<bigint>")
     return written(between.groupBy("conv_id").applyInPandas(combine, f"conv_id {kind}, part bigint, ends array<bigint>, head boolean, tail boolean"), "turn-ends")
 
 
@@ -232,7 +240,7 @@ def edited(narrow: DataFrame, kind: str) -> DataFrame:
         return pa.table([rows.column("conv_id"), rows.column("part"), rows.column("place"), rows.column("fault").cast(pa.int32()), each, to,
                          pa.array([head and tail] * n)], names=["conv_id", "part", "place", "fault", "ways", "to", "whole"])
 
-    ways = written(rows.groupBy("conv_id", "part").applyInArrow(
+    ways = written(spread(rows, narrow.count()).groupBy("conv_id", "part").applyInArrow(
         follow, f"conv_id {kind}, part bigint, place bigint, fault int, ways array<string>, to array<int>, whole boolean"), "turn-ways")
 
     def enter(rows: pd.DataFrame) -> pd.DataFrame:
