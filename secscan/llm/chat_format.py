@@ -7,7 +7,7 @@ template that marks turns and escapes control strings, and given a run-length lo
 Defined results: null texts and roles are empty; records of a layout nobody declared keep ``layout`` null and add no
 turns (``survey`` counts them); records of a conversation with equal sequence numbers are ordered by their turns;
 null sequence numbers come first; a null conversation id is a conversation of its own.  A conversation is one output
-row, so its text must fit one row, as must its two digests.
+row, so its text must fit one row, as must its two digests.  No rows give no conversations.
 """
 
 from __future__ import annotations

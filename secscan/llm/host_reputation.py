@@ -10,7 +10,8 @@ The suffix is the last label and the registered domain the last two, unless the
 
 Defined results: null urls and urls without ``://`` have empty host and path; the empty host is its own domain and
 suffix.  Hosts without labels get their domain's prior.  A page with several label rows is bad if any row says so;
-label rows with neither value do not count.  Without any label the overall rate is 0 and nothing is blocked.
+label rows with neither value do not count.  Without any label the overall rate is 0 and nothing is blocked.  No
+pages give no rows; repeated page_ids are rows of their own.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Each leaf turns its budget into whole epochs plus a prefix, by tokens, of one mo
 Defined results: null texts have no tokens; null tree columns are a child of their own; weights that are missing
 are 1, and 0 or less gives nothing; documents without tokens are taken with every full epoch and in a prefix as long as the running
 total before them is below the leaf's remainder.  Repeated doc_ids are ordered by their text's hash and stay separate
-rows.  All budgets are integers, rounded down, so at most one token per child is left over.
+rows.  All budgets are integers, rounded down, so at most one token per child is left over.  An empty table gives an
+empty mix; a very long text is one row with its tokens.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ the distinct bit patterns, so neither touches a text again.
 
 Defined results: a null or empty text has no words, no lines and measurements of 0.  Repeated doc_ids are separate
 rows.  Extra columns are not read; ``keep`` names those to carry.  An empty table gives an empty ledger.
+A very long text is one row of words.
 """
 
 from __future__ import annotations

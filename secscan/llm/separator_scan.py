@@ -10,7 +10,8 @@ of separators before it and the place of the last one.  The scan has two steps,
 
 Defined results: two separators in a row are an empty document (null and empty texts are written so); tokens after
 the last separator are a last document with ``closed`` false; an empty file has no documents; a file whose size is
-no multiple of the token width is an error.
+no multiple of the token width is an error; a very long document spans blocks like any other.  ``count_tokens`` tells
+documents apart by file and place, so ids may be null or repeated, each row has its own count; an empty table has none.
 """
 
 from __future__ import annotations

@@ -37,6 +37,23 @@ def block_anchors(docs: list[tuple], window: int = 13) -> dict:
     return out
 
 
+def without_repeats(docs: list[tuple], window: int = 13) -> dict:
+    """doc_id -> the text without the words of windows that a smaller doc_id has too; None if no word is left."""
+    first: dict = {}
+    for d, t in sorted(docs, key=lambda r: r[0]):
+        w = words(t)
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i:i + window]), d)
+    out = {}
+    for d, t in docs:
+        w, gone = words(t), set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i:i + window])] < d:
+                gone.update(range(i, i + window))
+        out[d] = t if not gone else None if len(gone) == len(w) else " ".join(x for i, x in enumerate(w) if i not in gone)
+    return out
+
+
 def suffix_buckets(docs: list[tuple], length: int = 100) -> dict:
     """doc_id -> (n_bytes, n_removed, n_spans, digest of the kept bytes); ids must be distinct."""
     seen: set = set()

@@ -392,4 +392,45 @@ def test_pipeline_keeps_one_copy_and_clean_documents(spark, small):
     near = {r.doc_id for r in corpus_pipeline.near_dedup(spark, kept, SF).select("doc_id").collect()}
     want = brute.near_classes([(r.doc_id, r.text) for r in kept.collect()])
     assert near == {d for d, c in want.items() if d == c}
-    assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+def test_pipeline_equals_a_plain_run_of_all_stages(spark, tmp_path):
+    """Ids, texts and copies after each stage: quality, leaks and mix by their SQL, near classes and repeats by brute force."""
+    import duckdb
+
+    import corpus_pipeline
+    con = duckdb.connect()
+    docs = con.execute(f"SELECT * FROM read_parquet('{SF}/documents.parquet')").fetchdf()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{SF}/benchmark.parquet')")
+
+    def sql(name, rows):
+        con.register("documents", rows)
+        return con.execute(queries.ORACLES[name]).fetchdf()
+
+    got = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, SF)
+        seen.append({r.doc_id: (r.text, r.n_chars) for r in got.collect()})
+        got = spark.createDataFrame(got.collect(), got.schema)
+
+    def state(rows):
+        return {r.doc_id: (r.text, r.n_chars) for r in rows.itertuples()}
+
+    good = sql("op1_quality_rules", docs)
+    docs = docs[docs.doc_id.isin(good[good.kept].doc_id)].copy()
+    assert seen[0] == state(docs)
+    label = brute.near_classes(list(zip(docs.doc_id.tolist(), docs.text.tolist())))
+    docs = docs[[label[d] == d for d in docs.doc_id.tolist()]].copy()
+    assert seen[1] == state(docs)
+    cut = brute.without_repeats(list(zip(docs.doc_id.tolist(), docs.text.tolist())))
+    docs = docs[[cut[d] is not None for d in docs.doc_id.tolist()]].copy()
+    changed = [cut[d] != t for d, t in zip(docs.doc_id.tolist(), docs.text.tolist())]
+    docs["text"] = [cut[d] for d in docs.doc_id.tolist()]
+    docs["n_chars"] = [len(t) if c else n for t, n, c in zip(docs.text.tolist(), docs.n_chars.tolist(), changed)]
+    assert seen[2] == state(docs) and any(changed)
+    leaks = sql("op3_decontamination", docs)
+    docs = docs[~docs.doc_id.isin(leaks.doc_id)].copy()
+    assert seen[3] == state(docs)
+    ok, msg = compare(corpus_pipeline.run(spark, SF).toPandas(), sql("op6_mixing", docs))
+    assert ok, msg
