@@ -104,15 +104,16 @@ def stored_rows(rows: DataFrame, ttl_ms: int, key: str = "key", ts_ms: str = "ts
     bucket = F.floor(t / F.lit(ttl_ms)).cast("bigint")
     here = nodes.select("k", "t", bucket.alias("b"), t.alias("node"), F.lit(None).cast("bigint").alias("asks"))
     ask = nodes.select("k", (t + ttl_ms).alias("t"), (bucket + 1).alias("b"), F.lit(None).cast("bigint").alias("node"), t.alias("asks"))
-    # at one time the row that asks comes before the row that answers
-    after = Window.partitionBy("k", "b").orderBy("t", F.col("node").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    asked = here.union(ask).withColumn("next", F.first("node", ignorenulls=True).over(after)).filter("asks IS NOT NULL")
+    # windows run backwards in time: a frame that is open ahead would be read again for every row.  Of rows at one time
+    # the one that answers comes before the one that asks
+    after = Window.partitionBy("k", "b").orderBy(F.desc("t"), F.col("node").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
+    asked = here.union(ask).withColumn("next", F.last("node", ignorenulls=True).over(after)).filter("asks IS NOT NULL")
     asked = stored(asked.select("k", "b", F.col("asks").alias("t"), "next"), "cache-asked")
     heads = nodes.groupBy("k", bucket.alias("b")).agg(F.min("t").alias("head"))
     wanted = asked.filter("next IS NULL").select("k", "b").distinct().withColumn("want", F.lit(True))
     line = heads.withColumn("want", F.lit(False)).unionByName(wanted, allowMissingColumns=True)
-    later = Window.partitionBy("k").orderBy("b").rangeBetween(1, Window.unboundedFollowing)
-    ahead = line.withColumn("next_head", F.first("head", ignorenulls=True).over(later)).filter("want").select("k", "b", "next_head")
+    later = Window.partitionBy("k").orderBy(F.desc("b")).rangeBetween(Window.unboundedPreceding, -1)
+    ahead = line.withColumn("next_head", F.last("head", ignorenulls=True).over(later)).filter("want").select("k", "b", "next_head")
     jump = asked.join(ahead, ["k", "b"], "left").select("k", "t", F.coalesce("next", "next_head").alias("to")).filter("to IS NOT NULL")
     first = nodes.groupBy("k").agg(F.min("t").alias("t"))
     # only rows that something points to can be stored, apart from the first ones

@@ -109,6 +109,21 @@ def test_stored_rows_are_a_chain(spark):
     assert I.stored_rows(spark.createDataFrame([], "key string, ts_ms bigint, event_id int"), 10).count() == 0
 
 
+def test_stored_rows_read_no_frame_again(spark, monkeypatch):
+    """A window frame that is open ahead costs the square of its rows: none is left, also not over the times of one key."""
+    plans, keep = [], I.stored
+    monkeypatch.setattr(I, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString().lower()), keep(df, name))[1])
+    rows = [("hot", 100 * i + (i % 3), i) for i in range(60)] + [("hot", 100 * i, 1000 + i) for i in range(60)] + [(None, 5, 1)]
+    got = I.stored_rows(spark.createDataFrame(rows, "key string, ts_ms bigint, event_id int"), 250)
+    want, last = [], None
+    for t, i in sorted((t, i) for k, t, i in rows if k):
+        if last is None or t - last >= 250:
+            last = t
+            want.append((t, i))
+    assert sorted((r.ts_ms, r.event_id) for r in got.collect() if r.key) == want
+    assert sum("window [" in p for p in plans) >= 2 and not any("unboundedfollowing" in p for p in plans)
+
+
 def test_a_large_repository_is_written_by_many_tasks(spark, tmp_path):
     rows = [("big" if i % 3 else f"r{i}", f"p{i % 500}", i, f"R{i % 7}") for i in range(9000)]
     found = spark.createDataFrame(rows, "repo string, path string, line_no int, rule_id string")
