@@ -29,8 +29,13 @@ def _map_lookup(key: Column, mapping: dict, default=None) -> Column:
     return expr
 
 
-def severity_counts() -> list[Column]:
-    return [F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).cast("bigint").alias(c)
+def _each(findings: DataFrame) -> Column:
+    """How many findings a row stands for: ``n`` where they come counted."""
+    return F.col("n") if "n" in findings.columns else F.lit(1)
+
+
+def severity_counts(each: Column | int = 1) -> list[Column]:
+    return [F.sum(F.when(F.col("severity") == s, each).otherwise(0)).cast("bigint").alias(c)
             for s, c in SEV_COLS.items()]
 
 
@@ -39,15 +44,17 @@ def severity_summary(findings: DataFrame, by=("repo",)) -> DataFrame:
     return findings.groupBy(*by).agg(*severity_counts(), F.count(F.lit(1)).cast("bigint").alias("total"))
 
 
-def _penalty(weights: dict, default: int = 1) -> Column:
-    return F.sum(_map_lookup(F.col("severity"), weights, default)).cast("bigint")
+def _penalty(weights: dict, default: int = 1, each: Column | int = 1) -> Column:
+    return F.sum(_map_lookup(F.col("severity"), weights, default) * each).cast("bigint")
 
 
 # ---------------------------------------------------------------- E2
 def density_score(findings: DataFrame, file_counts: DataFrame, threshold: int = 70) -> DataFrame:
     """Engine T score per repo.  ``file_counts``: (repo, files) including
-    skipped files.  Repos without findings score 100."""
-    pen = findings.groupBy("repo").agg(_penalty(K.DENSITY_PENALTY).alias("raw_penalty"), *severity_counts())
+    skipped files.  Repos without findings score 100.  Findings may come counted, as
+    (repo, severity, n)."""
+    each = _each(findings)
+    pen = findings.groupBy("repo").agg(_penalty(K.DENSITY_PENALTY, each=each).alias("raw_penalty"), *severity_counts(each))
     j = file_counts.join(pen, "repo", "left").fillna(0, subset=["raw_penalty", *SEV_COLS.values()])
     norm = F.greatest(F.lit(1.0), F.log10(F.col("files").cast("double") + 1))
     clamped = F.least(F.lit(100.0), F.col("raw_penalty") / norm)
@@ -154,7 +161,7 @@ def findings_by_line(findings: DataFrame, order_col: str = "rule_id", hint_chars
 
 def code_vs_dependency(findings: DataFrame, dependency_rule: str = "CWE-1104") -> DataFrame:
     kind = F.when(F.col("cwe") == dependency_rule, F.lit("dependency")).otherwise(F.lit("code"))
-    return findings.groupBy("repo", kind.alias("kind")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return findings.groupBy("repo", kind.alias("kind")).agg(F.sum(_each(findings)).cast("bigint").alias("n"))
 
 
 def score_band(score: Column) -> Column:

@@ -95,7 +95,7 @@ _DEPENDENCY_RULES = [r.id for r in K.T_RULES if r.cwe == "CWE-1104"] + ["VG-SCA-
 SELECT repo, CASE WHEN rule_id IN {G.in_list(_DEPENDENCY_RULES)} THEN 'dependency' ELSE 'code' END AS kind, CAST(count(*) AS BIGINT) AS n
 FROM all_f GROUP BY ALL""", "code_files", "manifests", "advisory_records"))
 def q_code_vs_dependency(spark, sf_dir):
-    return E.code_vs_dependency(t_corpus(spark, sf_dir))
+    return E.code_vs_dependency(t_corpus(spark, sf_dir, ("repo", "cwe")))
 
 
 # ====================================================================== B2-B6
@@ -109,8 +109,8 @@ SELECT f.repo, t.tag, CAST(count(*) AS BIGINT) AS n FROM all_f f JOIN t USING (r
 def q_findings_by_tag(spark, sf_dir):
     """B3 at volume: findings per repository and tag of the rules that made them."""
     tags = B.rules_summary(B.rules_all(spark, K.T_RULES)).select(F.col("id").alias("rule_id"), F.explode("tags").alias("tag"))
-    found = t_corpus(spark, sf_dir).select("repo", "rule_id")
-    return found.join(F.broadcast(tags), "rule_id").groupBy("repo", "tag").agg(F.count(F.lit(1)).alias("n"))
+    found = t_corpus(spark, sf_dir, ("repo", "rule_id"))
+    return found.join(F.broadcast(tags), "rule_id").groupBy("repo", "tag").agg(F.sum("n").alias("n"))
 
 
 @register("scan_selected_rules", with_fixtures(f"""{P_ALL_SQL}
