@@ -195,7 +195,10 @@ def _difference(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def with_bags(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with the bags of the documents in columns a and b as _x and _y."""
+    """``pairs`` with the bags of the documents in columns a and b as _x and _y; other bags are not exchanged where the
+    pairs are few."""
+    need = pairs.select(F.col(a).alias("_need")).union(pairs.select(b)).distinct()
+    sets = sets.join(need, F.col("node") == F.col("_need"), "left_semi")
     x = sets.select(F.col("node").alias("_a"), F.col("bag").alias("_x"))
     y = sets.select(F.col("node").alias("_b"), F.col("bag").alias("_y"))
     return pairs.join(y, F.col(b) == F.col("_b")).join(x, F.col(a) == F.col("_a")).drop("_a", "_b")
@@ -311,6 +314,9 @@ def near_classes(docs: DataFrame, copies: DataFrame, threshold: float, size: int
     comp = merged(None, first.filter(_linked(ratio)).select(F.col("c").alias("a"), F.col("node").alias("b")))
     left = open_groups(groups, comp)
     discard(groups)
+    every, ends = sets, left.select("node").union(left.select("c")).distinct()
+    sets = written(every.join(ends, "node", "left_semi"), "open-bags")
+    discard(every)
     around = remeasured(regrouped(left, comp), first, sets)
     discard(first)
     comp = merged(comp, around.filter(_linked(ratio)).filter("node != c").select(F.col("c").alias("a"), F.col("node").alias("b")))

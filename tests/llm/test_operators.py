@@ -216,6 +216,22 @@ def _edited(n, edits, seed, size=120):
         yield d, " ".join(w[rng.randrange(8):])
 
 
+def test_only_bags_of_pairs_are_exchanged(spark):
+    """Pairs meet the bags they name; the many others are left out before any exchange."""
+    sets = spark.createDataFrame([(i, bytes([i % 250]) * 8) for i in range(2000)], "node bigint, bag binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 4), (5, -1)], "a bigint, b bigint")
+    got = bagminhash.with_bags(pairs, sets, "a", "b")
+    assert sorted((r.a, r.b, r._x[0], r._y[0]) for r in got.collect()) == [(1, 2, 1, 2), (1, 2, 1, 2), (1, 3, 1, 3), (4, 4, 4, 4)]
+    waiting = [got._jdf.queryExecution().optimizedPlan()]
+    joins = []
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "Join":
+            joins.append(node.joinType().toString())
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    assert sorted(joins) == ["Inner", "Inner", "LeftSemi", "LeftSemi"]
+
+
 @pytest.mark.parametrize("edits", [lambda d, r: d % 4, lambda d, r: 1 + d % 6, lambda d, r: r.randrange(3, 12)])
 def test_near_classes_of_one_template(spark, edits):
     """All documents share bands, but few pairs reach the threshold; classes are those of all pairs."""
