@@ -33,6 +33,8 @@ from secscan.llm.common import small_batches, written
 WINDOW, BLOCK = 13, 7
 KEY_BYTES = 5
 CHUNK = 8 << 20
+#: bytes of text that are hashed at a time
+SLICE = 1 << 20
 
 NOTES = "grp int, kind int, n int, docs binary, runs binary, keys binary"
 _NOTES = pa.schema([("grp", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()),
@@ -82,16 +84,24 @@ def are_copies(ids: np.ndarray, there: np.ndarray, texts: P.Texts, answers: pa.T
     return out
 
 
+def probes(table: pa.Table, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of ``block`` words in rows with a doc_id: the document, the hash, and whether it is a reference block."""
+    ids, there = P.ids_of(table)
+    w = P.Words.of(P.Texts.of(table["text"]))
+    word, row, h = w.windows(block)
+    ok = there[row]
+    fixed = (word - w.first[row]) % block == 0
+    return ids[row[ok]], h[ok], fixed[ok]
+
+
 def block_hits(docs: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     """Notes (doc, block hash) of probes that hit a smaller document's block, and of blocks hit from a larger one."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in P.chunks(batches, "text", CHUNK):
-            ids, there = P.ids_of(table)
-            w = P.Words.of(P.Texts.of(table["text"]))
-            word, row, h = w.windows(block)
-            ok = there[row]
-            fixed = (word - w.first[row]) % block == 0
-            yield from P.pack(ids[row[ok]], h[ok], bits, KEY_BYTES, fixed[ok])
+            # hashing takes many times the text: it goes by slices, of which only the entries are kept
+            parts = [probes(piece, block) for piece in P.chunks(table.to_batches(), "text", SLICE)]
+            yield from P.pack(*(np.concatenate(x) for x in zip(*(p[:2] for p in parts), strict=True)), bits, KEY_BYTES,
+                              np.concatenate([p[2] for p in parts]))
 
     def meet(rows: pa.Table) -> pa.Table:
         P.give_back()

@@ -159,10 +159,10 @@ def split(which: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(value, positions in order) for each value of ``which``, all below n."""
     if not len(which):
         return
-    kind = np.uint16 if n <= 1 << 16 else np.uint32
-    order = np.argsort(which.astype(kind), kind="stable")
+    which = which.astype(np.uint16 if n <= 1 << 16 else np.uint32, copy=False)
+    order = np.argsort(which, kind="stable")
     seen = which[order]
-    cut = np.flatnonzero(np.diff(seen, prepend=-1))
+    cut = np.append(0, np.flatnonzero(seen[1:] != seen[:-1]) + 1)
     for a, b in zip(cut, [*cut[1:], len(seen)], strict=True):
         yield int(seen[a]), order[a:b]
 
@@ -177,11 +177,11 @@ def pack(docs: np.ndarray, keys: np.ndarray, bits: int, width: int, flags: np.nd
     """One row per bucket: the top ``bits`` of a key name its bucket, the next ``width`` bytes are sent."""
     if not len(keys):
         return
-    low = (keys << U(bits)) >> U(64 - 8 * width)
     cols: list[list] = [[] for _ in _ENTRIES]
-    for bucket, at in split((keys >> U(64 - bits)).astype(np.int64), 1 << bits):
+    for bucket, at in split((keys >> U(64 - bits)).astype(np.uint32), 1 << bits):
         d, r = runs(docs[at])
-        row = (bucket, sender, part, len(at), planes(d), planes(r), planes(low[at], width),
+        low = (keys[at] << U(bits)) >> U(64 - 8 * width)
+        row = (bucket, sender, part, len(at), planes(d), planes(r), planes(low, width),
                b"" if flags is None else np.packbits(flags[at]).tobytes())
         for c, v in zip(cols, row, strict=True):
             c.append(v)

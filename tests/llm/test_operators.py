@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from secscan.llm import (bagminhash, block_anchors, chat_format, decontaminate, host_reputation, kneser_ney, mixing, queries,
-                         quality_rules, separator_scan, suffix_buckets)
+from secscan.llm import (bagminhash, block_anchors, chat_format, decontaminate, host_reputation, kneser_ney, mixing, packed,
+                         queries, quality_rules, separator_scan, suffix_buckets)
 from tests.llm import brute
 from tests.oracle_harness import compare, duck
 
@@ -325,6 +328,35 @@ def test_substring_dedup(spark, edge, empty, texts, small):
         ("1", 0), ("1", 0), ("2", 400), ("None", 0)]
 
 
+def test_blocks_are_hashed_by_slices():
+    """A worker that sends the blocks of 8 MB holds their entries, not every array of their hashing; what it sends is that
+    of one piece."""
+    class Sent:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            self.f = f
+            return self
+
+        groupBy = applyInArrow = lambda self, *_: self
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 9999, 1000)) for _ in range(1400)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(1399), None], pa.int64()), "text": texts})
+    docs = Sent()
+    block_anchors.block_hits(docs, 8)
+    [*docs.f(iter([batch.slice(0, 3)]))]
+    tracemalloc.start()
+    got = pa.Table.from_batches([b for b in docs.f(iter([batch]))])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids, h, fixed = block_anchors.probes(pa.Table.from_batches([batch]), block_anchors.BLOCK)
+    whole = pa.Table.from_batches([*packed.pack(ids, h, 8, block_anchors.KEY_BYTES, fixed)])
+    assert got.equals(whole) and len(ids) == 1399 * 994
+    assert most < 12 * batch.nbytes, most / batch.nbytes
+
+
 def test_byte_dedup(spark, edge, empty, texts, small):
     cols = "n_bytes", "n_removed", "n_spans", "kept_sha256"
     assert by_id(suffix_buckets.dedup(edge), *cols) == brute.suffix_buckets(texts)
