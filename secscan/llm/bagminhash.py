@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from secscan.llm import packed as P
-from secscan.llm.common import discard, small_batches, words, written
+from secscan.llm.common import discard, perhaps, small_batches, words, written
 from secscan.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -151,6 +151,13 @@ def bags(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(send, "node bigint, bag binary")
 
 
+def texts_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node, text) of the distinct ``candidates`` (node): few of the documents, so that the other texts are not exchanged.
+
+    An inner join, as Spark would put a semi join below the bitmap, and so exchange every text."""
+    return perhaps(docs.select("node", "text"), "node", candidates).join(candidates, "node").select("node", "text")
+
+
 def common(x: bytes, y: bytes) -> int:
     """Size of the multiset intersection of two sorted arrays of hashes."""
     both = np.concatenate([np.frombuffer(x, P.U), np.frombuffer(y, P.U)])
@@ -308,8 +315,10 @@ def near_classes(docs: DataFrame, copies: DataFrame, threshold: float, size: int
     centre = live.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("c"), F.col("n").alias("n_c")), F.xxhash64("node")).alias("_z"))
     groups = written(live.join(centre.select("key", "_z.c", "_z.n_c"), "key").select("c", "node", "n", "n_c").distinct(), "groups")
     discard(live)
+    ends = written(groups.select("node").distinct(), "candidates")
     with small_batches(spark, 2048):
-        sets = written(bags(docs.join(groups.select("node").distinct(), "node", "left_semi"), size).join(copies.select("node"), "node", "left_anti"), "bags")
+        sets = written(bags(texts_of(docs, ends), size).join(copies.select("node"), "node", "left_anti"), "bags")
+    discard(ends)
     first = measured(groups.filter("node != c"), sets)
     comp = merged(None, first.filter(_linked(ratio)).select(F.col("c").alias("a"), F.col("node").alias("b")))
     left = open_groups(groups, comp)

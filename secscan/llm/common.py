@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: the white space of every word definition here: space and \t \n \x0b \f \r
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[ \\t-\\r]+"
+#: of the bitmap of ``perhaps``: bits a key, bits at most (32 MB), bits in one row
+FILTER_BITS, MOST_BITS, BUCKET = 16, 1 << 28, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,3 +81,19 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def perhaps(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` may be one of ``keys`` (a table of one column, of the same type); nearly all others go
+    here, without an exchange of the rows.  For long rows of which few are wanted; an exact join has to follow.
+
+    A bitmap of the keys' hashes is broadcast.  It has FILTER_BITS bits a key (one in so many others stays) and MOST_BITS
+    at most; with more keys than it has room for, more rows stay.
+    """
+    size = max(BUCKET, min(MOST_BITS, FILTER_BITS * keys.count()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    place = at(F.col(keys.columns[0]))
+    bits = keys.groupBy(F.floor(place / BUCKET).alias("_bucket")).agg(F.bitmap_construct_agg(place % BUCKET).alias("_bits"))
+    own = rows.select("*", at(F.col(column)).alias("_place")).join(F.broadcast(bits), F.floor(F.col("_place") / BUCKET) == F.col("_bucket"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_place") % BUCKET / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return own.filter(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).select(*rows.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from secscan.llm import (bagminhash, block_anchors, chat_format, decontaminate, host_reputation, kneser_ney, mixing, packed,
+from secscan.llm import (bagminhash, block_anchors, chat_format, common, decontaminate, host_reputation, kneser_ney, mixing, packed,
                          queries, quality_rules, separator_scan, suffix_buckets)
 from tests.llm import brute
 from tests.oracle_harness import compare, duck
@@ -235,6 +235,27 @@ def test_only_bags_of_pairs_are_exchanged(spark):
     assert sorted(joins) == ["Inner", "Inner", "LeftSemi", "LeftSemi"]
 
 
+def test_only_texts_of_candidates_are_exchanged(spark, monkeypatch):
+    """The texts of others go before an exchange, also where the candidates are too many for a broadcast; none is lost."""
+    rows = spark.range(20000).select(F.col("id").alias("node"), F.lit("x").alias("text"))
+    for n in (0, 1, 900):
+        keys = spark.range(n).select((F.col("id") * 17 - 34).alias("node"))
+        left = common.perhaps(rows, "node", keys)
+        assert left.columns == ["node", "text"] and left.join(keys, "node", "left_semi").count() == max(0, n - 2) and left.count() <= n + 2500
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(common, "BUCKET", 1 << 8)
+    assert common.perhaps(rows, "node", keys).join(keys, "node", "left_semi").count() == 898
+    monkeypatch.undo()
+    got = bagminhash.texts_of(rows.withColumn("more", F.lit(1)), keys)
+    assert sorted(r.node for r in got.collect()) == [17 * i for i in range(898)]
+    last = next(x for x in _below(got._jdf.queryExecution().optimizedPlan()) if x.nodeName() == "Join")
+    assert any(x.nodeName() == "Join" and "xxhash64" in x.toString() for x in _below(last.left()))
+
+
+def _below(node):
+    return [node, *(x for i in range(node.children().size()) for x in _below(node.children().apply(i)))]
+
+
 @pytest.mark.parametrize("edits", [lambda d, r: d % 4, lambda d, r: 1 + d % 6, lambda d, r: r.randrange(3, 12)])
 def test_near_classes_of_one_template(spark, edits):
     """All documents share bands, but few pairs reach the threshold; classes are those of all pairs."""
