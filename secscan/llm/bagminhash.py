@@ -310,7 +310,7 @@ def near_classes(docs: DataFrame, copies: DataFrame, threshold: float, size: int
         keys = written(band_keys(docs, bands, rows, size).join(copies.select("node"), "node", "left_anti"), "bands")
     # most keys are of one document: they go first, by two running bounds per key
     many = written(keys.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("key"), "shared-bands")
-    live = written(keys.join(many, "key"), "open-bands")
+    live = written(perhaps(keys, "key", many).join(many, "key"), "open-bands")
     discard(keys, many)
     centre = live.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("c"), F.col("n").alias("n_c")), F.xxhash64("node")).alias("_z"))
     groups = written(live.join(centre.select("key", "_z.c", "_z.n_c"), "key").select("c", "node", "n", "n_c").distinct(), "groups")
