@@ -42,6 +42,8 @@ from secscan.llm.common import written
 LENGTH, GRAM = 100, 32
 KEY_BYTES = 5
 CHUNK = 2 << 20
+#: bytes of text that are hashed at a time
+PIECE = 1 << 16
 _BYTE = P.mix(np.arange(1, 257, dtype=P.U) * P._ROLL)
 #: an odd factor for each doubling pass
 _PASS = P.mix(np.arange(1, 65, dtype=P.U)) | P.U(1)
@@ -49,44 +51,52 @@ _PASS = P.mix(np.arange(1, 65, dtype=P.U)) | P.U(1)
 
 def refined(buf: np.ndarray, depths: list[int]) -> list[np.ndarray]:
     """Bucket identifiers of every suffix at each depth (ascending): the bucket of depth a + b is that of depth a and,
-    b bytes later, that of a depth already refined.  Identifiers run past the end of a text; callers mask those."""
-    ids, depth, out = _BYTE[buf], 1, []
-    for n, target in enumerate(depths):
-        while depth < target:
-            step = min(depth, target - depth)  # the later bucket starts ``step`` bytes on and reaches ``depth`` further
-            later = ids[step:]
-            ids = ids.copy()
-            ids[:len(later)] *= _PASS[(depth + n) % 64]
-            ids[:len(later)] += later
-            depth += step
-        ids = P.mix(ids)
-        out.append(ids)
+    b bytes later, that of a depth already refined.  Identifiers run past the end of a text; callers mask those.
+
+    It goes by pieces that the processor's cache holds: an identifier hangs on the bytes it stands for alone."""
+    out = [np.empty(len(buf), P.U) for _ in depths]
+    for a in range(0, len(buf), PIECE):
+        ids, depth = _BYTE[buf[a:a + PIECE + depths[-1]]], 1
+        for n, target in enumerate(depths):
+            while depth < target:
+                step = min(depth, target - depth)  # the later bucket starts ``step`` bytes on and reaches ``depth`` further
+                later = ids[step:]
+                ids = ids.copy()
+                ids[:len(later)] *= _PASS[(depth + n) % 64]
+                ids[:len(later)] += later
+                depth += step
+            ids = P.mix(ids)
+            out[n][a:a + PIECE] = ids[:PIECE]
     return out
 
 
-def sampled(gram: np.ndarray, at: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sampled(gram: np.ndarray, at: np.ndarray, skip: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all strings of ``length`` bytes inside a text, their rows, and where in each its smallest q-gram hash
-    is (the leftmost of equal ones), by a sliding minimum that doubles its width."""
-    span, width = length - q + 1, 1
-    sizes = np.maximum(np.diff(at) - (length - 1), 0)
+    is (the leftmost of equal ones), by a sliding minimum that doubles its width; rows to ``skip`` have none.
+
+    The minimum is taken of a hash's upper bits with the place in the piece below them, so that it names its place."""
+    span = length - q + 1
+    sizes = np.where(skip, 0, np.maximum(np.diff(at) - (length - 1), 0))
     if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    best, where = gram, np.arange(len(gram), dtype=np.int32)
-    while width < span:
-        step = min(width, span - width)
-        right = best[step:] < best[:len(best) - step]
-        best, where = np.where(right, best[step:], best[:len(best) - step]), np.where(right, where[step:], where[:len(where) - step])
-        width += step
-    start = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(at[:-1], sizes)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    bits = P.U((PIECE + span).bit_length())  # the same in all tasks: they have to sample alike
+    where = np.empty(len(gram), np.int64)
+    for a in range(0, len(gram), PIECE):
+        best, width = gram[a:a + PIECE + span] >> bits << bits, 1
+        best |= np.arange(len(best), dtype=P.U)
+        while width < span:
+            step = min(width, span - width)
+            best, width = np.minimum(best[step:], best[:max(len(best) - step, 0)]), width + step
+        best &= (P.U(1) << bits) - P.U(1)
+        n = min(len(best), PIECE)
+        np.add(best[:n].view(np.int64), a, out=where[a:a + n])
+    start = np.arange(sizes.sum()) + np.repeat(at[:-1] - (np.cumsum(sizes) - sizes), sizes)
     return start, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), where[start]
 
 
-def _strings(texts: P.Texts, skip: np.ndarray, length: int, q: int):
-    """(start, row, sampled place, q-gram identifiers, identifiers of the whole strings) of the rows not skipped."""
-    gram, whole = refined(texts.buf, [q, length])
-    start, row, place = sampled(gram, texts.at, length, q)
-    ok = ~skip[row]
-    return start[ok], row[ok], place[ok], gram, whole
+def _first_of_runs(place: np.ndarray) -> np.ndarray:
+    """Where strings begin to have another sampled place than the string before."""
+    return np.append(0, np.flatnonzero(place[1:] != place[:-1]) + 1) if len(place) else np.zeros(0, np.int64)
 
 
 def shared_grams(docs: DataFrame, bits: int, length: int, q: int) -> DataFrame:
@@ -96,11 +106,9 @@ def shared_grams(docs: DataFrame, bits: int, length: int, q: int) -> DataFrame:
             ids, there = P.ids_of(table)
             texts = P.Texts.of(table["text"])
             gram, = refined(texts.buf, [q])
-            _, row, place = sampled(gram, texts.at, length, q)
-            new = np.diff(place, prepend=-1) != 0
-            row, place = row[new], place[new]
-            ok = there[row]
-            yield from P.pack(ids[row[ok]], gram[place[ok]], bits, KEY_BYTES)
+            _, row, place = sampled(gram, texts.at, ~there, length, q)
+            new = _first_of_runs(place)
+            yield from P.pack(ids[row[new]], gram[place[new]], bits, KEY_BYTES)
 
     def meet(rows: pa.Table) -> pa.Table:
         doc, key, _, _ = P.unpack(rows)
@@ -118,10 +126,11 @@ def _open_strings(table: pa.Table, answers: pa.Table, bits: int, length: int, q:
     ids, there = P.ids_of(table)
     texts = P.Texts.of(table["text"])
     copy = B.are_copies(ids, there, texts, answers)
-    start, row, place, gram, whole = _strings(texts, copy | ~there, length, q)
-    new = np.diff(place, prepend=-1) != 0
+    gram, whole = refined(texts.buf, [q, length])
+    start, row, place = sampled(gram, texts.at, copy | ~there, length, q)
+    new = _first_of_runs(place)
     seen = B._has_note(ids[row[new]], gram[place[new]] >> P.U(64 - bits - 8 * KEY_BYTES), answers, B.HIT)
-    ok = seen[np.cumsum(new) - 1] if len(new) else np.zeros(0, bool)
+    ok = np.repeat(seen, np.diff(new, append=len(place)))
     return ids, copy, texts, start[ok], row[ok], whole[start[ok]]
 
 

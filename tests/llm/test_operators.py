@@ -389,6 +389,29 @@ def test_byte_dedup(spark, edge, empty, texts, small):
         ("1", 0), ("2", len(_PROSE)), ("None", 0)]
 
 
+def test_bytes_are_hashed_by_pieces():
+    """Hashing holds its results and little more, whatever the text's length; pieces change no identifier and no sample."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 3 * suffix_buckets.PIECE + 17, dtype=np.uint8)
+    border = 2 * suffix_buckets.PIECE
+    text[border - 150:border + 150] = text[500:800]  # over a border of pieces, and within one
+    tracemalloc.start()
+    gram, whole = suffix_buckets.refined(text, [32, 100])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * len(text), most / len(text)
+    at, none = np.array([0, 40, 40, len(text)]), np.zeros(3, bool)
+    start, row, place = suffix_buckets.sampled(gram, at, none, 100, 32)
+    assert start.tolist() == list(range(40, len(text) - 99)) and set(row.tolist()) == {2}
+    here, there = (np.searchsorted(start, 500) + np.arange(201), np.searchsorted(start, border - 150) + np.arange(201))
+    assert (whole[start[here]] == whole[start[there]]).all() and (gram[start[here]] == gram[start[there]]).all()
+    assert (place[here] - start[here] == place[there] - start[there]).all()
+    assert ((place >= start) & (place <= start + 68)).all() and len(np.unique(place)) < len(start) / 20
+    _, later = suffix_buckets.refined(text[border - 200:], [32, 100])
+    assert (later[:400] == whole[border - 200:border + 200]).all()
+    assert not len(suffix_buckets.sampled(gram, at, ~none, 100, 32)[0])
+
+
 def test_copies_are_told_apart_by_text_where_a_doc_id_has_two(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id bigint, text string")
