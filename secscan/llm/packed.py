@@ -259,10 +259,10 @@ def _chunks(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-def parcels(docs: DataFrame, bits: int, chunk: int = 16 << 20) -> DataFrame:
+def parcels(docs: DataFrame, bits: int, chunk: int = 16 << 20, level: int = 3) -> DataFrame:
     """Rows of ``docs``, all columns, as compressed parcels per group of documents: (grp, parcel)."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=level)
         for table in chunks(batches, "text", chunk):
             ids, _ = ids_of(table)
             whole = table.combine_chunks()

@@ -42,6 +42,8 @@ from secscan.llm.common import written
 LENGTH, GRAM = 100, 32
 KEY_BYTES = 5
 CHUNK = 2 << 20
+#: how hard documents are compressed that are sent
+LEVEL = 9
 #: bytes of text that are hashed at a time
 PIECE = 1 << 16
 _BYTE = P.mix(np.arange(1, 257, dtype=P.U) * P._ROLL)
@@ -169,7 +171,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, q: int = GRAM) -> DataFrame:
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     bits = P.bits_for(docs)
     answers = written(shared_grams(docs, bits, length, q).unionAll(B.copies(docs, bits)), "shared-grams")
-    sent = P.parcels(docs, bits)
+    sent = P.parcels(docs, bits, level=LEVEL)
     later = written(later_strings(sent, answers, bits, length, q), "later-strings")
     schema = docs.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("n_bytes", "n_removed", "n_spans")],
                          F.lit("").alias("kept_sha256"), F.lit(b"").alias("kept")).schema

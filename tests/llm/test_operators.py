@@ -412,6 +412,14 @@ def test_bytes_are_hashed_by_pieces():
     assert not len(suffix_buckets.sampled(gram, at, ~none, 100, 32)[0])
 
 
+def test_sent_documents_may_be_compressed_harder(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + j * j) % 997}" for j in range(400))) for i in range(60)], "doc_id bigint, text string")
+    plain, hard = (packed.parcels(docs.coalesce(1), 1, level=n).toArrow() for n in (3, suffix_buckets.LEVEL))
+    for g in (0, 1):
+        a, b = (t.filter(pa.compute.equal(t["grp"], g)) for t in (plain, hard))
+        assert packed.opened(a).equals(packed.opened(b)) and b.nbytes < a.nbytes
+
+
 def test_copies_are_told_apart_by_text_where_a_doc_id_has_two(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id bigint, text string")
